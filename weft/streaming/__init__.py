@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, window or state: all of its jobs are
+batch programs started from a ``main``.  Nothing is built here; every operator of the
+library is a batch DataFrame program (see README).
+"""

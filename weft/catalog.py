@@ -73,9 +73,22 @@ def flag_graph(src: PropertyGraphSource) -> Graph:
     return Graph(flag_nodes(src), e)
 
 
+def app_flags(src: PropertyGraphSource) -> DataFrame:
+    """``(id, end_result, overdue)`` of every application."""
+    return src.applications().select(F.col("app").alias("id"), "end_result",
+                                     overdue_flag(*APP_ATTRS[1:]).alias("overdue"))
+
+
 def labelled_flags(src: PropertyGraphSource, steps: int = 10) -> DataFrame:
-    g = flag_graph(src)
-    return com.with_attrs(alg.label_propagation(g, steps), g.vertices)
+    """LPA over the application call graph, labels joined to the node attributes.
+
+    Every node is an endpoint of a call edge and its attributes are functions of its
+    application, so ``Graph(nodes from both ends, edges)`` equals ``fromEdges(edges)``
+    with the attributes attached afterwards by one join on the application key — the
+    bag of call rows is not re-read for the node table."""
+    e = call_graph(src).select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    labels = alg.label_propagation(from_edges(e, 1), steps)
+    return com.with_attrs(labels, app_flags(src))
 
 
 def S(spark, d):

@@ -19,6 +19,10 @@ ID_TYPES = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 class Graph:
     vertices: DataFrame
     edges: DataFrame
+    # True when the vertex set is exactly the set of edge endpoints (``from_edges``):
+    # algorithms then derive vertex ids from the (materialised) edges and skip the
+    # isolated-vertex pass.
+    endpoints_only: bool = False
 
     def __post_init__(self):
         _require(self.vertices, ["id"], "vertices")
@@ -33,7 +37,7 @@ class Graph:
         return [c for c in self.edges.columns if c not in ("src", "dst")]
 
     def with_vertices(self, vertices: DataFrame) -> "Graph":
-        return Graph(vertices, self.edges)
+        return Graph(vertices, self.edges, self.endpoints_only)
 
     def with_edges(self, edges: DataFrame) -> "Graph":
         return Graph(self.vertices, edges)
@@ -70,7 +74,7 @@ def from_edges(edges: DataFrame, default: Column | object = 1, attr_name: str =
     """``Graph.fromEdges``: vertices are the distinct endpoints, all with the default attribute."""
     value = default if isinstance(default, Column) else F.lit(default)
     vertices = endpoint_ids(edges).select("id", value.alias(attr_name))
-    return Graph(vertices, edges)
+    return Graph(vertices, edges, endpoints_only=True)
 
 
 def from_vertices_and_edges(vertices: DataFrame, edges: DataFrame, default: dict | None = None) -> Graph:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.columns import overdue_flag
 from weft.operators.skew import salted_join
+from weft.plans.iterate import cut_lineage
 from weft.sources.tables import ADDRESS_TYPES, PropertyGraphSource
 
 DEV, IP, CO = ("HasDeviceAddress",), ("HasIP",), ("HasCompanyName",)
@@ -99,9 +100,21 @@ def _compare(op: str, a: Column, b: Column) -> Column:
 
 
 def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
-    """``(person, rel_type, attr_key)`` as a set, for the given relationship types."""
-    o = src.owns(rel_types)
-    return (o.join(src.has_id_card(), "app").select("person", "rel_type", "attr_key").distinct())
+    """``(person, rel_type, attr_key)`` as a set, for the given relationship types.
+
+    The person-level distinct subsumes the application-level one, so the generated
+    relationship rows are joined to the id card as they come.  The result is the input
+    of a self-join (read by both sides and by the hot-key pass), so it is written once
+    to the shared checkpoint folder; queries over a union of patterns share it."""
+    rel_types = tuple(sorted(set(rel_types)))
+    for key, df in src._memo.items():
+        if key[0] == "pra" and set(rel_types) <= set(key[1]):
+            return df.filter(F.col("rel_type").isin(*rel_types)) if set(rel_types) != set(key[1]) else df
+    o = src.owns(rel_types, distinct=False)
+    pra = o.join(src.has_id_card(), "app").select("person", "rel_type", "attr_key").distinct()
+    pra = cut_lineage(pra)
+    src._memo[("pra", rel_types)] = pra
+    return pra
 
 
 def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], distinct: bool = True) -> DataFrame:
@@ -146,6 +159,12 @@ def links(src: PropertyGraphSource, name: str) -> DataFrame:
     """One named link pattern (``link_*``) or union (``social_net_*``) as distinct ``(src, dst)``."""
     if name in UNIONS:
         members = UNIONS[name]
+        types = set()
+        for m in members:
+            r = LINK_RULES.get(m) or CALL_RULES[m]
+            types |= set(r.left if isinstance(r, LinkRule) else (r.left,))
+            types |= set(r.right if isinstance(r, LinkRule) else (r.right,))
+        person_rel_attr(src, types)          # one materialised input for every branch
         attr_rules = [LINK_RULES[m] for m in members if m in LINK_RULES]
         parts = []
         if attr_rules:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weft.model import Graph
 from weft.operators.skew import salted_join
-from weft.plans.iterate import DEFAULT_CHECKPOINT_EVERY, Adjacency, cut_lineage
+from weft.plans.iterate import DEFAULT_CHECKPOINT_EVERY, Adjacency, cut_lineage, materialise
 
 
 # ---------------------------------------------------------------------------------------
@@ -46,9 +46,10 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
     cannot change the result."""
     if max_steps <= 0:
         raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
-    adj = Adjacency(graph.edges.select("src", "dst"), "both")
+    ids, edges = materialise(graph)
+    adj = Adjacency(edges, "both")
     try:
-        active = cut_lineage(adj.receivers())
+        active = ids if graph.endpoints_only else cut_lineage(adj.receivers())
         labels = active.select("id", F.col("id").alias("label"))
         for step in range(1, max_steps + 1):
             msgs = adj.gather(labels, ["label"])
@@ -60,7 +61,9 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
                     labels = nxt
                     break
             labels = nxt
-        isolated = graph.vertices.select("id").join(active, "id", "left_anti")
+        if graph.endpoints_only:
+            return labels
+        isolated = ids.join(active, "id", "left_anti")
         return labels.union(isolated.select("id", F.col("id").alias("label")))
     finally:
         adj.release()
@@ -103,7 +106,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
     """``(id, component)``: component = smallest vertex id reachable ignoring direction."""
-    e = cut_lineage(_canonical(graph.edges))
+    ids, edges = materialise(graph)
+    e = cut_lineage(_canonical(edges))
     for _ in range(max_rounds):
         nxt = cut_lineage(_small_star(_large_star(e)))
         if _same_edges(nxt, e):
@@ -114,7 +118,9 @@ def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
         raise RuntimeError("connected components did not converge")
     comp = e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
         e.select(F.col("lo").alias("id"), F.col("lo").alias("component"))).distinct()
-    rest = graph.vertices.select("id").join(comp, "id", "left_anti")
+    if graph.endpoints_only:
+        return comp
+    rest = ids.join(comp, "id", "left_anti")
     return comp.union(rest.select("id", F.col("id").alias("component")))
 
 
@@ -128,9 +134,9 @@ def _same_edges(a: DataFrame, b: DataFrame) -> bool:
 # ---------------------------------------------------------------------------------------
 # PageRank
 
-def _out_weights(graph: Graph) -> DataFrame:
+def _out_weights(edges: DataFrame) -> DataFrame:
     """``(src, dst, w)``: per distinct (src, dst), (parallel edges) / out-degree(src)."""
-    e = graph.edges.select("src", "dst")
+    e = edges.select("src", "dst")
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     par = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
     return par.join(outdeg, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("w"))
@@ -148,11 +154,10 @@ def pagerank(graph: Graph, num_iter: int, reset: float = 0.15,
     """Static PageRank, ``num_iter`` rounds (A7): start 1.0;
     rank' = reset + (1 - reset) * sum over in-edges of rank(src) / outdeg(src);
     finally rescaled so the ranks sum to the number of vertices."""
-    w = _out_weights(graph)
-    adj = Adjacency(w, "in", extra=["w"])
+    verts, edges = materialise(graph)
+    adj = Adjacency(_out_weights(edges), "in", extra=["w"])
     try:
-        verts = graph.vertices.select("id")
-        ranks = cut_lineage(verts.select("id", F.lit(1.0).alias("rank")))
+        ranks = verts.select("id", F.lit(1.0).alias("rank"))
         zero = verts.select("id", F.lit(0.0).alias("c"))
         for i in range(1, num_iter + 1):
             contrib = adj.gather(ranks, ["rank"]).select(F.col("me").alias("id"), (F.col("rank") * F.col("w")).alias("c"))
@@ -171,11 +176,11 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
     each vertex starts with rank = delta = reset; a vertex whose last delta exceeds
     ``tol`` and that received something in the previous round sends delta * w along its
     out-edges; receivers add (1 - reset) * sum to their rank.  Rescaled to sum N."""
-    w = _out_weights(graph)
-    adj = Adjacency(w, "in", extra=["w"])
+    verts, edges = materialise(graph)
+    adj = Adjacency(_out_weights(edges), "in", extra=["w"])
     try:
-        state = cut_lineage(graph.vertices.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
-                                                  F.lit(True).alias("active")))
+        state = verts.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
+                             F.lit(True).alias("active"))
         for i in range(1, max_iter + 1):
             senders = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
             msgs = (adj.gather(senders, ["delta"]).groupBy(F.col("me").alias("id"))
@@ -200,7 +205,8 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
 def triangle_count(graph: Graph) -> DataFrame:
     """``(id, triangles)`` for every vertex: triangles through it in the graph with
     self-loops, parallel edges and directions removed; 0 for the others."""
-    e = _canonical(graph.edges)
+    ids, edges = materialise(graph)
+    e = cut_lineage(_canonical(edges))
     deg = (e.select(F.col("lo").alias("id")).union(e.select(F.col("hi").alias("id")))
            .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
     lo_d = deg.select(F.col("id").alias("lo"), F.col("d").alias("dl"))
@@ -215,7 +221,7 @@ def triangle_count(graph: Graph) -> DataFrame:
     closed = _close(wedges, e)
     corners = closed.select(F.explode(F.array("x", "y1", "y2")).alias("id"))
     counts = corners.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return (graph.vertices.select("id").join(counts, "id", "left")
+    return (ids.join(counts, "id", "left")
             .select("id", F.coalesce(F.col("triangles"), F.lit(0).cast("bigint")).alias("triangles")))
 
 

@@ -36,6 +36,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(graph: Graph, edge_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Checkpoint a graph's edges (``src, dst`` + ``edge_cols``) and vertex ids once,
+    before a loop, so no round re-derives them from the source tables.  For
+    ``from_edges`` graphs the ids come from the materialised edges."""
+    edges = cut_lineage(graph.edges.select("src", "dst", *(edge_cols or [])))
+    if graph.endpoints_only:
+        ids = cut_lineage(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+                          .distinct())
+    else:
+        ids = cut_lineage(graph.vertices.select("id"))
+    return ids, edges
+
+
 class Adjacency:
     """Directed adjacency ``(me, nbr)``: row (me, nbr) means *me* receives the value of *nbr*.
 
@@ -58,28 +71,34 @@ class Adjacency:
             raise ValueError(direction)
         spark = edges.sparkSession
         threshold, max_hot, max_salt = skew_settings(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         adj = cut_lineage(adj)
         # bounded (``limit``) and materialised once: every round only broadcasts it
         hot = cut_lineage(hot_keys(adj, ["nbr"], threshold, max_hot, max_salt).withColumnRenamed("nbr", "_hid"))
+        self.salted = hot.limit(1).count() > 0
         self.hot = F.broadcast(hot)
-        row_hash = F.xxhash64(F.col("me"), F.col("nbr"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.salted:
+            row_hash = F.xxhash64(F.col("me"), F.col("nbr"))
+            adj = (adj.join(self.hot, F.col("nbr") == F.col("_hid"), "left")
+                   .withColumn("_b", F.when(F.col("_salts").isNull(), F.lit(0))
+                               .otherwise(F.pmod(row_hash, F.col("_salts"))).cast("int"))
+                   .drop("_hid", "_salts"))
+            self.keys = ["nbr", "_b"]
+        else:
+            self.keys = ["nbr"]
         # persisted (not checkpointed) after the repartition: the cached relation keeps
-        # its hash partitioning on (nbr, _b), so each round shuffles only the value side
-        # of the join; its lineage is the short path back to the checkpoint above
-        self.adj = (adj.join(self.hot, F.col("nbr") == F.col("_hid"), "left")
-                    .withColumn("_b", F.when(F.col("_salts").isNull(), F.lit(0))
-                                .otherwise(F.pmod(row_hash, F.col("_salts"))).cast("int"))
-                    .drop("_hid", "_salts")
-                    .repartition(n, "nbr", "_b")
-                    .persist(StorageLevel.MEMORY_AND_DISK))
+        # its hash partitioning, so each round shuffles only the value side of the
+        # join; its lineage is the short path back to the checkpoint above
+        self.adj = adj.repartition(n, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
         self.extra = extra
 
     def gather(self, values: DataFrame, cols: list[str]) -> DataFrame:
         """For each adjacency row, the neighbour's ``cols`` from ``values(id, cols...)``:
         returns ``(me, nbr, <extra edge cols>, <cols>)``."""
-        v = (values.select(F.col("id").alias("nbr"), *cols)
-             .join(self.hot, F.col("nbr") == F.col("_hid"), "left")
+        v = values.select(F.col("id").alias("nbr"), *cols)
+        if not self.salted:
+            return self.adj.join(v, "nbr")
+        v = (v.join(self.hot, F.col("nbr") == F.col("_hid"), "left")
              .withColumn("_b", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
              .drop("_hid", "_salts"))
         return self.adj.join(v, ["nbr", "_b"]).drop("_b")
@@ -131,7 +150,8 @@ def pregel(graph: Graph, value: str, initial: Column, send: str, merge: Callable
     ``until_fixpoint``, when a superstep changes no value.  Returns ``(id, value)``.
     """
     direction = {"out": "in", "in": "out", "both": "both"}[send]
-    adj = Adjacency(graph.edges, direction)
+    _, edges = materialise(graph)
+    adj = Adjacency(edges, direction)
     try:
         cur = graph.vertices.select("id", initial.alias(value))
         cur = cut_lineage(cur)

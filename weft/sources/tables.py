@@ -129,17 +129,18 @@ class PropertyGraphSource:
                         F.col("c_mktsegment").alias("segment"))
 
     # -- relationships -----------------------------------------------------
-    def owns(self, rel_types) -> DataFrame:
-        """Distinct ``(rel_type, app, attr_key)`` rows of the given relationship types."""
+    def owns(self, rel_types, distinct: bool = True) -> DataFrame:
+        """``(rel_type, app, attr_key)`` rows of the given relationship types, as a set
+        (``distinct=False``: as generated, for consumers that deduplicate later)."""
         rel_types = tuple(sorted(set(rel_types)))
-        memo_key = ("owns", rel_types)
+        memo_key = ("owns", rel_types, distinct)
         if memo_key not in self._memo:
             families = sorted({FAMILY_OF[t] for t in rel_types})
             li = self.table("lineitem")
             rows = li.select(F.col("l_orderkey").alias("app"),
                              F.inline(F.array(*[_family_struct(f) for f in families])))
-            self._memo[memo_key] = (rows.filter(F.col("rel_type").isin(*rel_types))
-                                    .select("rel_type", "app", "attr_key").distinct())
+            rows = rows.filter(F.col("rel_type").isin(*rel_types)).select("rel_type", "app", "attr_key")
+            self._memo[memo_key] = rows.distinct() if distinct else rows
         return self._memo[memo_key]
 
     def person_attr(self, rel_types) -> DataFrame:

@@ -118,8 +118,7 @@ def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
         raise RuntimeError("connected components did not converge")
     comp = e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
         e.select(F.col("lo").alias("id"), F.col("lo").alias("component"))).distinct()
-    if graph.endpoints_only:
-        return comp
+    # vertices without an edge to another vertex (isolated, or only self-loops)
     rest = ids.join(comp, "id", "left_anti")
     return comp.union(rest.select("id", F.col("id").alias("component")))
 

@@ -90,6 +90,7 @@ class Adjacency:
         # its hash partitioning, so each round shuffles only the value side of the
         # join; its lineage is the short path back to the checkpoint above
         self.adj = adj.repartition(n, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+        self.adj.count()   # fill the cache now: only a materialised cache reports its partitioning
         self.extra = extra
 
     def gather(self, values: DataFrame, cols: list[str]) -> DataFrame:

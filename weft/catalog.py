@@ -25,7 +25,7 @@ from weft.plans.iterate import aggregate_messages, pregel
 from weft.session import scratch_path
 from weft.sinks import read_membership, write_membership
 from weft.sources.edgelist import parse_edge_list, render_edge_list, text_lines
-from weft.sources.tables import ADDRESS_TYPES, FAMILY_OF, PropertyGraphSource, source
+from weft.sources.tables import ADDRESS_TYPES, FAMILY_CODE, FAMILY_OF, PropertyGraphSource, render_key, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,7 +151,8 @@ def label_count(spark, d):
 @register("rels_graph", Q.with_base(body="SELECT app AS source, attr_key AS target, 'HasPhone' AS value FROM ph"))
 def rels_graph(spark, d):
     return (S(spark, d).phones_of_apps("HasPhone")
-            .select(F.col("app").alias("source"), F.col("attr_key").alias("target"), F.lit("HasPhone").alias("value")))
+            .select(F.col("app").alias("source"), render_key(F.lit(FAMILY_CODE["phone"])).alias("target"),
+                    F.lit("HasPhone").alias("value")))
 
 
 @register("pattern_graph_props", Q.with_base(body="""
@@ -161,7 +162,8 @@ FROM ph p JOIN applications a ON a.app = p.app"""))
 def pattern_graph_props(spark, d):
     src = S(spark, d)
     apps = src.applications().select("app", "end_result", "created")
-    return (src.phones_of_apps("HasPhone").join(apps, "app")
+    phones = src.phones_of_apps("HasPhone").withColumn("attr_key", render_key(F.lit(FAMILY_CODE["phone"])))
+    return (phones.join(apps, "app")
             .select(F.col("app").alias("source"), F.col("end_result").alias("source_attr"),
                     F.col("attr_key").alias("target"), F.col("attr_key").alias("target_attr"),
                     F.date_format("created", "yyyy-MM-dd").alias("edge_attr")))

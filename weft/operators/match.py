@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weft.functions.columns import overdue_flag
 from weft.operators.skew import salted_join
 from weft.plans.iterate import cut_lineage
-from weft.sources.tables import ADDRESS_TYPES, PropertyGraphSource
+from weft.sources.tables import ADDRESS_TYPES, KEY_COLS, PropertyGraphSource
 
 DEV, IP, CO = ("HasDeviceAddress",), ("HasIP",), ("HasCompanyName",)
 PHONE, EMERG, CONTACT = ("HasPhone",), ("HasEmergencyPhone",), ("HasContact",)
@@ -100,19 +100,20 @@ def _compare(op: str, a: Column, b: Column) -> Column:
 
 
 def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
-    """``(person, rel_type, attr_key)`` as a set, for the given relationship types.
-
-    The person-level distinct subsumes the application-level one, so the generated
-    relationship rows are joined to the id card as they come.  The result is the input
-    of a self-join (read by both sides and by the hot-key pass), so it is written once
-    to the shared checkpoint folder; queries over a union of patterns share it."""
+    """``(person, rel_type, fam, k1, k2)``: attribute nodes reached by a person through
+    one of the given relationship types.
+
+    It is the input of a self-join read three times (both sides and the hot-key
+    count), so it is written once to the shared checkpoint folder; queries over a
+    union of patterns share one copy.  Duplicates are removed later, inside the
+    join's own shuffle (exact: two different persons always mean two different
+    applications, so person-level sets lose no match)."""
     rel_types = tuple(sorted(set(rel_types)))
     for key, df in src._memo.items():
         if key[0] == "pra" and set(rel_types) <= set(key[1]):
             return df.filter(F.col("rel_type").isin(*rel_types)) if set(rel_types) != set(key[1]) else df
     o = src.owns(rel_types, distinct=False)
-    pra = o.join(src.has_id_card(), "app").select("person", "rel_type", "attr_key").distinct()
-    pra = cut_lineage(pra)
+    pra = cut_lineage(o.join(src.has_id_card(), "app").select("person", "rel_type", *KEY_COLS))
     src._memo[("pra", rel_types)] = pra
     return pra
 
@@ -126,16 +127,13 @@ def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], dist
         cond = None
         for r in rules:
             c = (L("rel_type").isin(*r.left) & R("rel_type").isin(*r.right)
-                 & _compare(r.op, L("person"), R("person")))
+                 & _compare(r.op, L("src"), R("dst")))
             cond = c if cond is None else (cond | c)
         return cond
 
-    left = pra.select(F.col("person").alias("src"), "rel_type", "attr_key")
-    right = pra.select(F.col("person").alias("dst"), "rel_type", "attr_key")
-    # the residual sees the renamed columns
-    pairs = salted_join(left, right, "attr_key",
-                        condition=lambda L, R: keep(lambda c: L("src") if c == "person" else L(c),
-                                                    lambda c: R("dst") if c == "person" else R(c)))
+    left = pra.select(F.col("person").alias("src"), "rel_type", *KEY_COLS)
+    right = pra.select(F.col("person").alias("dst"), "rel_type", *KEY_COLS)
+    pairs = salted_join(left, right, KEY_COLS, condition=keep, dedupe=True)
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out
 
@@ -145,12 +143,15 @@ def call_links(src: PropertyGraphSource, rule: CallRule, distinct: bool = True)
     pra = person_rel_attr(src, sorted({rule.left, rule.right}))
     calls = src.calls()
     near, far = ("dst", "src") if rule.direction == "in" else ("src", "dst")
-    left = pra.filter(F.col("rel_type") == rule.left).select(F.col("person").alias("src"), "attr_key")
-    # person -> own phone -> the phone at the other end of the call; pre-aggregate before the next hop
-    hop = (left.join(calls.select(F.col(near).alias("attr_key"), F.col(far).alias("other")), "attr_key")
-           .select("src", F.col("other").alias("attr_key")).distinct())
-    right = pra.filter(F.col("rel_type") == rule.right).select(F.col("person").alias("dst"), "attr_key")
-    pairs = salted_join(hop, right, "attr_key", condition=lambda L, R: _compare(rule.op, L("src"), R("dst")))
+    left = pra.filter(F.col("rel_type") == rule.left).select(F.col("person").alias("src"), "k1", "k2")
+    # person -> own phone -> the phone at the other end of the call; a set before the next hop
+    step = calls.select(F.col(f"{near}_k1").alias("k1"), F.col(f"{near}_k2").alias("k2"),
+                        F.col(f"{far}_k1").alias("o1"), F.col(f"{far}_k2").alias("o2"))
+    hop = (left.join(step, ["k1", "k2"])
+           .select("src", F.col("o1").alias("k1"), F.col("o2").alias("k2")).distinct())
+    right = pra.filter(F.col("rel_type") == rule.right).select(F.col("person").alias("dst"), "k1", "k2")
+    pairs = salted_join(hop, right, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, L("src"), R("dst")),
+                        dedupe=True)
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out
 
@@ -185,11 +186,15 @@ APP_ATTRS = ["end_result", "dpd7", "dpd15", "dpd30", "dpd90"]
 
 
 def undirected_calls(src: PropertyGraphSource) -> DataFrame:
-    """Both orientations of every call edge ``(a, b, weight)``; a self-loop only once."""
+    """Both orientations of every call edge ``(a1, a2, b1, b2, weight)`` (phone a to
+    phone b); a self-loop only once."""
     c = src.calls()
-    fwd = c.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("call_cnt").alias("weight"))
-    back = c.filter(F.col("src") != F.col("dst")).select(F.col("dst").alias("a"), F.col("src").alias("b"),
-                                                          F.col("call_cnt").alias("weight"))
+    fwd = c.select(F.col("src_k1").alias("a1"), F.col("src_k2").alias("a2"), F.col("dst_k1").alias("b1"),
+                   F.col("dst_k2").alias("b2"), F.col("call_cnt").alias("weight"))
+    loop = (F.col("src_k1") == F.col("dst_k1")) & (F.col("src_k2") == F.col("dst_k2"))
+    back = c.filter(~loop).select(F.col("dst_k1").alias("a1"), F.col("dst_k2").alias("a2"),
+                                  F.col("src_k1").alias("b1"), F.col("src_k2").alias("b2"),
+                                  F.col("call_cnt").alias("weight"))
     return fwd.union(back)
 
 
@@ -211,12 +216,12 @@ def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags:
         else:
             extra = [F.col(a) for a in attrs]
         phones = phones.join(apps.select(F.col("app"), *extra), "app")
-    names = [c for c in phones.columns if c not in ("app", "attr_key")]
-    near = phones.select(F.col("app").alias("source"), F.col("attr_key").alias("a"),
+    names = [c for c in phones.columns if c not in ("app", "k1", "k2")]
+    near = phones.select(F.col("app").alias("source"), F.col("k1").alias("a1"), F.col("k2").alias("a2"),
                          *[F.col(n).alias(f"{n}1") for n in names])
-    far = phones.select(F.col("app").alias("target"), F.col("attr_key").alias("b"),
+    far = phones.select(F.col("app").alias("target"), F.col("k1").alias("b1"), F.col("k2").alias("b2"),
                         *[F.col(n).alias(f"{n}2") for n in names])
-    step = near.join(undirected_calls(src), "a").drop("a")
-    bag = salted_join(step, far, "b")
+    step = near.join(undirected_calls(src), ["a1", "a2"]).drop("a1", "a2")
+    bag = salted_join(step, far, ["b1", "b2"])
     out = ["source", "target", "weight"] + [f"{n}1" for n in names] + [f"{n}2" for n in names]
     return bag.select(*out)

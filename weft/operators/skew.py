@@ -46,13 +46,18 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int, max_s
 
 def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
                 condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-                threshold: int | None = None, max_hot: int | None = None, max_salt: int | None = None) -> DataFrame:
+                threshold: int | None = None, max_hot: int | None = None, max_salt: int | None = None,
+                dedupe: bool = False) -> DataFrame:
     """Inner equi-join ``left ⋈ right`` on ``keys`` (same names on both sides) plus an
     optional residual ``condition(L, R)`` built from column getters of the two sides
     (evaluated inside the join), splitting hot keys.
 
     Put the side with fewer rows per hot key on the right: it is the one replicated.
     The key columns appear once in the output, as in ``DataFrame.join(on=[...])``.
+
+    ``dedupe``: join each side as a *set*.  Both sides are hash-partitioned on the
+    join keys (plus bucket) once and deduplicated inside those partitions, so the
+    distinct costs no shuffle of its own.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     t, h, s = skew_settings(left.sparkSession)
@@ -69,6 +74,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
     rb = (right.join(hot, keys, "left")
           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
           .drop("_salts"))
+    if dedupe:
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lb = lb.repartition(n, *keys, "_b").distinct()
+        rb = rb.repartition(n, *keys, "_b").distinct()
     l, r = lb.alias("_l"), rb.alias("_r")
     cond = None
     for k in keys + ["_b"]:

@@ -8,7 +8,7 @@ Graph elements (the mapping is fixed by the test fixtures):
   ``lineitem`` columns, one relationship per (type, application, key)
 * ``HasCall`` = phone -> phone, between two phones of one application
 
-Every relationship table is a *set* of ``(rel_type, app, attr_key)`` rows because
+Every relationship table is a *set* of ``(rel_type, app, fam, k1, k2)`` rows because
 ``lineitem`` has no key.  Only the relationship families a query asks for are
 generated, in one pass over ``lineitem`` (a single ``inline`` generator, no union of
 scans), and the scan reads only the columns those families use.
@@ -53,29 +53,54 @@ def _by_flag(mapping: dict[str, str]) -> Column:
     return expr
 
 
-def _key(prefix: str, *parts: Column) -> Column:
-    pieces = [F.lit(prefix)]
-    for p in parts:
-        pieces += [F.lit("|"), p.cast("string")]
-    return F.concat(*pieces)
+# Attribute nodes are identified by an exact numeric key ``(fam, k1, k2)``: the
+# family code and the two numbers the node is built from (a day is counted from
+# 1970-01-01, a month as year * 12 + month - 1).  Joins and shuffles then move three
+# fixed-width numbers instead of text; the text form (``dev|<partkey>|<yyyy-MM-dd>``
+# and so on) is rendered only where a result shows it (``render_key``).
+FAMILY_CODE = {"device": 1, "ip": 2, "company": 3, "address": 4, "phone": 5}
+KEY_COLS = ["fam", "k1", "k2"]
+
+
+def _epoch_day(c: str) -> Column:
+    return F.unix_date(F.to_date(F.col(c))).cast("bigint")
+
+
+def _epoch_month(c: str) -> Column:
+    return (F.year(F.col(c)) * 12 + F.month(F.col(c)) - 1).cast("bigint")
 
 
 def _family_struct(family: str) -> Column:
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    month = F.date_format("l_shipdate", "yyyy-MM")
+    day = _epoch_day("l_shipdate")
     if family == "device":
-        rel, key = F.lit("HasDeviceAddress"), _key("dev", F.col("l_partkey"), day)
+        rel, k1, k2 = F.lit("HasDeviceAddress"), F.col("l_partkey"), day
     elif family == "ip":
-        rel, key = F.lit("HasIP"), _key("ip", F.col("l_partkey"), F.col("l_suppkey"))
+        rel, k1, k2 = F.lit("HasIP"), F.col("l_partkey"), F.col("l_suppkey")
     elif family == "company":
-        rel, key = F.lit("HasCompanyName"), _key("co", F.col("l_suppkey"), day)
+        rel, k1, k2 = F.lit("HasCompanyName"), F.col("l_suppkey"), day
     elif family == "address":
-        rel, key = _by_flag(ADDRESS_TYPE_BY_FLAG), _key("addr", F.col("l_partkey"), F.col("l_quantity").cast("int"))
+        rel, k1, k2 = _by_flag(ADDRESS_TYPE_BY_FLAG), F.col("l_partkey"), F.col("l_quantity").cast("int").cast("bigint")
     elif family == "phone":
-        rel, key = _by_flag(PHONE_TYPE_BY_FLAG), _key("ph", F.col("l_partkey"), month)
+        rel, k1, k2 = _by_flag(PHONE_TYPE_BY_FLAG), F.col("l_partkey"), _epoch_month("l_shipdate")
     else:
         raise ValueError(f"unknown relationship family {family!r}")
-    return F.struct(rel.alias("rel_type"), key.alias("attr_key"))
+    return F.struct(rel.alias("rel_type"), F.lit(FAMILY_CODE[family]).alias("fam"),
+                    k1.cast("bigint").alias("k1"), k2.alias("k2"))
+
+
+def render_key(fam: str | Column = "fam", k1: str | Column = "k1", k2: str | Column = "k2") -> Column:
+    """Text form of an attribute node key, e.g. ``dev|<partkey>|<yyyy-MM-dd>``."""
+    f, a, b = (F.col(c) if isinstance(c, str) else c for c in (fam, k1, k2))
+    day = F.date_format(F.date_from_unix_date(b.cast("int")), "yyyy-MM-dd")
+    month = F.concat(F.floor(b / 12).cast("string"), F.lit("-"),
+                     F.lpad((F.pmod(b, F.lit(12)) + 1).cast("string"), 2, "0"))
+
+    def key(prefix, tail):
+        return F.concat(F.lit(prefix + "|"), a.cast("string"), F.lit("|"), tail)
+
+    return (F.when(f == 1, key("dev", day)).when(f == 2, key("ip", b.cast("string")))
+            .when(f == 3, key("co", day)).when(f == 4, key("addr", b.cast("string")))
+            .when(f == 5, key("ph", month)))
 
 
 @dataclass
@@ -130,7 +155,7 @@ class PropertyGraphSource:
 
     # -- relationships -----------------------------------------------------
     def owns(self, rel_types, distinct: bool = True) -> DataFrame:
-        """``(rel_type, app, attr_key)`` rows of the given relationship types, as a set
+        """``(rel_type, app, fam, k1, k2)`` rows of the given relationship types, as a set
         (``distinct=False``: as generated, for consumers that deduplicate later)."""
         rel_types = tuple(sorted(set(rel_types)))
         memo_key = ("owns", rel_types, distinct)
@@ -139,42 +164,33 @@ class PropertyGraphSource:
             li = self.table("lineitem")
             rows = li.select(F.col("l_orderkey").alias("app"),
                              F.inline(F.array(*[_family_struct(f) for f in families])))
-            rows = rows.filter(F.col("rel_type").isin(*rel_types)).select("rel_type", "app", "attr_key")
+            rows = rows.filter(F.col("rel_type").isin(*rel_types)).select("rel_type", "app", *KEY_COLS)
             self._memo[memo_key] = rows.distinct() if distinct else rows
         return self._memo[memo_key]
 
-    def person_attr(self, rel_types) -> DataFrame:
-        """Attribute keys reached by a person through one of the given relationship types:
-        ``(person, attr_key)`` as a set.  Deduplicating at the person level before any
-        self-join is exact for the link patterns (two different persons always mean two
-        different applications) and shrinks hot keys."""
-        rel_types = tuple(sorted(set(rel_types)))
-        memo_key = ("person_attr", rel_types)
-        if memo_key not in self._memo:
-            o = self.owns(rel_types)
-            self._memo[memo_key] = (o.join(self.has_id_card(), "app")
-                                    .select("person", "attr_key").distinct())
-        return self._memo[memo_key]
-
     def phones_of_apps(self, rel_type: str = "HasPhone") -> DataFrame:
-        """``(app, attr_key)`` phones of applications for one phone relationship type."""
-        return self.owns((rel_type,)).filter(F.col("rel_type") == rel_type).select("app", "attr_key")
+        """``(app, k1, k2)`` phones of applications for one phone relationship type."""
+        return self.owns((rel_type,)).filter(F.col("rel_type") == rel_type).select("app", "k1", "k2")
 
     def calls(self) -> DataFrame:
-        """``HasCall(src, dst, call_cnt)``: two phones k1 < k2 of one application call each
-        other; ``call_cnt`` = number of distinct applications holding both (each
+        """``HasCall(src_k1, src_k2, dst_k1, dst_k2, call_cnt)`` between phone nodes: two
+        phones of one application call each other, from the one whose text key is
+        smaller; ``call_cnt`` = number of distinct applications holding both (each
         ``(app, k1, k2)`` occurs once, since ``owns`` is a set)."""
         if "calls" not in self._memo:
-            p = self.phones_of_apps("HasPhone")
+            p = self.phones_of_apps("HasPhone").withColumn("text", render_key(F.lit(FAMILY_CODE["phone"])))
             a, b = p.alias("a"), p.alias("b")
-            pairs = a.join(b, (F.col("a.app") == F.col("b.app")) & (F.col("a.attr_key") < F.col("b.attr_key")))
-            self._memo["calls"] = (pairs.groupBy(F.col("a.attr_key").alias("src"), F.col("b.attr_key").alias("dst"))
+            pairs = a.join(b, (F.col("a.app") == F.col("b.app")) & (F.col("a.text") < F.col("b.text")))
+            self._memo["calls"] = (pairs.groupBy(F.col("a.k1").alias("src_k1"), F.col("a.k2").alias("src_k2"),
+                                                 F.col("b.k1").alias("dst_k1"), F.col("b.k2").alias("dst_k2"))
                                    .agg(F.count(F.lit(1)).cast("bigint").alias("call_cnt")))
         return self._memo["calls"]
 
     def owns_with_person(self, rel_types) -> DataFrame:
-        """``(rel_type, app, person, attr_key)``: the relationship rows with the id card."""
-        return self.owns(rel_types).join(self.has_id_card(), "app").select("rel_type", "app", "person", "attr_key")
+        """``(rel_type, app, person, attr_key)``: the relationship rows with the id card and
+        the text key of the attribute node."""
+        return (self.owns(rel_types).join(self.has_id_card(), "app")
+                .select("rel_type", "app", "person", render_key().alias("attr_key")))
 
 
 def source(spark: SparkSession, sf_dir: str) -> PropertyGraphSource:

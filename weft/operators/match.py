@@ -221,7 +221,10 @@ def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags:
                          *[F.col(n).alias(f"{n}1") for n in names])
     far = phones.select(F.col("app").alias("target"), F.col("k1").alias("b1"), F.col("k2").alias("b2"),
                         *[F.col(n).alias(f"{n}2") for n in names])
-    step = near.join(undirected_calls(src), ["a1", "a2"]).drop("a1", "a2")
-    bag = salted_join(step, far, ["b1", "b2"])
+    # both hops split hot phones (hot-key passes read materialised tables): the call
+    # edges of a hub phone, and the owners of a phone held by very many applications,
+    # are spread over many tasks
+    step = salted_join(undirected_calls(src), near, ["a1", "a2"]).drop("a1", "a2")
+    bag = salted_join(far, step, ["b1", "b2"])
     out = ["source", "target", "weight"] + [f"{n}1" for n in names] + [f"{n}2" for n in names]
     return bag.select(*out)

@@ -47,13 +47,15 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
     if max_steps <= 0:
         raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
     ids, edges = materialise(graph)
-    adj = Adjacency(edges, "both")
+    # parallel edges and self-loops pre-aggregated: one adjacency row per (me, nbr)
+    # with its multiplicity, votes are summed multiplicities
+    adj = Adjacency(edges, "both", multiplicity="count")
     try:
         active = ids if graph.endpoints_only else cut_lineage(adj.receivers())
         labels = active.select("id", F.col("id").alias("label"))
         for step in range(1, max_steps + 1):
             msgs = adj.gather(labels, ["label"])
-            votes = msgs.groupBy(F.col("me").alias("id"), "label").agg(F.count(F.lit(1)).alias("votes"))
+            votes = msgs.groupBy(F.col("me").alias("id"), "label").agg(F.sum("mult").alias("votes"))
             nxt = best_label(votes)
             if step % checkpoint_every == 0 or step == max_steps:
                 nxt = cut_lineage(nxt)

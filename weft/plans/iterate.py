@@ -57,7 +57,11 @@ class Adjacency:
     receives from src).  Parallel edges are kept, so they count as often as they occur.
     """
 
-    def __init__(self, edges: DataFrame, direction: str = "both", extra: list[str] | None = None):
+    def __init__(self, edges: DataFrame, direction: str = "both", extra: list[str] | None = None,
+                 multiplicity: str = "bag"):
+        """``multiplicity``: ``"bag"`` keeps one row per edge; ``"count"`` pre-aggregates
+        parallel rows into ``(me, nbr, mult)`` (for senders whose messages add up);
+        ``"set"`` keeps distinct ``(me, nbr)`` (for idempotent merges such as min)."""
         extra = extra or []
         fwd = edges.select(F.col("dst").alias("me"), F.col("src").alias("nbr"), *extra)    # dst hears src
         back = edges.select(F.col("src").alias("me"), F.col("dst").alias("nbr"), *extra)   # src hears dst
@@ -69,6 +73,13 @@ class Adjacency:
             adj = back
         else:
             raise ValueError(direction)
+        if multiplicity == "count":
+            adj = adj.groupBy("me", "nbr", *extra).agg(F.count(F.lit(1)).alias("mult"))
+            extra = extra + ["mult"]
+        elif multiplicity == "set":
+            adj = adj.distinct()
+        elif multiplicity != "bag":
+            raise ValueError(multiplicity)
         spark = edges.sparkSession
         threshold, max_hot, max_salt = skew_settings(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,7 +155,8 @@ def pregel(graph: Graph, value: str, initial: Column, send: str, merge: Callable
            checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
     """Generic vertex program (A3) over one vertex value column.
 
-    ``initial`` computes the start value from the vertex row; each superstep every
+    The merge must be idempotent (min, max, or, and, ...): parallel edges deliver one
+    message.  ``initial`` computes the start value from the vertex row; each superstep every
     vertex sends its value along ``send`` ("out" = to dst, "in" = to src, "both"),
     messages are merged with the aggregate ``merge`` and vertices that received any
     message take ``update(old, merged)``.  Stops after ``max_iter`` supersteps or, with
@@ -152,7 +164,7 @@ def pregel(graph: Graph, value: str, initial: Column, send: str, merge: Callable
     """
     direction = {"out": "in", "in": "out", "both": "both"}[send]
     _, edges = materialise(graph)
-    adj = Adjacency(edges, direction)
+    adj = Adjacency(edges, direction, multiplicity="set")
     try:
         cur = graph.vertices.select("id", initial.alias(value))
         cur = cut_lineage(cur)

@@ -21,6 +21,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.skew import salted_join
+from weft.plans.iterate import cut_lineage
+
 # Fixed values of the mapping (must equal the fixture definition).
 # o_orderstatus -> end_result: F rejected "1", O passed "0", P "2".
 STATUS_TO_END_RESULT = {"F": "1", "O": "0", "P": "2"}
@@ -169,8 +172,15 @@ class PropertyGraphSource:
         return self._memo[memo_key]
 
     def phones_of_apps(self, rel_type: str = "HasPhone") -> DataFrame:
-        """``(app, k1, k2)`` phones of applications for one phone relationship type."""
-        return self.owns((rel_type,)).filter(F.col("rel_type") == rel_type).select("app", "k1", "k2")
+        """``(app, k1, k2)`` phones of applications for one phone relationship type.
+
+        Read by several joins and their hot-key passes, so it is materialised once
+        (reliable checkpoint in the shared folder) per source."""
+        memo_key = ("phones", rel_type)
+        if memo_key not in self._memo:
+            rows = self.owns((rel_type,)).filter(F.col("rel_type") == rel_type).select("app", "k1", "k2")
+            self._memo[memo_key] = cut_lineage(rows)
+        return self._memo[memo_key]
 
     def calls(self) -> DataFrame:
         """``HasCall(src_k1, src_k2, dst_k1, dst_k2, call_cnt)`` between phone nodes: two
@@ -179,11 +189,12 @@ class PropertyGraphSource:
         ``(app, k1, k2)`` occurs once, since ``owns`` is a set)."""
         if "calls" not in self._memo:
             p = self.phones_of_apps("HasPhone").withColumn("text", render_key(F.lit(FAMILY_CODE["phone"])))
-            a, b = p.alias("a"), p.alias("b")
-            pairs = a.join(b, (F.col("a.app") == F.col("b.app")) & (F.col("a.text") < F.col("b.text")))
-            self._memo["calls"] = (pairs.groupBy(F.col("a.k1").alias("src_k1"), F.col("a.k2").alias("src_k2"),
-                                                 F.col("b.k1").alias("dst_k1"), F.col("b.k2").alias("dst_k2"))
-                                   .agg(F.count(F.lit(1)).cast("bigint").alias("call_cnt")))
+            a = p.select("app", F.col("k1").alias("src_k1"), F.col("k2").alias("src_k2"), F.col("text").alias("t1"))
+            b = p.select("app", F.col("k1").alias("dst_k1"), F.col("k2").alias("dst_k2"), F.col("text").alias("t2"))
+            # an application holding very many phones is split across tasks
+            pairs = salted_join(a, b, "app", condition=lambda L, R: L("t1") < R("t2"))
+            self._memo["calls"] = cut_lineage(pairs.groupBy("src_k1", "src_k2", "dst_k1", "dst_k2")
+                                              .agg(F.count(F.lit(1)).cast("bigint").alias("call_cnt")))
         return self._memo["calls"]
 
     def owns_with_person(self, rel_types) -> DataFrame:

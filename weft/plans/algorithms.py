@@ -182,6 +182,7 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
     try:
         state = verts.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
                              F.lit(True).alias("active"))
+        cached = None
         for i in range(1, max_iter + 1):
             senders = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
             msgs = (adj.gather(senders, ["delta"]).groupBy(F.col("me").alias("id"))
@@ -192,10 +193,21 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
                              F.when(F.col("m").isNull(), F.col("delta"))
                              .otherwise(F.lit(1.0 - reset) * F.col("m")).alias("delta"),
                              F.col("m").isNotNull().alias("active")))
-            state = cut_lineage(state) if i % checkpoint_every == 0 else state.persist()
-            if state.filter(F.col("active") & (F.col("delta") > F.lit(tol))).limit(1).count() == 0:
+            if i % checkpoint_every == 0:
+                state = cut_lineage(state)
+            else:
+                state = state.persist()
+            # the convergence test materialises this round; the previous cache is then free
+            done = state.filter(F.col("active") & (F.col("delta") > F.lit(tol))).limit(1).count() == 0
+            if cached is not None:
+                cached.unpersist()
+            cached = state if state.storageLevel.useMemory or state.storageLevel.useDisk else None
+            if done:
                 break
-        return _normalise(cut_lineage(state.select("id", "rank")))
+        out = _normalise(cut_lineage(state.select("id", "rank")))
+        if cached is not None:
+            cached.unpersist()
+        return out
     finally:
         adj.release()
 
@@ -215,8 +227,8 @@ def triangle_count(graph: Graph) -> DataFrame:
     ranked = e.join(lo_d, "lo").join(hi_d, "hi")
     lo_first = (F.col("dl") < F.col("dh")) | ((F.col("dl") == F.col("dh")) & (F.col("lo") < F.col("hi")))
     # oriented edge x -> y from the lower to the higher (degree, id)
-    o = ranked.select(F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("x"),
-                      F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("y"))
+    o = cut_lineage(ranked.select(F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("x"),
+                                  F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("y")))
     wedges = salted_join(o.withColumnRenamed("y", "y1"), o.withColumnRenamed("y", "y2"), "x",
                          condition=lambda L, R: L("y1") < R("y2"))
     closed = _close(wedges, e)

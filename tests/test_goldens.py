@@ -146,3 +146,37 @@ def test_single_vertex_self_loop(spark):
     assert as_dict(alg.triangle_count(g)) == {7: 0}
     assert as_dict(alg.connected_components(g)) == {7: 7}
     assert met.density(g).first()["density"] == 0.0
+
+
+def test_aggregate_messages_and_pregel(spark):
+    from weft.plans.iterate import aggregate_messages, pregel
+    g = g1(spark)
+    # sum of the source's dpd7 over in-edges, and max neighbour id over both directions
+    s = as_dict(aggregate_messages(g, None, F.col("src_dpd7"), F.sum))
+    assert s == {A: 1, B: 1 + 0, C: 1}
+    mx = as_dict(aggregate_messages(g, F.col("dst"), F.col("src"), F.max))
+    assert mx == {A: D, B: D, C: D, D: C}
+    # min label to a fixpoint along both directions = connected components
+    labels = as_dict(pregel(g, "label", F.col("id"), "both", F.min, F.least, max_iter=50))
+    assert set(labels.values()) == {A}
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from weft.sinks import read_membership, write_membership, write_ranked
+    m = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (1, 3)], "community bigint, member bigint")
+    for fmt in ("parquet", "text"):
+        path = str(tmp_path / fmt)
+        write_membership(m, path, fmt=fmt)
+        assert sorted(map(tuple, read_membership(spark, path, fmt).collect())) == [(1, 1), (1, 2), (1, 3), (5, 5)]
+    ranks = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 1.5)], "id bigint, rank double")
+    write_ranked(ranks, "rank", str(tmp_path / "ranked"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "ranked")).collect()]
+    assert sorted(lines) == ["1,0.5", "2,1.5", "3,1.5"]
+
+
+def test_edge_list_file(spark, tmp_path):
+    from weft.sources.edgelist import edge_list_graph
+    p = tmp_path / "edges.txt"
+    p.write_text("1 2\n3 4\n5 6\n")
+    g = edge_list_graph(spark, str(p))
+    assert g.vertices.count() == 6 and g.edges.count() == 3

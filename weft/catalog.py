@@ -21,11 +21,11 @@ from weft.operators.match import APP_ATTRS, call_graph, links
 from weft.plans import algorithms as alg
 from weft.plans import community as com
 from weft.plans import metrics as met
-from weft.plans.iterate import aggregate_messages, pregel
+from weft.plans.iterate import pregel
 from weft.session import scratch_path
 from weft.sinks import read_membership, write_membership
 from weft.sources.edgelist import parse_edge_list, render_edge_list, text_lines
-from weft.sources.tables import ADDRESS_TYPES, FAMILY_CODE, FAMILY_OF, PropertyGraphSource, render_key, source
+from weft.sources.tables import FAMILY_CODE, FAMILY_OF, PropertyGraphSource, render_key, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -235,11 +235,7 @@ def q_call_graph_flags(spark, d):
 @register("call_graph_wide", Q.with_base(body=Q.CALL_GRAPH_WIDE))
 def q_call_graph_wide(spark, d):
     wide = call_graph(S(spark, d), attrs=APP_ATTRS)
-    names = {"end_result": "end_result", "dpd7": "dpd7", "dpd15": "dpd15", "dpd30": "dpd30", "dpd90": "dpd90"}
-    cols = ["source", "target", "weight"]
-    cols += [F.col(f"{a}1").alias(f"{names[a]}1") for a in APP_ATTRS]
-    cols += [F.col(f"{a}2").alias(f"{names[a]}2") for a in APP_ATTRS]
-    return wide.select(*cols)
+    return wide.select("source", "target", "weight", *[f"{a}1" for a in APP_ATTRS], *[f"{a}2" for a in APP_ATTRS])
 
 
 @register("edge_struct_attr", Q.with_base(body=f"""
@@ -718,6 +714,3 @@ def partition_filter(spark, d):
     pairs = S(spark, d).table("customer").select("c_name", "c_mktsegment")
     return rel.partition_filter(pairs, "c_name", "c_mktsegment", "BUILDING")
 
-
-__all__ = ["QUERIES", "SQL", "link_graph", "person_graph", "flag_graph", "ADDRESS_TYPES", "aggregate_messages",
-           "overdue_flag"]

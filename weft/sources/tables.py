@@ -45,7 +45,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table.  A scan with fewer splits than the cluster has cores (a
+    small file with a single row group) is spread round-robin over the cores, so the
+    row expansion that follows does not run in one task; a large scan is untouched."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _by_flag(mapping: dict[str, str]) -> Column:

@@ -147,7 +147,7 @@ def call_links(src: PropertyGraphSource, rule: CallRule, distinct: bool = True)
     # person -> own phone -> the phone at the other end of the call; a set before the next hop
     step = calls.select(F.col(f"{near}_k1").alias("k1"), F.col(f"{near}_k2").alias("k2"),
                         F.col(f"{far}_k1").alias("o1"), F.col(f"{far}_k2").alias("o2"))
-    hop = (left.join(step, ["k1", "k2"])
+    hop = (salted_join(left, step, ["k1", "k2"])
            .select("src", F.col("o1").alias("k1"), F.col("o2").alias("k2")).distinct())
     right = pra.filter(F.col("rel_type") == rule.right).select(F.col("person").alias("dst"), "k1", "k2")
     pairs = salted_join(hop, right, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, L("src"), R("dst")),
@@ -206,8 +206,7 @@ def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags:
     the target; ``flags``: carry ``end_result`` and the overdue flag instead.
     Attributes are attached to the (smaller) phone-ownership table *before* the two
     path joins, so the bag result itself is never shuffled for them."""
-    phones = src.phones_of_apps("HasPhone")
-    cols: list[Column] = []
+    phones = owned = src.phones_of_apps("HasPhone")
     if flags or attrs:
         apps = src.applications()
         extra = []
@@ -225,6 +224,7 @@ def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags:
     # edges of a hub phone, and the owners of a phone held by very many applications,
     # are spread over many tasks
     step = salted_join(undirected_calls(src), near, ["a1", "a2"]).drop("a1", "a2")
-    bag = salted_join(far, step, ["b1", "b2"])
+    bag = salted_join(far, step, ["b1", "b2"],
+                      hot_from=owned.select(F.col("k1").alias("b1"), F.col("k2").alias("b2")))
     out = ["source", "target", "weight"] + [f"{n}1" for n in names] + [f"{n}2" for n in names]
     return bag.select(*out)

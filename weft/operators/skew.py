@@ -47,7 +47,7 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int, max_s
 def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
                 condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
                 threshold: int | None = None, max_hot: int | None = None, max_salt: int | None = None,
-                dedupe: bool = False) -> DataFrame:
+                dedupe: bool = False, hot_from: DataFrame | None = None) -> DataFrame:
     """Inner equi-join ``left ⋈ right`` on ``keys`` (same names on both sides) plus an
     optional residual ``condition(L, R)`` built from column getters of the two sides
     (evaluated inside the join), splitting hot keys.
@@ -55,6 +55,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
     Put the side with fewer rows per hot key on the right: it is the one replicated.
     The key columns appear once in the output, as in ``DataFrame.join(on=[...])``.
 
+    ``hot_from``: count hot keys on this frame instead of ``left`` (a materialised table
+    with the same key distribution, so the hot-key pass does not re-derive ``left``).
+
     ``dedupe``: join each side as a *set*.  Both sides are hash-partitioned on the
     join keys (plus bucket) once and deduplicated inside those partitions, so the
     distinct costs no shuffle of its own.
@@ -65,7 +68,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
     max_hot = max_hot or h
     max_salt = max_salt or s
 
-    hot = F.broadcast(hot_keys(left, keys, threshold, max_hot, max_salt))
+    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, keys, threshold, max_hot, max_salt))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     lb = (left.join(hot, keys, "left")
           .withColumn("_b", F.when(F.col("_salts").isNull(), F.lit(0))

@@ -68,7 +68,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
     max_hot = max_hot or h
     max_salt = max_salt or s
 
-    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, keys, threshold, max_hot, max_salt))
+    hot_df = hot_keys(left if hot_from is None else hot_from, keys, threshold, max_hot, max_salt)
+    # at most ``max_hot`` rows: resolved now, so a join without hot keys is planned as a
+    # plain equi-join and one with hot keys broadcasts exactly this bounded list
+    hot_rows = hot_df.collect()
+    if not hot_rows:
+        return _plain_join(left, right, keys, condition, dedupe)
+    spark = left.sparkSession
+    hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     lb = (left.join(hot, keys, "left")
           .withColumn("_b", F.when(F.col("_salts").isNull(), F.lit(0))
@@ -93,3 +100,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
     out += [F.col(f"_l.{c}") for c in left.columns if c not in keys]
     out += [F.col(f"_r.{c}") for c in right.columns if c not in keys]
     return joined.select(*out)
+
+
+def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], condition, dedupe: bool) -> DataFrame:
+    if dedupe:
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = left.repartition(n, *keys).distinct()
+        right = right.repartition(n, *keys).distinct()
+    l, r = left.alias("_l"), right.alias("_r")
+    cond = None
+    for k in keys:
+        c = F.col(f"_l.{k}") == F.col(f"_r.{k}")
+        cond = c if cond is None else cond & c
+    if condition is not None:
+        cond = cond & condition(lambda c: F.col(f"_l.{c}"), lambda c: F.col(f"_r.{c}"))
+    out = [F.col(f"_l.{k}").alias(k) for k in keys]
+    out += [F.col(f"_l.{c}") for c in left.columns if c not in keys]
+    out += [F.col(f"_r.{c}") for c in right.columns if c not in keys]
+    return l.join(r, cond, "inner").select(*out)

@@ -46,12 +46,12 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
     cannot change the result."""
     if max_steps <= 0:
         raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
-    ids, edges = materialise(graph)
     # parallel edges and self-loops pre-aggregated: one adjacency row per (me, nbr)
-    # with its multiplicity, votes are summed multiplicities
-    adj = Adjacency(edges, "both", multiplicity="count")
+    # with its multiplicity, votes are summed multiplicities.  The adjacency is the
+    # only materialised input; its receivers are the non-isolated vertices.
+    adj = Adjacency(graph.edges.select("src", "dst"), "both", multiplicity="count")
     try:
-        active = ids if graph.endpoints_only else cut_lineage(adj.receivers())
+        active = adj.receivers()
         labels = active.select("id", F.col("id").alias("label"))
         for step in range(1, max_steps + 1):
             msgs = adj.gather(labels, ["label"])
@@ -65,7 +65,7 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
             labels = nxt
         if graph.endpoints_only:
             return labels
-        isolated = ids.join(active, "id", "left_anti")
+        isolated = graph.vertices.select("id").join(active, "id", "left_anti")
         return labels.union(isolated.select("id", F.col("id").alias("label")))
     finally:
         adj.release()

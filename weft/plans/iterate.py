@@ -84,10 +84,11 @@ class Adjacency:
         threshold, max_hot, max_salt = skew_settings(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         adj = cut_lineage(adj)
-        # bounded (``limit``) and materialised once: every round only broadcasts it
-        hot = cut_lineage(hot_keys(adj, ["nbr"], threshold, max_hot, max_salt).withColumnRenamed("nbr", "_hid"))
-        self.salted = hot.limit(1).count() > 0
-        self.hot = F.broadcast(hot)
+        # at most ``max_hot`` rows (``limit``): resolved once, every round broadcasts it
+        hot_df = hot_keys(adj, ["nbr"], threshold, max_hot, max_salt).withColumnRenamed("nbr", "_hid")
+        hot_rows = hot_df.collect()
+        self.salted = bool(hot_rows)
+        self.hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema)) if self.salted else None
         if self.salted:
             row_hash = F.xxhash64(F.col("me"), F.col("nbr"))
             adj = (adj.join(self.hot, F.col("nbr") == F.col("_hid"), "left")

@@ -150,7 +150,9 @@ def call_links(src: PropertyGraphSource, rule: CallRule, distinct: bool = True)
     hop = (salted_join(left, step, ["k1", "k2"])
            .select("src", F.col("o1").alias("k1"), F.col("o2").alias("k2")).distinct())
     right = pra.filter(F.col("rel_type") == rule.right).select(F.col("person").alias("dst"), "k1", "k2")
-    pairs = salted_join(hop, right, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, L("src"), R("dst")),
+    # the materialised ownership rows are the counted (left) side, so the hot-key pass
+    # does not re-derive the hop
+    pairs = salted_join(right, hop, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, R("src"), L("dst")),
                         dedupe=True)
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out

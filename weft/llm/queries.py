@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import credentials, host_rules, line_dedup, mixing, packing, token_files
+from weft.llm import credentials, embedding_dedup, host_rules, jaccard_join, langid, line_dedup, mixing, packing, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +54,24 @@ def op10_line_dedup(spark, sf_dir):
     d = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op3_substring_dedup(spark, sf_dir):
+    d = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_groups(documents(spark, sf_dir))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+@query
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -172,7 +172,7 @@ def test_token_files(docs, rows, tmp_path):
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), brute.crc(ids)), d
         at += len(ids)
     bins = [f for f in os.listdir(tmp_path / "out") if f.endswith(".bin")]
-    assert sum(os.path.getsize(tmp_path / "out" / f) for f in bins) == 4 * at
+    assert sum(os.path.getsize(tmp_path / "out" / f) for f in bins) == 2 * at
     assert all(f.endswith((".bin", ".idx", ".ids")) for f in os.listdir(tmp_path / "out"))
 
 

@@ -1,4 +1,6 @@
-"""Flat token files: unsigned 32-bit ids, 64-bit document offsets, memory-mapped on reading.
+"""Flat token files: unsigned ids, 64-bit document offsets, memory-mapped on reading.
+
+Ids take 16 bits if the vocabulary (and the end id) fits, else 32; the manifest says which.
 
 The documents are range-partitioned and sorted by id.  Each partition streams its ids into
 one file ``part-NNNNN.bin`` and its documents' offsets inside the part into ``.idx``; only a
@@ -27,9 +29,8 @@ from weft.llm.common import shared_path, prepare, stored, with_base
 from weft.llm.tokens import encoder
 
 END_ID = 2
-ID = np.dtype("<u4")
 OFFSET = np.dtype("<u8")
-MANIFEST = "part int, docs long, ids long"
+MANIFEST = "part int, docs long, ids long, width int"
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -41,7 +42,8 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     part, tok = TaskContext.get().partitionId(), encoder(vocabulary)
     store, root = _open(folder)
-    tail = b"" if end_id is None else np.array([end_id], dtype=ID).tobytes()
+    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    width = 2 if tok.small and (end_id or 0) < 1 << 16 else 4
     names = [f"{root}/part-{part:05d}.{x}" for x in ("bin", "idx", "ids")]
     temporary = [f"{n}.{uuid.uuid4().hex}" for n in names]
     outs, docs, at = [], 0, 0
@@ -50,8 +52,8 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
             store.create_dir(root, recursive=True)
             outs = [store.open_output_stream(n) for n in temporary]
         coded = [x + tail for x in tok.encode(b.column("text").to_pylist())]
-        ends = at + np.cumsum([len(x) // ID.itemsize for x in coded], dtype=OFFSET)
-        outs[0].write(b"".join(coded))
+        ends = at + np.cumsum([len(x) // 4 for x in coded], dtype=OFFSET)
+        outs[0].write(np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes())
         outs[1].write(np.r_[np.array([at], dtype=OFFSET), ends[:-1]].astype(OFFSET).tobytes())
         ids = b.column("doc_id")
         outs[2].write(b"".join(b"\0" * 9 if x is None else b"\1" + int(x).to_bytes(8, "little", signed=True) for x in ids.to_pylist()))
@@ -62,11 +64,11 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str,
             store.delete_file(n)
         store.move(t, n)
     if docs:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs]), pa.array([at])], names=["part", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs]), pa.array([at]), pa.array([width], pa.int32())], names=["part", "docs", "ids", "width"])
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """Write the files; returns the manifest ``part, docs, ids, base`` (base: ids before the part).
+    """Write the files; returns the manifest ``part, docs, ids, width, base`` (base: ids before the part).
 
     A null or empty text has only its end id; null ids come last; rows that share an id lie
     next to each other, by text.  An empty table writes no file.
@@ -81,7 +83,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
 class TokenPart:
     """One part, opened for reading."""
 
-    def __init__(self, folder: str, part: int, ids: int):
+    def __init__(self, folder: str, part: int, ids: int, width: int):
         self.store, root = _open(folder)
         name = f"{root}/part-{part:05d}"
         starts = np.frombuffer(self._all(f"{name}.idx"), dtype=OFFSET)
@@ -90,7 +92,8 @@ class TokenPart:
         self.doc_ids = [int(x["id"]) if x["some"] else None for x in raw]
         self.path = f"{name}.bin"
         local = isinstance(self.store, pafs.LocalFileSystem)
-        self.map = np.memmap(self.path, dtype=ID, mode="r") if local and ids else None
+        self.kind = np.dtype(f"<u{width}")
+        self.map = np.memmap(self.path, dtype=self.kind, mode="r") if local and ids else None
 
     def _all(self, name: str) -> bytes:
         with self.store.open_input_stream(name) as f:
@@ -104,18 +107,18 @@ class TokenPart:
         if self.map is not None:
             return self.map[a:b]
         with self.store.open_input_file(self.path) as f:
-            return np.frombuffer(f.read_at((b - a) * ID.itemsize, a * ID.itemsize), dtype=ID)
+            return np.frombuffer(f.read_at((b - a) * self.kind.itemsize, a * self.kind.itemsize), dtype=self.kind)
 
 
 def _read_parts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in b.to_pylist():
-            p = TokenPart(folder, row["part"], row["ids"])
+            p = TokenPart(folder, row["part"], row["ids"], row["width"])
             for lo in range(0, len(p), 4096):
                 ks = range(lo, min(lo + 4096, len(p)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p.doc_ids[k] for k in ks], pa.int64()), pa.array([row["base"] + int(p.starts[k]) for k in ks], pa.int64()),
-                     pa.array([int(p.starts[k + 1] - p.starts[k]) for k in ks], pa.int64()), pa.array([zlib.crc32(p[k]) for k in ks], pa.int64())],
+                     pa.array([int(p.starts[k + 1] - p.starts[k]) for k in ks], pa.int64()), pa.array([zlib.crc32(p[k].astype("<u4")) for k in ks], pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -1,23 +1,31 @@
-"""Token ids of whole texts with the tokenizers library, cached by piece.
+"""Token ids of whole texts with the tokenizers library, cached by word.
 
 Both vocabularies split a text at ASCII white space before any merge, so the ids of a text
-are those of its pieces in a row: a piece is a run of white space with the non-space run
-behind it.  Texts that hold other white space (which a piece rule would have to know) are
-encoded whole.  The cache per worker is emptied when it is full, so memory is bounded.
+are those of its words in a row, each with the space or the line break before it.  A worker
+keeps the ids of the words that it has seen; the new words of a batch are encoded by the
+library in one text, with a separator between them whose id no word can have.  Texts with
+other white space, or runs of it that the vocabulary might join, are encoded whole.  The
+cache is emptied when it is full, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: white space besides the ASCII six, the separators that some libraries count as such too
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-CACHE = 400_000
-LONGEST = 64  # longer pieces are encoded but not kept
+#: white space besides the ASCII six, separators that some libraries count as such too, and the
+#: control signs used as marks here
+ODD_ASCII = [chr(c) for c in (1, 2, 3, *range(0x1C, 0x20))]
+ODD = ODD_ASCII + [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)]
+#: white space other than single spaces, and one or two line breaks, inside a text
+UNEVEN = ["  ", "\n\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r"]
+CACHE = 1_000_000
+LONGEST = 48  # longer words are encoded but not kept
+#: a stop after a letter is a piece of its own for both vocabularies
+STOPS = frozenset(".,;:!?")
+#: marks of a word behind a line break and of a text's first word; others follow a space
+BREAK, FIRST = "\x02", "\x03"
 
 _open: dict[str, Encoder] = {}
 
@@ -34,27 +42,86 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(name if os.path.sep in name else public_path(name))
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = name.startswith("word")  # white space is dropped: words alone are pieces
+        self.drops_space = self.whole([" "])[0] == b""
+        self.between = " \x01 " if self.drops_space else "\n"
+        self.break_ids = self.whole(["\n"])[0]
+        (self.mark,) = np.frombuffer(self.whole([self.between.strip(" ")])[0], "<u4")
+        self.stops = {s: self.whole([s])[0] for s in STOPS}
+        self.small = self.tok.get_vocab_size() <= 1 << 16
         self.cache: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """New words, a thousand in one text."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 1000):
+            part = words[lo:lo + 1000]
+            texts = part if self.drops_space else [w[1:] if w[:1] == FIRST else " " + w for w in part]
+            ids = np.frombuffer(self.whole([self.between.join(texts)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            if len(ends) != len(part):  # cannot be, but a wrong split would be silent
+                out += self.whole(texts)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[4 * at:4 * end])
+                at = end + 1
+        return out
+
+    def _stem(self, w: str) -> str:
+        """The word that is looked up for ``w``: no last stop, no line break, in lower case
+        where that is the same to the tokenizer."""
+        if w[-1:] in STOPS and w[-2:-1].isalpha():
+            w = w[:-1]
+        if w[:1] == BREAK:
+            w = FIRST + w[1:]
+        return w.lower() if self.drops_space and w.isascii() else w
+
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of a batch's distinct words; the cache holds stems only."""
+        if len(self.cache) > CACHE:
+            self.cache = {}
+        cache = self.cache
+        out = dict(zip(words, map(cache.get, words)))
+        rest = [w for w, ids in out.items() if ids is None]
+        stems = list(map(self._stem, rest))
+        need = [s for s in set(stems) if s not in cache]
+        cache.update(zip(need, self._encode_words(need)))
+        for w, s in zip(rest, stems):
+            ids = cache[s]
+            if w != s:
+                if w[-1:] in STOPS and w[-2:-1].isalpha():
+                    ids += self.stops[w[-1]]
+                if w[:1] == BREAK:
+                    ids = self.break_ids + ids
+            out[w] = ids
+        for s in need:
+            if len(s) > LONGEST:
+                del cache[s]
+        return out
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        words = [t.split() for t in texts] if self.drops_space else [(FIRST + t.replace("\n", " " + BREAK)).split(" ") for t in texts]
+        get = self._ids_of(set().union(*words)).__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+    def _is_plain(self, t: str) -> bool:
+        if any(c in t for c in (ODD_ASCII if t.isascii() else ODD)):
+            return False
+        return self.drops_space or not (t[0] in " \n" or t[-1] in " \n" or any(x in t for x in UNEVEN))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        cut = str.split if self.words else PIECE.findall
-        pieces = [[] if not t else None if ODD_SPACE.search(t) else cut(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({p for x in pieces if x for p in x if p not in cache})
-        if new:
-            cache.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([t for t, x in zip(texts, pieces) if x is None]))
-        out = [next(whole) if x is None else b"".join([cache[p] for p in x]) for x in pieces]
-        for p in new:
-            if len(p) > LONGEST:
-                del cache[p]
+        out = [b""] * len(texts)
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if self._is_plain(t) else rest).append(i)
+        for at, how in ((plain, self._by_word), (rest, self.whole)):
+            for i, ids in zip(at, how([texts[i] for i in at])):
+                out[i] = ids
         return out
 
 

@@ -1,3 +1,121 @@
-"""DuckDB SQL for the numbered queries that SQL can express."""
+"""DuckDB SQL for the numbered queries that SQL can express on whole tables.
 
-SQL: dict[str, str] = {}
+None for mixing (random rounding), language id (a trained model), packing and token files
+(a tokenizer): those are tested against brute force, held-out accuracy and round trips.
+"""
+
+from __future__ import annotations
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+   (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+    - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+   coalesce(n, 0)::BIGINT AS n_repeat_words
+   FROM d LEFT JOIN cov ON d.rid = cov.rid),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM f GROUP BY source),
+t AS (SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE / sum(n) AS mean, count(*) AS hosts FROM h),
+s AS (SELECT sum(h.n * power(h.k::DOUBLE / h.n - t.mean, 2)) / min(t.n) - (min(t.hosts) - 1) * min(t.mean * (1 - t.mean)) / min(t.n) AS between_hosts FROM h, t),
+p AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / between_hosts - 1)) ELSE 1e6 END AS weight FROM t, s),
+v AS (SELECT source, n, k, (k + mean * weight) / (n + weight) <= 0.5 AS ok FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept,
+  v.n::BIGINT AS n_host_docs, v.k::BIGINT AS n_host_failed
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
+
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM rep),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT word.rid, string_agg(x, ' ' ORDER BY word.j) AS t FROM word LEFT JOIN gone ON word.rid = gone.rid AND word.j = gone.j WHERE gone.j IS NULL GROUP BY word.rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN kept ON d.rid = kept.rid"""
+
+REACH = """
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+low AS (SELECT a, min(b) AS c FROM reach GROUP BY a)"""
+
+OP4 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, s FROM (
+  SELECT rid, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT rid, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+common AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.rid < y.rid GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ids AS (SELECT x.doc_id AS a, y.doc_id AS b FROM links JOIN d x ON links.a = x.rid JOIN d y ON links.b = y.rid),
+both_ways AS (SELECT a, b FROM ids UNION SELECT b, a FROM ids),{REACH}
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low.c, doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN low ON d.doc_id = low.a"""
+
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+good AS (SELECT vec_id, v FROM d WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),{REACH},
+deg AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.c, vec_id)) AS component_id,
+  least(vec_id, coalesce(low.c, vec_id)) = vec_id AS kept
+FROM d LEFT JOIN deg ON vec_id = deg.a LEFT JOIN low ON vec_id = low.a"""
+
+
+def _spans(kind: str, order: int, pattern: str, good: str) -> str:
+    """Spans of a pattern: matches and the text between them, lengths summed up."""
+    p = pattern.replace("'", "''")
+    return f"""
+{kind}_m AS (SELECT rid, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS x, unnest(list_slice(g, 1, len(m))) AS gap
+  FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d) WHERE len(m) > 0),
+{kind}_s AS (SELECT rid, {order} AS ord, '{kind}' AS kind, (sum(length(gap) + length(x)) OVER (PARTITION BY rid ORDER BY i) - length(x))::BIGINT AS s,
+  (sum(length(gap) + length(x)) OVER (PARTITION BY rid ORDER BY i))::BIGINT AS e, {good} AS ok FROM {kind}_m)"""
+
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_P = ASSIGN.replace("'", "''")
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans('assign', 0, ASSIGN, f"length(regexp_extract(x, '{_P}', 2)) >= 12")},
+{_spans('access', 1, 'AKIA[A-Z0-9]+', 'length(x) >= 18')},
+{_spans('hex', 2, '[0-9a-f]{16,}', 'true')},
+{_spans('ident', 3, '''(?i:access_?key_?id|client_?id|account|username|login)["']?\\x20*[:=]\\x20*["']?[A-Za-z0-9_.@-]+''', 'true')},
+{_spans('opaque', 4, '[A-Za-z0-9+/_-]{20,}', "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')")},
+{_spans('endpoint', 5, '(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!&=%+-]+', 'true')},
+s AS (SELECT rid, ord, kind, s, e FROM (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s
+  UNION ALL SELECT * FROM ident_s UNION ALL SELECT * FROM opaque_s UNION ALL SELECT * FROM endpoint_s) WHERE ok),
+weak AS (SELECT * FROM s x WHERE ord >= 3 AND NOT EXISTS (SELECT 1 FROM s y WHERE y.rid = x.rid AND y.ord < 3 AND y.s < x.e AND x.s < y.e)),
+part AS (SELECT * FROM s WHERE ord < 3 UNION ALL SELECT * FROM weak),
+linked AS (SELECT * FROM weak x WHERE
+  (ord = 5 OR ord = 3 OR EXISTS (SELECT 1 FROM part y WHERE y.rid = x.rid AND y.ord IN (1, 3) AND abs(x.s - y.s) <= 200)) AND
+  (ord = 4 OR EXISTS (SELECT 1 FROM part y WHERE y.rid = x.rid AND y.ord IN (0, 2, 4) AND abs(x.s - y.s) <= 200)) AND
+  (ord <> 5 OR EXISTS (SELECT 1 FROM part y WHERE y.rid = x.rid AND y.ord IN (1, 3) AND abs(x.s - y.s) <= 200))),
+every AS (SELECT rid, s, ord, kind || ':' || s || ':' || e AS x FROM s WHERE ord < 3 UNION ALL SELECT rid, s, ord, kind || ':' || s || ':' || e FROM linked),
+per AS (SELECT rid, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
+  string_agg(x, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base, string_agg(x, ',' ORDER BY s, ord) AS spans FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per ON d.rid = per.rid"""
+
+KEY = LOWER.format("trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+OP10 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT rid, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM d),
+keyed AS (SELECT *, {KEY} AS k FROM line),
+held AS (SELECT k, min(coalesce(doc_id, 9223372036854775807)) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM keyed LEFT JOIN held USING (k)
+  WHERE first IS NULL OR first = coalesce(doc_id, 9223372036854775807) GROUP BY rid)
+SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.rid = kept.rid"""
+
+SQL: dict[str, str] = {
+    "op2_host_rules": OP2, "op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op6_embedding_dedup": OP6,
+    "op8_credential_links": OP8, "op10_line_dedup": OP10,
+}

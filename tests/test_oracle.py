@@ -9,13 +9,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from weft.catalog import QUERIES, SQL
 from tests.oracle_compare import compare, duck
 
 SUBSET = ["link_device", "link_address", "link_phone_call", "link_call_emergency_fwd", "social_net_7",
           "call_graph_wide", "edge_struct_attr", "graph_with_default", "triplet_strings", "mask_cc",
           "lpa_10", "pregel_max_attr", "pagerank_20", "triangle_count", "network_report", "community_risk",
           "community_cogroup", "line_count", "complement", "paged_nodes", "sink_roundtrip", "edge_list_canonical"]
-KEYS = sorted(entry.oracle_sql()) if os.environ.get("WEFT_ORACLE_ALL") else SUBSET
+KEYS = sorted(SQL) if os.environ.get("WEFT_ORACLE_ALL") else SUBSET
 SF_DIR = os.environ.get("WEFT_ORACLE_SF", "/root/testdata/sf0.001")
 
 
@@ -26,12 +27,13 @@ def con():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
-    r = compare(spark, con, key, entry.queries()[key], entry.oracle_sql()[key], SF_DIR)
+    r = compare(spark, con, key, QUERIES[key], SQL[key], SF_DIR)
     assert r["ok"], r
 
 
 def test_every_query_has_an_oracle_or_a_golden():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"pagerank_tol"}
+    assert set(QUERIES) - set(SQL) == {"pagerank_tol"}
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_smoke(spark):

@@ -157,8 +157,22 @@ def test_aggregate_messages_and_pregel(spark):
     mx = as_dict(aggregate_messages(g, F.col("dst"), F.col("src"), F.max))
     assert mx == {A: D, B: D, C: D, D: C}
     # min label to a fixpoint along both directions = connected components
-    labels = as_dict(pregel(g, "label", F.col("id"), "both", F.min, F.least, max_iter=50))
-    assert set(labels.values()) == {A}
+    low = dict(values={"label": F.col("id")}, merge={"m": F.min("msg")}, update={"label": F.least("label", "m")},
+               to_dst=F.col("sender_label"), to_src=F.col("sender_label"))
+    for active in (False, True):
+        assert set(as_dict(pregel(g, **low, only_active=active)).values()) == {A}
+    with pytest.raises(RuntimeError):
+        pregel(g, **low, max_iter=1)
+    # receiver values, null messages and a sum: every vertex adds up its smaller neighbours, once
+    n = pregel(g, {"n": F.lit(0).cast("bigint")}, {"s": F.sum("msg")}, {"n": F.col("n") + F.col("s")},
+               to_dst=F.when(F.col("sender_n") <= F.col("receiver_n"), 1), steps=1, reads_receiver=True)
+    indegree = {r["dst"]: r["n"] for r in g.edges.groupBy("dst").agg(F.count("*").alias("n")).collect()}
+    assert {k: v for k, v in as_dict(n).items() if v} == indegree
+
+
+def test_pagerank_cap_raises(spark):
+    with pytest.raises(RuntimeError):
+        alg.pagerank_until(g1(spark), 1e-6, max_iter=1)
 
 
 def test_sinks_roundtrip(spark, tmp_path):

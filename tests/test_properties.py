@@ -118,12 +118,53 @@ def test_salted_join_equals_plain_join(spark):
     left = spark.createDataFrame(rows, "k int, a int")
     right = spark.createDataFrame([(k, j) for k in range(3) for j in range(5)], "k int, b int")
     plain = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
-    salted = salted_join(left, right, "k", threshold=20, max_hot=2, max_salt=16).select("k", "a", "b")
+    salted = salted_join(left, right, "k", threshold=20, max_hot=200).select("k", "a", "b")
     assert sorted(map(tuple, salted.collect())) == plain
     cond = salted_join(left, right, "k", condition=lambda L, R: L("a") > R("b") * 50, threshold=20)
     assert sorted(map(tuple, cond.select("k", "a", "b").collect())) == [r for r in plain if r[1] > r[2] * 50]
 
 
+@pytest.mark.parametrize("side", ["left", "right", "both"])
+def test_hub_of_either_side_is_split(spark, side):
+    """No task makes more than twice the mean of the output rows, wherever the hub is."""
+    n = {"left": (40_000, 10), "right": (10, 40_000), "both": (2_000, 2_000)}[side]
+    left, right = (spark.range(m).select((F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(7) if m > 100 else F.lit(7)).cast("long").alias("k"),
+                                         F.col("id").alias(c)) for m, c in zip(n, "ab"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(left, right, "k", threshold=100, max_hot=10_000)
+        per = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(per) == left.join(right, "k").count()
+        assert max(per) <= 2 * sum(per) / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_list_is_bounded_and_drops_no_hub(spark):
+    from weft.operators.skew import hot_keys
+    df = spark.range(10_000).select((F.col("id") % 100).alias("k"))
+    assert hot_keys(df, df, ["k"], 10, 5) is None          # 100 keys of 100 rows: none above a fifth
+    hub = df.union(spark.range(9_000).select(F.lit(3).cast("long").alias("k")))
+    assert [r["k"] for r in hot_keys(df, hub, ["k"], 10, 5).collect()] == [3]
+    assert hot_keys(df, None, ["k"], 10, 1_000).count() == 100
+
+
+def test_call_graph_labels_equal_those_of_the_pairs(spark):
+    """Self-calls, several phones an application, phones without calls."""
+    import random
+    r = random.Random(4)
+    phones = sorted({(a, p, 0) for a in range(25) for p in r.sample(range(14), r.randrange(0, 3))})
+    calls = sorted({(p, q) for p, q in ((r.randrange(14), r.randrange(14)) for _ in range(12)) if p <= q} | {(13, 13)})
+    both = [(p, 0, q, 0) for p, q in calls] + [(q, 0, p, 0) for p, q in calls if p != q]
+    pairs = [(s, t) for p, _, q, _ in both for s, x, _ in phones if x == p for t, y, _ in phones if y == q if not (s == t and p == q)]
+    ph = spark.createDataFrame(phones, "app long, k1 long, k2 long")
+    ca = spark.createDataFrame(both, "a1 long, a2 long, b1 long, b2 long")
+    for steps in (1, 2, 6):
+        assert as_dict(alg.call_graph_labels(ph, ca, steps)) == brute_lpa(pairs, steps)
+
+
 def test_hub_vertex_lpa_with_forced_salting(spark):
     spark.conf.set("weft.skew.threshold", "3")
     try:

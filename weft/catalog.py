@@ -1,8 +1,6 @@
 """Every operator of the reference as a named query over the driver tables.
 
-``QUERIES[key](spark, sf_dir) -> DataFrame`` and ``SQL[key]`` (DuckDB oracle; absent
-for the tolerance PageRank, whose iteration count depends on the data and is checked
-against golden values instead).
+``QUERIES[key](spark, sf_dir) -> DataFrame`` and ``SQL[key]`` (DuckDB oracle).
 """
 
 from __future__ import annotations
@@ -17,14 +15,14 @@ from weft.functions.columns import overdue_flag, scala_string
 from weft.model import Graph, edges_from_pairs, from_edges, from_vertices_and_edges, nodes_from_both_ends
 from weft.operators import relational as rel
 from weft.operators import structure as st
-from weft.operators.match import APP_ATTRS, call_graph, links
+from weft.operators.match import APP_ATTRS, call_graph, links, undirected_calls
 from weft.plans import algorithms as alg
 from weft.plans import community as com
 from weft.plans import metrics as met
-from weft.plans.iterate import pregel
+from weft.plans.iterate import aggregate_messages, pregel
 from weft.session import scratch_path
-from weft.sinks import read_membership, write_membership
-from weft.sources.edgelist import parse_edge_list, render_edge_list, text_lines
+from weft.sinks import read_membership, read_ranked, read_sizes, write_membership, write_ranked, write_sizes
+from weft.sources.edgelist import edge_list_graph, parse_edge_list, read_lines, render_edge_list, text_lines
 from weft.sources.tables import FAMILY_CODE, FAMILY_OF, PropertyGraphSource, render_key, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,13 +80,11 @@ def app_flags(src: PropertyGraphSource) -> DataFrame:
 def labelled_flags(src: PropertyGraphSource, steps: int = 10) -> DataFrame:
     """LPA over the application call graph, labels joined to the node attributes.
 
-    Every node is an endpoint of a call edge and its attributes are functions of its
-    application, so ``Graph(nodes from both ends, edges)`` equals ``fromEdges(edges)``
-    with the attributes attached afterwards by one join on the application key — the
-    bag of call rows is not re-read for the node table."""
-    e = call_graph(src).select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    labels = alg.label_propagation(from_edges(e, 1), steps)
-    return com.with_attrs(labels, app_flags(src))
+    The pairs of applications are never formed: votes move from owners to phones, over the
+    calls and to the owners at the other end.  Every node is an endpoint of a call edge and
+    its attributes are functions of its application, so they are attached afterwards by one
+    join on the application key."""
+    return com.with_attrs(alg.call_graph_labels(src.phones_of_apps("HasPhone"), undirected_calls(src), steps), app_flags(src))
 
 
 def S(spark, d):
@@ -131,11 +127,7 @@ SELECT id, CAST((rn - 1) // {PAGE_SIZE} AS INTEGER) AS page FROM (
 WHERE rn <= {PAGES * PAGE_SIZE}"""))
 def paged_nodes(spark, d):
     ids = S(spark, d).applications().select(F.col("app").alias("id"))
-    pages = [rel.page(ids, ["id"], k * PAGE_SIZE, PAGE_SIZE).withColumn("page", F.lit(k)) for k in range(PAGES)]
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.union(p)
-    return out
+    return rel.pages(ids, ["id"], PAGES, PAGE_SIZE)
 
 
 @register("pattern_scan", Q.with_base(body="SELECT app AS source, person AS target FROM has_id_card"))
@@ -199,6 +191,26 @@ def edge_list_canonical(spark, d):
     return parse_edge_list(lines, canonical_orientation=True)
 
 
+def _written_lines(spark, lines):
+    """Write text lines to the shared scratch folder and return the folder."""
+    path = scratch_path(spark, "lines")
+    lines.select("value").write.text(path)
+    return path
+
+
+@register("text_file_lines", Q.with_base(DOC_LINES, body="SELECT value FROM doc_lines"))
+def text_file_lines(spark, d):
+    """Lines of text files (``textFile``): the documents' lines, written and read as files."""
+    return read_lines(spark, _written_lines(spark, text_lines(S(spark, d).table("documents"))))
+
+
+@register("edge_list_file", Q.with_base(body=f"SELECT src, dst, 1 AS attr FROM ({Q.link_sql('link_phone_emergency')}) l"))
+def edge_list_file(spark, d):
+    """``edgeListFile``: a graph from files of ``src dst`` lines."""
+    path = _written_lines(spark, render_edge_list(links(S(spark, d), "link_phone_emergency")))
+    return edge_list_graph(spark, path).edges
+
+
 # ---------------------------------------------------------------------------------------
 # sinks K1-K3
 
@@ -211,6 +223,22 @@ def sink_roundtrip(spark, d):
     return read_membership(spark, path)
 
 
+@register("sink_sizes", Q.with_base(*Q.link_graph("link_device"), *Q.lpa_ctes(25),
+                                    body="SELECT label AS community, count(*) AS size FROM labels GROUP BY label", recursive=True))
+def sink_sizes(spark, d):
+    labels = alg.label_propagation(link_graph(S(spark, d), "link_device"), 25)
+    path = scratch_path(spark, "sizes")
+    write_sizes(com.sizes(labels), path)
+    return read_sizes(spark, path)
+
+
+@register("sink_ranked", Q.with_base(*Q.link_graph("link_phone"), *Q.triangle_ctes(), body="SELECT id, triangles FROM tc"))
+def sink_ranked(spark, d):
+    path = scratch_path(spark, "ranked")
+    write_ranked(alg.triangle_count(link_graph(S(spark, d), "link_phone")), "triangles", path)
+    return read_ranked(spark, path, "triangles", "bigint")
+
+
 # ---------------------------------------------------------------------------------------
 # pattern matching R1-R22
 
@@ -340,8 +368,8 @@ def triplet_sources(spark, d):
     """Louvain stub: call graph edges (attr 11, default 79), label := id, triplet sources."""
     cg = call_graph(S(spark, d))
     g = from_edges(edges_from_pairs(cg, "source", "target", attr=F.lit(11)), 79)
-    g = g.with_vertices(st.init_labels(g))
-    return st.triplets(g).select("src")
+    # each edge has both its ends as vertices, so the triplets' sources are the edges'
+    return g.edges.select("src")
 
 
 @register("degrees", Q.with_base(*Q.PERSON_GRAPH, body="""
@@ -444,7 +472,8 @@ for _steps in (2, 10, 25, 40):
                                           body="SELECT id, component AS label FROM cc", recursive=True))
 def pregel_min_label(spark, d):
     g = link_graph(S(spark, d), "link_device")
-    return pregel(g, "label", F.col("id"), "both", F.min, F.least, max_iter=10_000)
+    return pregel(g, {"label": F.col("id")}, {"low": F.min("msg")}, {"label": F.least("label", "low")},
+                  to_dst=F.col("sender_label"), to_src=F.col("sender_label"), only_active=True)
 
 
 @register("pregel_max_attr", Q.with_base(*Q.link_graph("link_device"), """
@@ -452,7 +481,42 @@ reach(id, val) AS (SELECT id, id FROM V UNION SELECT E.dst, reach.val FROM reach
                                          body="SELECT id, max(val) AS value FROM reach GROUP BY id", recursive=True))
 def pregel_max_attr(spark, d):
     g = link_graph(S(spark, d), "link_device")
-    return pregel(g, "value", F.col("id"), "out", F.max, F.greatest, max_iter=10_000)
+    return pregel(g, {"value": F.col("id")}, {"high": F.max("msg")}, {"value": F.greatest("value", "high")},
+                  to_dst=F.col("sender_value"), only_active=True)
+
+
+# every 50th person is a start; an edge is 1 to 4 long; no shortest way is longer than the
+# bound that ends the SQL recursion (the Spark side has none)
+FAR = 400
+
+
+@register("pregel_weighted_distance", Q.with_base(*Q.link_graph("link_device"), f"""
+W AS (SELECT src AS a, dst AS b, 1 + (src + dst) % 4 AS w FROM E UNION SELECT dst, src, 1 + (src + dst) % 4 FROM E),
+reach(id, d) AS (SELECT id, 0::BIGINT FROM V WHERE id % 50 = 0 UNION SELECT W.b, reach.d + W.w FROM reach JOIN W ON W.a = reach.id WHERE reach.d + W.w <= {FAR})""",
+                                                  body="SELECT id, min(d) AS distance FROM V LEFT JOIN reach USING (id) GROUP BY id", recursive=True))
+def pregel_weighted_distance(spark, d):
+    """Shortest weighted distance to the nearest start, null where none is reachable."""
+    pairs = links(S(spark, d), "link_device")
+    g = from_edges(edges_from_pairs(pairs, attr=1 + (F.col("src") + F.col("dst")) % 4, attr_name="w"), 1)
+    far = F.col("sender_distance") + F.col("w")
+    return pregel(g, {"distance": F.when(F.col("id") % 50 == 0, F.lit(0)).cast("bigint")}, {"near": F.min("msg")},
+                  {"distance": F.least("distance", "near")}, to_dst=far, to_src=far, only_active=True)
+
+
+@register("pregel_sum", Q.with_base(*Q.link_graph("link_device"), """
+S0 AS (SELECT id, 1::HUGEINT AS v, 0::HUGEINT AS n FROM V),
+M1 AS (SELECT dst AS id, sum(v) AS m, count(*) AS c FROM E JOIN S0 ON id = src GROUP BY dst),
+S1 AS (SELECT id, coalesce(m, v) AS v, n + coalesce(c, 0) AS n FROM S0 LEFT JOIN M1 USING (id)),
+M2 AS (SELECT dst AS id, sum(v) AS m, count(*) AS c FROM E JOIN S1 ON id = src GROUP BY dst),
+S2 AS (SELECT id, coalesce(m, v) AS v, n + coalesce(c, 0) AS n FROM S1 LEFT JOIN M2 USING (id)),
+M3 AS (SELECT dst AS id, sum(v) AS m, count(*) AS c FROM E JOIN S2 ON id = src GROUP BY dst)""",
+                                     body="SELECT id, coalesce(m, v)::BIGINT AS walks, (n + coalesce(c, 0))::BIGINT AS heard FROM S2 LEFT JOIN M3 USING (id)"))
+def pregel_sum(spark, d):
+    """Three supersteps of sums: two value columns, a merge that is not idempotent."""
+    g = link_graph(S(spark, d), "link_device")
+    return pregel(g, {"walks": F.lit(1).cast("bigint"), "heard": F.lit(0).cast("bigint")},
+                  {"m": F.sum("msg"), "c": F.count("msg")}, {"walks": F.col("m"), "heard": F.col("heard") + F.col("c")},
+                  to_dst=F.col("sender_walks"), steps=3)
 
 
 @register("neighbor_label_votes", Q.with_base(*Q.link_graph("link_device"), body="""
@@ -461,10 +525,7 @@ GROUP BY id, label"""))
 def neighbor_label_votes(spark, d):
     g = link_graph(S(spark, d), "link_device")
     g = g.with_vertices(st.init_labels(g))
-    trip = st.triplets(g)
-    msgs = trip.select(F.col("src").alias("id"), F.col("dst_label").alias("label")).union(
-        trip.select(F.col("dst").alias("id"), F.col("src_label").alias("label")))
-    return msgs.groupBy("id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    return aggregate_messages(g, to_src=F.col("dst_label"), to_dst=F.col("src_label"), agg=F.count, msg_name="votes", by="label")
 
 
 @register("connected_components", Q.with_base(*Q.link_graph("link_device"), *Q.cc_ctes(),
@@ -477,7 +538,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("rank", 6).alias("rank"))
 
 
-@register("pagerank_tol")
+@register("pagerank_tol", Q.with_base(*Q.link_graph("link_phone_emergency"), *Q.pagerank_tol_ctes(0.001, 150),
+                                      body="SELECT id, round(rank, 6) AS rank FROM ranks", recursive=True))
 def pagerank_tol(spark, d):
     return _rounded(alg.pagerank_until(link_graph(S(spark, d), "link_phone_emergency"), 0.001))
 
@@ -696,8 +758,7 @@ def edge_limit(spark, d):
 @register("endpoint_union", Q.with_base(body=f"""
 SELECT source AS id FROM ({Q.CALL_GRAPH}) a UNION ALL SELECT target FROM ({Q.CALL_GRAPH}) b"""))
 def endpoint_union(spark, d):
-    cg = call_graph(S(spark, d))
-    return cg.select(F.col("source").alias("id")).union(cg.select(F.col("target").alias("id")))
+    return call_graph(S(spark, d)).select(F.explode(F.array("source", "target")).alias("id"))
 
 
 @register("complement", Q.with_base(DOC_LINES, body="""

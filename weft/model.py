@@ -67,7 +67,12 @@ def edges_from_pairs(pairs: DataFrame, src: str = "src", dst: str = "dst", attr:
 
 def endpoint_ids(edges: DataFrame) -> DataFrame:
     """Distinct ids seen at either end of an edge table."""
-    return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    return both_ends(edges).distinct()
+
+
+def both_ends(edges: DataFrame) -> DataFrame:
+    """The bag of ids at both ends, ``(id)``, in one pass over the edges."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id"))
 
 
 def from_edges(edges: DataFrame, default: Column | object = 1, attr_name: str = "attr") -> Graph:
@@ -106,6 +111,7 @@ def _dedupe_vertices(vertices: DataFrame, attrs: list[str]) -> DataFrame:
 def nodes_from_both_ends(rows: DataFrame, source: str, target: str,
                          source_attrs: list[str], target_attrs: list[str], names: list[str]) -> DataFrame:
     """Vertex rows from both ends of attributed edge rows: project each end, union all, distinct."""
-    left = rows.select(_ids(source).alias("id"), *[F.col(a).alias(n) for a, n in zip(source_attrs, names)])
-    right = rows.select(_ids(target).alias("id"), *[F.col(a).alias(n) for a, n in zip(target_attrs, names)])
-    return left.union(right).distinct()
+    def end(node, attrs):
+        return F.struct(_ids(node).alias("id"), *[F.col(a).alias(n) for a, n in zip(attrs, names)])
+
+    return rows.select(F.inline(F.array(end(source, source_attrs), end(target, target_attrs)))).distinct()

@@ -14,9 +14,11 @@ shapes, expressed as options of the builders below.
   with the call edge undirected, as a bag (no distinct), optionally carrying the
   applications' attributes.
 
-Relationship uniqueness within one match (openCypher) never removes a row here: two
-relationships of one path can only coincide when the two applications coincide, which
-the person inequality of every link pattern already excludes.
+Relationship uniqueness within one match (openCypher) never removes a row of a link pattern:
+two relationships of one path can only coincide when the two applications coincide, which the
+person inequality excludes.  The call graph has no such inequality: when a phone calls itself,
+an application would be paired with itself through one ownership used twice, and that row is
+left out.
 """
 
 from __future__ import annotations
@@ -104,16 +106,15 @@ def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
     one of the given relationship types.
 
     It is the input of a self-join read three times (both sides and the hot-key
-    count), so it is written once to the shared checkpoint folder; queries over a
-    union of patterns share one copy.  Duplicates are removed later, inside the
-    join's own shuffle (exact: two different persons always mean two different
-    applications, so person-level sets lose no match)."""
+    count), so it is written once, as a set, to the shared checkpoint folder; queries
+    over a union of patterns share one copy (exact: two different persons always mean
+    two different applications, so person-level sets lose no match)."""
     rel_types = tuple(sorted(set(rel_types)))
     for key, df in src._memo.items():
         if key[0] == "pra" and set(rel_types) <= set(key[1]):
             return df.filter(F.col("rel_type").isin(*rel_types)) if set(rel_types) != set(key[1]) else df
     o = src.owns(rel_types, distinct=False)
-    pra = cut_lineage(o.join(src.has_id_card(), "app").select("person", "rel_type", *KEY_COLS))
+    pra = cut_lineage(o.join(src.has_id_card(), "app").select("person", "rel_type", *KEY_COLS).distinct())
     src._memo[("pra", rel_types)] = pra
     return pra
 
@@ -123,17 +124,24 @@ def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], dist
     types = sorted({t for r in rules for t in r.left + r.right})
     pra = person_rel_attr(src, types)
 
+    def side(name: str, of) -> DataFrame:
+        # one row per rule that the row's type can serve on this side: rows of types that
+        # no rule puts together never meet
+        numbers = reduce(lambda a, b: F.concat(a, b), [
+            F.when(F.col("rel_type").isin(*of(r)), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, r in enumerate(rules)])
+        return pra.select(F.col("person").alias(name), F.explode(numbers).alias("rule"), *KEY_COLS).distinct()
+
     def keep(L, R):
-        cond = None
-        for r in rules:
-            c = (L("rel_type").isin(*r.left) & R("rel_type").isin(*r.right)
-                 & _compare(r.op, L("src"), R("dst")))
-            cond = c if cond is None else (cond | c)
-        return cond
-
-    left = pra.select(F.col("person").alias("src"), "rel_type", *KEY_COLS)
-    right = pra.select(F.col("person").alias("dst"), "rel_type", *KEY_COLS)
-    pairs = salted_join(left, right, KEY_COLS, condition=keep, dedupe=True)
+        ordered = [i for i, r in enumerate(rules) if r.op == ">"]
+        differ = [i for i, r in enumerate(rules) if r.op == "<>"]
+        if not differ:
+            return L("src") > R("dst")
+        return (L("src") > R("dst")) | (L("rule").isin(*differ) & (L("src") != R("dst"))) if ordered else L("src") != R("dst")
+
+    for r in rules:
+        _compare(r.op, F.lit(1), F.lit(1))  # an unknown predicate raises here
+    left, right = side("src", lambda r: r.left), side("dst", lambda r: r.right)
+    pairs = salted_join(left, right, ["rule", *KEY_COLS], condition=keep)
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out
 
@@ -143,17 +151,18 @@ def call_links(src: PropertyGraphSource, rule: CallRule, distinct: bool = True)
     pra = person_rel_attr(src, sorted({rule.left, rule.right}))
     calls = src.calls()
     near, far = ("dst", "src") if rule.direction == "in" else ("src", "dst")
-    left = pra.filter(F.col("rel_type") == rule.left).select(F.col("person").alias("src"), "k1", "k2")
-    # person -> own phone -> the phone at the other end of the call; a set before the next hop
-    step = calls.select(F.col(f"{near}_k1").alias("k1"), F.col(f"{near}_k2").alias("k2"),
-                        F.col(f"{far}_k1").alias("o1"), F.col(f"{far}_k2").alias("o2"))
-    hop = (salted_join(left, step, ["k1", "k2"])
-           .select("src", F.col("o1").alias("k1"), F.col("o2").alias("k2")).distinct())
+    memo = ("hop", rule.left, rule.direction)
+    if memo not in src._memo:
+        left = pra.filter(F.col("rel_type") == rule.left).select(F.col("person").alias("src"), "k1", "k2")
+        # person -> own phone -> the phone at the other end of the call: a set before the next
+        # hop, written once (its keys are counted, and several patterns start with it)
+        step = calls.select(F.col(f"{near}_k1").alias("k1"), F.col(f"{near}_k2").alias("k2"),
+                            F.col(f"{far}_k1").alias("o1"), F.col(f"{far}_k2").alias("o2"))
+        src._memo[memo] = cut_lineage(salted_join(left, step, ["k1", "k2"])
+                                      .select("src", F.col("o1").alias("k1"), F.col("o2").alias("k2")).distinct())
+    hop = src._memo[memo]
     right = pra.filter(F.col("rel_type") == rule.right).select(F.col("person").alias("dst"), "k1", "k2")
-    # the materialised ownership rows are the counted (left) side, so the hot-key pass
-    # does not re-derive the hop
-    pairs = salted_join(right, hop, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, R("src"), L("dst")),
-                        dedupe=True)
+    pairs = salted_join(right, hop, ["k1", "k2"], condition=lambda L, R: _compare(rule.op, R("src"), L("dst")))
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out
 
@@ -190,14 +199,12 @@ APP_ATTRS = ["end_result", "dpd7", "dpd15", "dpd30", "dpd90"]
 def undirected_calls(src: PropertyGraphSource) -> DataFrame:
     """Both orientations of every call edge ``(a1, a2, b1, b2, weight)`` (phone a to
     phone b); a self-loop only once."""
-    c = src.calls()
-    fwd = c.select(F.col("src_k1").alias("a1"), F.col("src_k2").alias("a2"), F.col("dst_k1").alias("b1"),
-                   F.col("dst_k2").alias("b2"), F.col("call_cnt").alias("weight"))
+    here = F.struct(F.col("src_k1").alias("a1"), F.col("src_k2").alias("a2"), F.col("dst_k1").alias("b1"),
+                    F.col("dst_k2").alias("b2"), F.col("call_cnt").alias("weight"))
+    there = F.struct(F.col("dst_k1").alias("a1"), F.col("dst_k2").alias("a2"), F.col("src_k1").alias("b1"),
+                     F.col("src_k2").alias("b2"), F.col("call_cnt").alias("weight"))
     loop = (F.col("src_k1") == F.col("dst_k1")) & (F.col("src_k2") == F.col("dst_k2"))
-    back = c.filter(~loop).select(F.col("dst_k1").alias("a1"), F.col("dst_k2").alias("a2"),
-                                  F.col("src_k1").alias("b1"), F.col("src_k2").alias("b2"),
-                                  F.col("call_cnt").alias("weight"))
-    return fwd.union(back)
+    return src.calls().select(F.inline(F.when(loop, F.array(here)).otherwise(F.array(here, there))))
 
 
 def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags: bool = False) -> DataFrame:
@@ -222,11 +229,14 @@ def call_graph(src: PropertyGraphSource, attrs: list[str] | None = None, flags:
                          *[F.col(n).alias(f"{n}1") for n in names])
     far = phones.select(F.col("app").alias("target"), F.col("k1").alias("b1"), F.col("k2").alias("b2"),
                         *[F.col(n).alias(f"{n}2") for n in names])
-    # both hops split hot phones (hot-key passes read materialised tables): the call
-    # edges of a hub phone, and the owners of a phone held by very many applications,
-    # are spread over many tasks
-    step = salted_join(undirected_calls(src), near, ["a1", "a2"]).drop("a1", "a2")
-    bag = salted_join(far, step, ["b1", "b2"],
-                      hot_from=owned.select(F.col("k1").alias("b1"), F.col("k2").alias("b2")))
+    # both hops split hot phones of either side; the keys are counted on materialised tables
+    calls = src.calls()
+    ends = calls.select(F.inline(F.array(F.struct(F.col("src_k1").alias("a1"), F.col("src_k2").alias("a2")),
+                                         F.struct(F.col("dst_k1").alias("a1"), F.col("dst_k2").alias("a2")))))
+    step = salted_join(undirected_calls(src), near, ["a1", "a2"], count_left=ends,
+                       count_right=owned.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
+    bag = salted_join(far, step, ["b1", "b2"], condition=lambda L, R: ~(
+        (L("target") == R("source")) & (R("a1") == L("b1")) & (R("a2") == L("b2"))),
+        count_left=owned.select(F.col("k1").alias("b1"), F.col("k2").alias("b2")))
     out = ["source", "target", "weight"] + [f"{n}1" for n in names] + [f"{n}2" for n in names]
     return bag.select(*out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def key_count(df: DataFrame, key: str, name: str = "cnt") -> DataFrame:
@@ -42,3 +43,11 @@ def distinct_count(df: DataFrame, name: str = "cnt") -> DataFrame:
 def page(df: DataFrame, order: list[str], skip: int, size: int) -> DataFrame:
     """``SKIP skip LIMIT size`` over a total order."""
     return df.orderBy(*order).offset(skip).limit(size)
+
+
+def pages(df: DataFrame, order: list[str], n: int, size: int) -> DataFrame:
+    """The first ``n`` pages of ``size`` rows over a total order, with their ``page`` number:
+    one bounded top-k pass; only its ``n * size`` rows are numbered."""
+    first = df.orderBy(*order).limit(n * size)
+    at = F.row_number().over(Window.orderBy(*order)) - 1
+    return first.select(*df.columns, F.floor(at / size).cast("int").alias("page"))

@@ -1,28 +1,27 @@
 """Skew-safe equi-joins.
 
-A single key (a shared device, a hub phone) may hold a large share of all rows.  A
-plain shuffle join sends every row of that key to one task.  ``salted_join`` splits
-the hot keys of the left side into buckets (by a hash of the whole row) and
-replicates the matching right rows once per bucket, so a hot key is processed by many
-tasks.  Cold keys keep a single bucket and are not replicated.
-
-The hot-key table is the only broadcast: it has at most ``max_hot`` rows by
-construction (``limit``), whatever the data size.  Keys beyond that bound are still
-joined exactly, only without the split.  The result multiset is the same as the plain
-join's: every left row sits in exactly one bucket and every right row of a hot key is
-present in every bucket.
+A single key (a shared device, a hub phone) may hold a large share of all rows, on either
+side.  A plain shuffle join sends every row of that key to one task.  ``salted_join`` counts
+the keys of both sides and lays the rows of a hot key out on a grid: its left rows are split
+over ``lb`` buckets, its right rows over ``rb``, each left row goes to all ``rb`` cells of its
+bucket and each right row to all ``lb`` cells of its own.  Every pair of rows meets in exactly
+one cell, so the result multiset is that of the plain join, and no task holds more than
+``threshold`` rows of a key from either side.  Cold keys have one cell.
+
+The hot-key list is the only broadcast.  A key is hot when it holds more than ``threshold``
+rows and more than ``total rows / max_hot``; fewer than ``max_hot`` keys can, whatever the
+data, so the list is bounded without leaving any such key out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_THRESHOLD = 200_000   # rows of one key on the left side handled by one task
-DEFAULT_MAX_HOT = 10_000      # bound on the broadcast hot-key table
-DEFAULT_MAX_SALT = 4_096      # bound on the buckets of one key
+DEFAULT_THRESHOLD = 200_000   # rows of one key on one side handled by one task
+DEFAULT_MAX_HOT = 10_000      # bound on the broadcast hot-key list
 
 
 def _conf_int(spark: SparkSession, name: str, default: int) -> int:
@@ -30,91 +29,80 @@ def _conf_int(spark: SparkSession, name: str, default: int) -> int:
     return int(value) if value is not None else default
 
 
-def skew_settings(spark: SparkSession) -> tuple[int, int, int]:
+def skew_settings(spark: SparkSession) -> tuple[int, int]:
     return (_conf_int(spark, "weft.skew.threshold", DEFAULT_THRESHOLD),
-            _conf_int(spark, "weft.skew.maxHotKeys", DEFAULT_MAX_HOT),
-            _conf_int(spark, "weft.skew.maxSalt", DEFAULT_MAX_SALT))
+            _conf_int(spark, "weft.skew.maxHotKeys", DEFAULT_MAX_HOT))
 
 
-def hot_keys(df: DataFrame, keys: list[str], threshold: int, max_hot: int, max_salt: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows, largest first, at most ``max_hot`` of them,
-    with their bucket count ``_salts`` = ceil(rows / threshold) capped at ``max_salt``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
-    return (counts.orderBy(F.desc("_n")).limit(max_hot)
-            .select(*keys, F.least(F.ceil(F.col("_n") / F.lit(threshold)), F.lit(max_salt)).cast("int").alias("_salts")))
+def hot_keys(left: DataFrame, right: DataFrame | None, keys: list[str], threshold: int, max_hot: int) -> DataFrame | None:
+    """``keys, _lb, _rb``: the hot keys of both sides with their bucket counts, or None.
+
+    One job: the rows are counted per key with a map-side partial step, the total is
+    observed on the way, and the largest ``2 * max_hot`` counts come back, more than can
+    pass the rule."""
+    spark = left.sparkSession
+    one, none = F.lit(1).alias("_l"), F.lit(0).alias("_r")
+    rows = left.select(*keys, one, none)
+    if right is not None:
+        rows = rows.unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(
+        " AND ".join(f"{k} IS NOT NULL" for k in keys))
+    seen = Observation()
+    counts = counts.observe(seen, F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    top = counts.filter((F.col("_l") > threshold) | (F.col("_r") > threshold)) \
+        .orderBy(F.greatest("_l", "_r").desc()).limit(2 * max_hot)
+    found = top.collect()
+    if not found:
+        return None
+    least_l, least_r = (max(threshold, -(-(seen.get[s] or 0) // max_hot)) for s in "lr")
+    rows = [(*r[:-2], -(-r["_l"] // least_l) if r["_l"] > least_l else 1, -(-r["_r"] // least_r) if r["_r"] > least_r else 1) for r in found]
+    rows = [r for r in rows if r[-1] > 1 or r[-2] > 1]
+    if not rows:
+        return None
+    schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys) + ", _lb long, _rb long"
+    return spark.createDataFrame(rows, schema)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str],
                 condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-                threshold: int | None = None, max_hot: int | None = None, max_salt: int | None = None,
-                dedupe: bool = False, hot_from: DataFrame | None = None) -> DataFrame:
+                threshold: int | None = None, max_hot: int | None = None,
+                count_left: DataFrame | None = None, count_right: DataFrame | None = None) -> DataFrame:
     """Inner equi-join ``left ⋈ right`` on ``keys`` (same names on both sides) plus an
     optional residual ``condition(L, R)`` built from column getters of the two sides
-    (evaluated inside the join), splitting hot keys.
+    (evaluated inside the join), splitting the hot keys of both sides.
 
-    Put the side with fewer rows per hot key on the right: it is the one replicated.
     The key columns appear once in the output, as in ``DataFrame.join(on=[...])``.
 
-    ``hot_from``: count hot keys on this frame instead of ``left`` (a materialised table
-    with the same key distribution, so the hot-key pass does not re-derive ``left``).
-
-    ``dedupe``: join each side as a *set*.  Both sides are hash-partitioned on the
-    join keys (plus bucket) once and deduplicated inside those partitions, so the
-    distinct costs no shuffle of its own.
+    ``count_left`` / ``count_right``: count a side's keys on this frame instead (a materialised
+    table with the same key distribution, so the counting does not re-derive the side).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    t, h, s = skew_settings(left.sparkSession)
-    threshold = threshold or t
-    max_hot = max_hot or h
-    max_salt = max_salt or s
-
-    hot_df = hot_keys(left if hot_from is None else hot_from, keys, threshold, max_hot, max_salt)
-    # at most ``max_hot`` rows: resolved now, so a join without hot keys is planned as a
-    # plain equi-join and one with hot keys broadcasts exactly this bounded list
-    hot_rows = hot_df.collect()
-    if not hot_rows:
-        return _plain_join(left, right, keys, condition, dedupe)
-    spark = left.sparkSession
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema))
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    lb = (left.join(hot, keys, "left")
-          .withColumn("_b", F.when(F.col("_salts").isNull(), F.lit(0))
-                      .otherwise(F.pmod(row_hash, F.col("_salts"))).cast("int"))
-          .drop("_salts"))
-    rb = (right.join(hot, keys, "left")
-          .withColumn("_b", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-          .drop("_salts"))
-    if dedupe:
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        lb = lb.repartition(n, *keys, "_b").distinct()
-        rb = rb.repartition(n, *keys, "_b").distinct()
-    l, r = lb.alias("_l"), rb.alias("_r")
+    t, h = skew_settings(left.sparkSession)
+    hot = hot_keys(left if count_left is None else count_left, right if count_right is None else count_right,
+                   keys, threshold or t, max_hot or h)
+    on = list(keys)
+    l, r = left, right
+    if hot is not None:
+        hot = F.broadcast(hot)  # fewer than 2 * max_hot rows
+        l, r = _on_grid(left, hot, keys, "_lb", "_rb", "_i", "_j"), _on_grid(right, hot, keys, "_rb", "_lb", "_j", "_i")
+        on += ["_i", "_j"]
+    l, r = l.alias("_l"), r.alias("_r")
     cond = None
-    for k in keys + ["_b"]:
+    for k in on:
         c = F.col(f"_l.{k}") == F.col(f"_r.{k}")
         cond = c if cond is None else cond & c
     if condition is not None:
         cond = cond & condition(lambda c: F.col(f"_l.{c}"), lambda c: F.col(f"_r.{c}"))
-    joined = l.join(r, cond, "inner")
     out = [F.col(f"_l.{k}").alias(k) for k in keys]
     out += [F.col(f"_l.{c}") for c in left.columns if c not in keys]
     out += [F.col(f"_r.{c}") for c in right.columns if c not in keys]
-    return joined.select(*out)
+    return l.join(r, cond, "inner").select(*out)
 
 
-def _plain_join(left: DataFrame, right: DataFrame, keys: list[str], condition, dedupe: bool) -> DataFrame:
-    if dedupe:
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = left.repartition(n, *keys).distinct()
-        right = right.repartition(n, *keys).distinct()
-    l, r = left.alias("_l"), right.alias("_r")
-    cond = None
-    for k in keys:
-        c = F.col(f"_l.{k}") == F.col(f"_r.{k}")
-        cond = c if cond is None else cond & c
-    if condition is not None:
-        cond = cond & condition(lambda c: F.col(f"_l.{c}"), lambda c: F.col(f"_r.{c}"))
-    out = [F.col(f"_l.{k}").alias(k) for k in keys]
-    out += [F.col(f"_l.{c}") for c in left.columns if c not in keys]
-    out += [F.col(f"_r.{c}") for c in right.columns if c not in keys]
-    return l.join(r, cond, "inner").select(*out)
+def _on_grid(df: DataFrame, hot: DataFrame, keys: list[str], own: str, other: str, bucket: str, cell: str) -> DataFrame:
+    """Give a row its bucket (by a hash of the whole row) and copy it to the other side's cells."""
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    return (df.join(hot, keys, "left")
+            .withColumn(bucket, F.pmod(row_hash, F.coalesce(own, F.lit(1))))
+            .withColumn(cell, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1)))
+            .drop(own, other))

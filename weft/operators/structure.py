@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.columns import scala_string
-from weft.model import Graph
+from weft.model import Graph, both_ends
 from weft.plans.iterate import triplets  # noqa: F401  (re-exported: T5)
 
 
@@ -36,8 +36,7 @@ def one_row(*single_rows: DataFrame) -> DataFrame:
 def degrees(graph: Graph) -> DataFrame:
     """``(id, degree)``: in + out, parallel edges counted, a self-loop counts twice;
     vertices without edges are absent (T8)."""
-    ends = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select(F.col("dst").alias("id")))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return both_ends(graph.edges).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def in_degrees(graph: Graph) -> DataFrame:

@@ -7,8 +7,6 @@ Iterative algorithms use recursive CTEs.
 
 from __future__ import annotations
 
-from weft.operators.match import CALL_RULES, LINK_RULES, UNIONS
-
 BASE = """
 applications AS (
   SELECT o_orderkey AS app, o_custkey AS person,
@@ -45,37 +43,63 @@ persons AS (SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segme
 """
 
 
-def _in(types) -> str:
-    return ", ".join(f"'{t}'" for t in types)
-
-
-def _op(op: str) -> str:
-    return {">": ">", "<>": "<>"}[op]
-
-
-def link_branch(name: str) -> str:
-    if name in LINK_RULES:
-        r = LINK_RULES[name]
-        return (f"SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key "
-                f"WHERE a.rel_type IN ({_in(r.left)}) AND b.rel_type IN ({_in(r.right)}) "
-                f"AND a.person {_op(r.op)} b.person")
-    r = CALL_RULES[name]
-    near, far = ("dst", "src") if r.direction == "in" else ("src", "dst")
-    return (f"SELECT a.person AS src, b.person AS dst FROM pa a JOIN calls c ON c.{near} = a.attr_key "
-            f"JOIN pa b ON b.attr_key = c.{far} "
-            f"WHERE a.rel_type = '{r.left}' AND b.rel_type = '{r.right}' AND a.person {_op(r.op)} b.person")
+# One statement per pattern, written out: nothing here comes from the code under test.
+LINKS = {
+    "link_device": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasDeviceAddress' AND b.rel_type = 'HasDeviceAddress' AND a.person > b.person""",
+    "link_ip": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasIP' AND b.rel_type = 'HasIP' AND a.person > b.person""",
+    "link_company": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasCompanyName' AND b.rel_type = 'HasCompanyName' AND a.person > b.person""",
+    "link_address": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type IN ('HasHomeAddress', 'HasApplyAddress', 'HasCompanyAddress') AND b.rel_type IN ('HasHomeAddress', 'HasApplyAddress', 'HasCompanyAddress') AND a.person > b.person""",
+    "link_phone": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasPhone' AND a.person > b.person""",
+    "link_emergency": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasEmergencyPhone' AND b.rel_type = 'HasEmergencyPhone' AND a.person > b.person""",
+    "link_phone_emergency": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasEmergencyPhone' AND a.person <> b.person""",
+    "link_phone_contact": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasContact' AND a.person <> b.person""",
+    "link_phone_call": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN calls c ON c.dst = a.attr_key JOIN pa b ON b.attr_key = c.src
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasPhone' AND a.person <> b.person""",
+    "link_emergency_contact": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasEmergencyPhone' AND b.rel_type = 'HasContact' AND a.person <> b.person""",
+    "link_emergency_call": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN calls c ON c.dst = a.attr_key JOIN pa b ON b.attr_key = c.src
+      WHERE a.rel_type = 'HasEmergencyPhone' AND b.rel_type = 'HasPhone' AND a.person <> b.person""",
+    "link_call_emergency_fwd": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN calls c ON c.src = a.attr_key JOIN pa b ON b.attr_key = c.dst
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasEmergencyPhone' AND a.person <> b.person""",
+    "link_call_phone_fwd": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN calls c ON c.src = a.attr_key JOIN pa b ON b.attr_key = c.dst
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasPhone' AND a.person <> b.person""",
+    "link_contact_emergency": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasContact' AND b.rel_type = 'HasEmergencyPhone' AND a.person <> b.person""",
+    "link_device_both": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasDeviceAddress' AND b.rel_type = 'HasDeviceAddress' AND a.person <> b.person""",
+    "link_phone_both": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasPhone' AND b.rel_type = 'HasPhone' AND a.person <> b.person""",
+    "link_emergency_both": """SELECT a.person AS src, b.person AS dst FROM pa a JOIN pa b ON a.attr_key = b.attr_key
+      WHERE a.rel_type = 'HasEmergencyPhone' AND b.rel_type = 'HasEmergencyPhone' AND a.person <> b.person""",
+}
+SOCIAL = {
+    "social_net_11": ["link_device", "link_ip", "link_company", "link_address", "link_phone", "link_emergency", "link_phone_emergency",
+                      "link_phone_contact", "link_phone_call", "link_emergency_contact", "link_emergency_call"],
+    "social_net_6": ["link_device", "link_ip", "link_address", "link_phone", "link_emergency", "link_phone_emergency"],
+    "social_net_7": ["link_phone_both", "link_emergency_both", "link_phone_emergency", "link_contact_emergency",
+                     "link_call_emergency_fwd", "link_phone_contact", "link_call_phone_fwd"],
+}
 
 
 def link_sql(name: str) -> str:
     """Distinct ``(src, dst)`` of one pattern or union, as a sub-select."""
-    if name in UNIONS:
-        return " UNION ".join(f"({link_branch(m)})" for m in UNIONS[name])
-    return f"SELECT DISTINCT src, dst FROM ({link_branch(name)}) x"
+    if name in SOCIAL:
+        return " UNION ".join(f"({LINKS[m]})" for m in SOCIAL[name])
+    return f"SELECT DISTINCT src, dst FROM ({LINKS[name]}) x"
 
 
 CALL_GRAPH = """
 SELECT p1.app AS source, p2.app AS target, uc.weight
 FROM ph p1 JOIN uc ON uc.a = p1.attr_key JOIN ph p2 ON p2.attr_key = uc.b
+WHERE NOT (p1.app = p2.app AND uc.a = uc.b)
 """
 
 OVERDUE = ("CASE WHEN ({p}.dpd7 = '1' OR {p}.dpd15 = '1' OR {p}.dpd30 = '1' OR {p}.dpd90 = '1') "
@@ -150,6 +174,27 @@ def pagerank_ctes(iters: int) -> list[str]:
     ]
 
 
+def pagerank_tol_ctes(tol: float, rounds: int) -> list[str]:
+    """Delta PageRank run for ``rounds`` rounds, more than it takes: at the fixpoint no vertex
+    sends, so further rounds change nothing (``open`` counts the senders that are left)."""
+    return [
+        "od AS (SELECT src, count(*) AS deg FROM E GROUP BY src)",
+        """w0 AS (SELECT e.src, e.dst, CAST(count(*) AS DOUBLE) / any_value(od.deg) AS w
+         FROM E e JOIN od ON od.src = e.src GROUP BY e.src, e.dst
+         UNION ALL SELECT id, id, NULL FROM V)""",
+        f"""pt(it, id, rank, delta, active) AS (
+  SELECT 0, id, CAST(0.15 AS DOUBLE), CAST(0.15 AS DOUBLE), true FROM V
+  UNION ALL
+  SELECT it + 1, id, max(keep_rank) + 0.85 * coalesce(sum(m), 0), coalesce(0.85 * sum(m), max(keep_delta)), count(m) > 0 FROM (
+    SELECT p.it, w0.dst AS id, CASE WHEN w0.w IS NULL THEN p.rank END AS keep_rank, CASE WHEN w0.w IS NULL THEN p.delta END AS keep_delta,
+           CASE WHEN p.active AND p.delta > {tol} THEN p.delta * w0.w END AS m
+    FROM pt p JOIN w0 ON w0.src = p.id WHERE p.it < {rounds}) x GROUP BY it, id)""",
+        f"open_left AS (SELECT count(*) AS n FROM pt WHERE it = {rounds} AND active AND delta > {tol})",
+        f"""ranks AS (SELECT id, rank * (SELECT count(*) FROM V) / (SELECT sum(rank) FROM pt WHERE it = {rounds}) AS rank
+         FROM pt WHERE it = {rounds} AND (SELECT n FROM open_left) = 0)""",
+    ]
+
+
 def triangle_ctes() -> list[str]:
     return [
         "ce AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM E WHERE src <> dst)",

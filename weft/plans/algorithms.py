@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,14 @@ from weft.plans.iterate import DEFAULT_CHECKPOINT_EVERY, Adjacency, cut_lineage,
 # ---------------------------------------------------------------------------------------
 # label propagation
 
-def best_label(votes: DataFrame, id_col: str = "id") -> DataFrame:
+def best_label(votes: DataFrame, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per vertex, the label with most votes; ties go to the smallest label.
 
     One aggregation of ``min((-votes, label))``: it has a map-side partial step, so a
-    hub vertex's candidate labels are reduced in every map task before the shuffle."""
+    hub vertex's candidate labels are reduced in every map task before the shuffle.
+    ``keep``: columns that are set in one row per vertex and pass through."""
     best = F.min(F.struct(F.negative("votes").alias("nv"), F.col("label").alias("label"))).alias("_best")
-    return votes.groupBy(id_col).agg(best).select(id_col, F.col("_best.label").alias("label"))
+    return votes.groupBy(id_col).agg(best, *[F.max(c).alias(c) for c in keep]).select(id_col, F.col("_best.label").alias("label"), *keep)
 
 
 def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
@@ -52,17 +55,8 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
     adj = Adjacency(graph.edges.select("src", "dst"), "both", multiplicity="count")
     try:
         active = adj.receivers()
-        labels = active.select("id", F.col("id").alias("label"))
-        for step in range(1, max_steps + 1):
-            msgs = adj.gather(labels, ["label"])
-            votes = msgs.groupBy(F.col("me").alias("id"), "label").agg(F.sum("mult").alias("votes"))
-            nxt = best_label(votes)
-            if step % checkpoint_every == 0 or step == max_steps:
-                nxt = cut_lineage(nxt)
-                if step < max_steps and _same_labels(nxt, labels):
-                    labels = nxt
-                    break
-            labels = nxt
+        labels = propagate(active, lambda now: adj.gather(now, ["label"]).select(F.col("me").alias("id"), "label", F.col("mult").alias("votes")),
+                           max_steps, checkpoint_every)
         if graph.endpoints_only:
             return labels
         isolated = graph.vertices.select("id").join(active, "id", "left_anti")
@@ -71,10 +65,60 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
         adj.release()
 
 
-def _same_labels(a: DataFrame, b: DataFrame) -> bool:
-    """True when two (id, label) tables over the same ids are equal (a fixpoint)."""
-    return a.join(b.withColumnRenamed("label", "_prev"), "id").filter(
-        F.col("label") != F.col("_prev")).limit(1).count() == 0
+def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
+    """The supersteps: ``votes_of(labels)`` gives ``(id, label, votes)`` rows for every id.
+
+    A step whose result is written also carries each vertex's last label (as a row without
+    votes, which never wins), so the fixpoint test reads the written rows alone."""
+    labels = ids.select("id", F.col("id").alias("label"))
+    for step in range(1, max_steps + 1):
+        votes = votes_of(labels)
+        if step % checkpoint_every and step < max_steps:
+            labels = best_label(votes.groupBy("id", "label").agg(F.sum("votes").alias("votes")))
+            continue
+        none = F.lit(None).cast("bigint").alias("last")
+        rows = votes.select("id", "label", F.col("votes").cast("bigint").alias("votes"), none).union(
+            labels.select("id", "label", F.lit(0).cast("bigint").alias("votes"), F.col("label").alias("last")))
+        summed = rows.groupBy("id", "label").agg(F.sum("votes").alias("votes"), F.max("last").alias("last"))
+        done = cut_lineage(best_label(summed, keep=("last",)))
+        labels = done.select("id", "label")
+        if step < max_steps and done.filter("label <> last").isEmpty():
+            break
+    return labels
+
+
+def call_graph_labels(phones: DataFrame, calls: DataFrame, max_steps: int,
+                      checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
+    """Label propagation over the application call graph without its pairs: ``(id, label)``.
+
+    ``phones (app, k1, k2)`` is who owns which phone, ``calls (a1, a2, b1, b2)`` the calls in
+    both orientations (a phone's call to itself once).  The graph's edges are the owners of a
+    times the owners of b for every call; votes factor along that path instead: labels are
+    counted per phone, the counts move over the calls and are added up by the owners.  The
+    pairs are symmetric, so counting both directions would just double every vote.  An
+    application that reaches itself through one ownership used twice (a phone calling
+    itself) is no edge: that vote is taken back.
+    """
+    if max_steps <= 0:
+        raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
+    calls = cut_lineage(calls.select("a1", "a2", "b1", "b2"))
+    loop = calls.filter("a1 = b1 AND a2 = b2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
+    loops = cut_lineage(phones.join(loop, ["k1", "k2"], "left_semi").groupBy(F.col("app").alias("id")).agg(F.count("*").alias("own")))
+    # a phone that only calls itself and has one owner makes no edge
+    owners = phones.groupBy("k1", "k2").agg(F.count("*").alias("owners"))
+    heard = calls.join(owners.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "owners"), ["a1", "a2"]) \
+        .filter("NOT (a1 = b1 AND a2 = b2) OR owners > 1").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+    ids = cut_lineage(phones.join(heard, ["k1", "k2"], "left_semi").select(F.col("app").alias("id")).distinct())
+
+    def votes_of(labels: DataFrame) -> DataFrame:
+        per_phone = phones.join(labels, phones["app"] == labels["id"]).groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "label") \
+            .agg(F.count("*").alias("n"))
+        moved = calls.join(per_phone, ["a1", "a2"]).groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "label").agg(F.sum("n").alias("n"))
+        votes = phones.join(moved, ["k1", "k2"]).select(F.col("app").alias("id"), "label", F.col("n").alias("votes"))
+        back = labels.join(loops, "id").select("id", "label", F.negative("own").alias("votes"))
+        return votes.union(back).groupBy("id", "label").agg(F.sum("votes").alias("votes")).filter("votes > 0")
+
+    return propagate(ids, votes_of, max_steps, checkpoint_every)
 
 
 # ---------------------------------------------------------------------------------------
@@ -87,8 +131,8 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 
 def _both(e: DataFrame) -> DataFrame:
-    return e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(
-        e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+    return e.select(F.inline(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")),
+                                     F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -110,12 +154,13 @@ def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
     """``(id, component)``: component = smallest vertex id reachable ignoring direction."""
     ids, edges = materialise(graph)
     e = cut_lineage(_canonical(edges))
+    seen = _signature(e)
     for _ in range(max_rounds):
-        nxt = cut_lineage(_small_star(_large_star(e)))
-        if _same_edges(nxt, e):
-            e = nxt
+        e = cut_lineage(_small_star(_large_star(e)))
+        now = _signature(e)
+        if now == seen:
             break
-        e = nxt
+        seen = now
     else:
         raise RuntimeError("connected components did not converge")
     comp = e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
@@ -125,11 +170,11 @@ def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
     return comp.union(rest.select("id", F.col("id").alias("component")))
 
 
-def _same_edges(a: DataFrame, b: DataFrame) -> bool:
-    """True when two edge sets are equal: one job probing for a row on one side only."""
-    fa, fb = a.withColumn("_a", F.lit(True)), b.withColumn("_b", F.lit(True))
-    diff = fa.join(fb, ["lo", "hi"], "full_outer").filter(F.col("_a").isNull() | F.col("_b").isNull())
-    return diff.limit(1).count() == 0
+def _signature(e: DataFrame) -> tuple:
+    """Row count and two hash folds of an edge set: equal sets have equal signatures, and a
+    round that changes the set goes unnoticed with probability 2^-128 at most."""
+    folds = [F.bit_xor(F.xxhash64(F.lit(seed), "lo", "hi")) for seed in (1, 2)]
+    return tuple(e.agg(F.count("*"), *folds).first())
 
 
 # ---------------------------------------------------------------------------------------
@@ -171,19 +216,22 @@ def pagerank(graph: Graph, num_iter: int, reset: float = 0.15,
         adj.release()
 
 
-def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int = 10_000,
+def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int | None = None,
                    checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
     """Delta PageRank until every change is at most ``tol`` (A6), GraphX's Pregel form:
     each vertex starts with rank = delta = reset; a vertex whose last delta exceeds
     ``tol`` and that received something in the previous round sends delta * w along its
-    out-edges; receivers add (1 - reset) * sum to their rank.  Rescaled to sum N."""
+    out-edges; receivers add (1 - reset) * sum to their rank.  Rescaled to sum N.
+    Deltas shrink by (1 - reset) a round, so it ends; a ``max_iter`` that is hit raises."""
     verts, edges = materialise(graph)
     adj = Adjacency(_out_weights(edges), "in", extra=["w"])
     try:
         state = verts.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
                              F.lit(True).alias("active"))
         cached = None
-        for i in range(1, max_iter + 1):
+        for i in count(1):
+            if max_iter is not None and i > max_iter:
+                raise RuntimeError(f"PageRank did not reach the tolerance in {max_iter} rounds")
             senders = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
             msgs = (adj.gather(senders, ["delta"]).groupBy(F.col("me").alias("id"))
                     .agg(F.sum(F.col("delta") * F.col("w")).alias("m")))
@@ -220,7 +268,7 @@ def triangle_count(graph: Graph) -> DataFrame:
     self-loops, parallel edges and directions removed; 0 for the others."""
     ids, edges = materialise(graph)
     e = cut_lineage(_canonical(edges))
-    deg = (e.select(F.col("lo").alias("id")).union(e.select(F.col("hi").alias("id")))
+    deg = (e.select(F.explode(F.array("lo", "hi")).alias("id"))
            .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
     lo_d = deg.select(F.col("id").alias("lo"), F.col("d").alias("dl"))
     hi_d = deg.select(F.col("id").alias("hi"), F.col("d").alias("dh"))

@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.model import Graph
+from weft.model import Graph, endpoint_ids
 from weft.operators.skew import hot_keys, skew_settings
 from weft.session import ensure_checkpoint_dir
 
@@ -42,8 +42,7 @@ def materialise(graph: Graph, edge_cols: list[str] | None = None) -> tuple[DataF
     ``from_edges`` graphs the ids come from the materialised edges."""
     edges = cut_lineage(graph.edges.select("src", "dst", *(edge_cols or [])))
     if graph.endpoints_only:
-        ids = cut_lineage(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
-                          .distinct())
+        ids = cut_lineage(endpoint_ids(edges))
     else:
         ids = cut_lineage(graph.vertices.select("id"))
     return ids, edges
@@ -58,21 +57,19 @@ class Adjacency:
     """
 
     def __init__(self, edges: DataFrame, direction: str = "both", extra: list[str] | None = None,
-                 multiplicity: str = "bag"):
+                 multiplicity: str = "bag", with_direction: bool = False):
         """``multiplicity``: ``"bag"`` keeps one row per edge; ``"count"`` pre-aggregates
         parallel rows into ``(me, nbr, mult)`` (for senders whose messages add up);
-        ``"set"`` keeps distinct ``(me, nbr)`` (for idempotent merges such as min)."""
-        extra = extra or []
-        fwd = edges.select(F.col("dst").alias("me"), F.col("src").alias("nbr"), *extra)    # dst hears src
-        back = edges.select(F.col("src").alias("me"), F.col("dst").alias("nbr"), *extra)   # src hears dst
-        if direction == "both":
-            adj = fwd.union(back)
-        elif direction == "in":
-            adj = fwd
-        elif direction == "out":
-            adj = back
-        else:
-            raise ValueError(direction)
+        ``"set"`` keeps distinct ``(me, nbr)`` (for idempotent merges such as min).
+        ``with_direction``: a column ``forward`` tells rows along an edge from those against."""
+        extra = list(extra or [])
+        fwd = F.struct(F.col("dst").alias("me"), F.col("src").alias("nbr"), F.lit(True).alias("forward"))    # dst hears src
+        back = F.struct(F.col("src").alias("me"), F.col("dst").alias("nbr"), F.lit(False).alias("forward"))  # src hears dst
+        ways = {"both": [fwd, back], "in": [fwd], "out": [back]}[direction]
+        adj = edges.select(*extra, F.inline(F.array(*ways)))
+        adj = adj.select("me", "nbr", *extra, "forward") if with_direction else adj.select("me", "nbr", *extra)
+        if with_direction:
+            extra = extra + ["forward"]
         if multiplicity == "count":
             adj = adj.groupBy("me", "nbr", *extra).agg(F.count(F.lit(1)).alias("mult"))
             extra = extra + ["mult"]
@@ -81,14 +78,13 @@ class Adjacency:
         elif multiplicity != "bag":
             raise ValueError(multiplicity)
         spark = edges.sparkSession
-        threshold, max_hot, max_salt = skew_settings(spark)
+        threshold, max_hot = skew_settings(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         adj = cut_lineage(adj)
-        # at most ``max_hot`` rows (``limit``): resolved once, every round broadcasts it
-        hot_df = hot_keys(adj, ["nbr"], threshold, max_hot, max_salt).withColumnRenamed("nbr", "_hid")
-        hot_rows = hot_df.collect()
-        self.salted = bool(hot_rows)
-        self.hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema)) if self.salted else None
+        # a bounded list (see ``hot_keys``): resolved once, every round broadcasts it
+        hot = hot_keys(adj, None, ["nbr"], threshold, max_hot)
+        self.salted = hot is not None
+        self.hot = F.broadcast(hot.select(F.col("nbr").alias("_hid"), F.col("_lb").alias("_salts"))) if self.salted else None
         if self.salted:
             row_hash = F.xxhash64(F.col("me"), F.col("nbr"))
             adj = (adj.join(self.hot, F.col("nbr") == F.col("_hid"), "left")
@@ -124,22 +120,19 @@ class Adjacency:
 
 
 def aggregate_messages(graph: Graph, to_src: Column | None, to_dst: Column | None,
-                       agg: Callable[[Column], Column], msg_name: str = "msg") -> DataFrame:
+                       agg: Callable[[Column], Column], msg_name: str = "msg", by: str | None = None) -> DataFrame:
     """One round of messages over the triplets (A4): ``(id, <msg_name>)``.
 
     ``to_src``/``to_dst`` are Column expressions over the triplet columns
     ``src, dst, <edge attrs>, src_<attr>, dst_<attr>``; ``None`` sends nothing that way.
-    Vertices without messages are absent (as in GraphX)."""
-    trip = triplets(graph)
-    parts = []
-    if to_src is not None:
-        parts.append(trip.select(F.col("src").alias("id"), to_src.alias(msg_name)))
-    if to_dst is not None:
-        parts.append(trip.select(F.col("dst").alias("id"), to_dst.alias(msg_name)))
-    if not parts:
+    ``by``: keep one result per different message, ``(id, <by>, <msg_name>)`` (a vote count
+    per label).  Vertices without messages are absent (as in GraphX)."""
+    sent = [F.struct(F.col(end).alias("id"), m.alias("_m")) for end, m in (("src", to_src), ("dst", to_dst)) if m is not None]
+    if not sent:
         raise ValueError("no message direction given")
-    msgs = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    return msgs.groupBy("id").agg(agg(F.col(msg_name)).alias(msg_name))
+    msgs = triplets(graph).select(F.inline(F.array(*sent)))
+    keys = ["id"] if by is None else ["id", F.col("_m").alias(by)]
+    return msgs.groupBy(*keys).agg(agg(F.col("_m")).alias(msg_name))
 
 
 def triplets(graph: Graph) -> DataFrame:
@@ -151,37 +144,58 @@ def triplets(graph: Graph) -> DataFrame:
         "src", "dst", *graph.edge_attrs, *[f"src_{a}" for a in attrs], *[f"dst_{a}" for a in attrs])
 
 
-def pregel(graph: Graph, value: str, initial: Column, send: str, merge: Callable[[Column], Column],
-           update: Callable[[Column, Column], Column], max_iter: int, until_fixpoint: bool = True,
+def pregel(graph: Graph, values: dict[str, Column], merge: dict[str, Column], update: dict[str, Column],
+           to_dst: Column | None = None, to_src: Column | None = None, steps: int | None = None,
+           max_iter: int | None = None, only_active: bool = False, reads_receiver: bool = False,
            checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
-    """Generic vertex program (A3) over one vertex value column.
-
-    The merge must be idempotent (min, max, or, and, ...): parallel edges deliver one
-    message.  ``initial`` computes the start value from the vertex row; each superstep every
-    vertex sends its value along ``send`` ("out" = to dst, "in" = to src, "both"),
-    messages are merged with the aggregate ``merge`` and vertices that received any
-    message take ``update(old, merged)``.  Stops after ``max_iter`` supersteps or, with
-    ``until_fixpoint``, when a superstep changes no value.  Returns ``(id, value)``.
+    """A vertex program (A3): ``(id, <values>)`` after the last superstep.
+
+    * ``values``: start value of each value column, over the vertex row;
+    * ``to_dst`` / ``to_src``: the message along / against an edge, over ``sender_<value>``,
+      the edge attributes and, with ``reads_receiver``, ``receiver_<value>``; null is no message;
+    * ``merge``: aggregates over ``msg``, any (sum, count, min, a struct, ...);
+    * ``update``: new values, over the old ones and the merged columns, of the vertices that
+      received a message; the others keep theirs.
+
+    ``only_active``: from the second superstep on, only vertices whose values changed in the
+    last one send.  With ``steps`` the program runs that many supersteps (it stops early when
+    no value changes: nothing could change later).  Without, it runs until no value changes;
+    if ``max_iter`` supersteps do not reach that, it raises.
     """
-    direction = {"out": "in", "in": "out", "both": "both"}[send]
-    _, edges = materialise(graph)
-    adj = Adjacency(edges, direction, multiplicity="set")
+    names = list(values)
+    sides = [d for d, m in (("in", to_dst), ("out", to_src)) if m is not None]
+    if not sides:
+        raise ValueError("no message direction given")
+    _, edges = materialise(graph, graph.edge_attrs)
+    adj = Adjacency(edges, sides[0] if len(sides) == 1 else "both", extra=graph.edge_attrs, with_direction=True)
+    if len(sides) == 2:
+        message = F.when(F.col("forward"), to_dst).otherwise(to_src)
+    else:
+        message = to_dst if to_dst is not None else to_src
     try:
-        cur = graph.vertices.select("id", initial.alias(value))
-        cur = cut_lineage(cur)
-        for i in range(max_iter):
-            msgs = (adj.gather(cur, [value]).groupBy(F.col("me").alias("id"))
-                    .agg(merge(F.col(value)).alias("_m")))
-            nxt = (cur.join(msgs, "id", "left")
-                   .select("id", F.when(F.col("_m").isNull(), F.col(value))
-                           .otherwise(update(F.col(value), F.col("_m"))).alias(value),
-                           (F.col("_m").isNotNull() & ~update(F.col(value), F.col("_m")).eqNullSafe(F.col(value)))
-                           .alias("_changed")))
-            nxt = cut_lineage(nxt) if (i + 1) % checkpoint_every == 0 or until_fixpoint else nxt
-            if until_fixpoint and nxt.filter("_changed").limit(1).count() == 0:
-                cur = nxt.drop("_changed")
+        cur = cut_lineage(graph.vertices.select("id", *[c.alias(n) for n, c in values.items()], F.lit(True).alias("_changed")))
+        done = 0
+        while steps is None or done < steps:
+            if max_iter is not None and done >= max_iter and steps is None:
+                raise RuntimeError(f"no fixpoint after {max_iter} supersteps")
+            senders = cur.filter("_changed") if only_active else cur
+            got = adj.gather(senders.select("id", *[F.col(n).alias(f"sender_{n}") for n in names]), [f"sender_{n}" for n in names])
+            if reads_receiver:
+                got = got.join(cur.select(F.col("id").alias("me"), *[F.col(n).alias(f"receiver_{n}") for n in names]), "me")
+            msgs = got.select(F.col("me").alias("id"), message.alias("msg")).filter("msg IS NOT NULL") \
+                .groupBy("id").agg(*[c.alias(n) for n, c in merge.items()], F.lit(True).alias("_got"))
+            new = {n: F.when(F.col("_got"), update[n]).otherwise(F.col(n)) if n in update else F.col(n) for n in names}
+            same = [new[n].eqNullSafe(F.col(n)) for n in names if n in update]
+            changed = F.lit(False)
+            for x in same:
+                changed = changed | ~x
+            nxt = cur.join(msgs, "id", "left").select("id", *[new[n].alias(n) for n in names], changed.alias("_changed"))
+            done += 1
+            last = steps is not None and done == steps
+            test = steps is None or done % checkpoint_every == 0
+            cur = cut_lineage(nxt) if test or last or only_active else nxt
+            if test and not last and cur.filter("_changed").isEmpty():
                 break
-            cur = nxt.drop("_changed")
-        return cur
+        return cur.drop("_changed")
     finally:
         adj.release()

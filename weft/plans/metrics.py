@@ -34,7 +34,7 @@ def _clustering_parts(graph: Graph, mode: str = "in_degree") -> list[DataFrame]:
         d = in_degrees(graph).select(F.col("in_degree").cast("bigint").alias("d"))
     elif mode == "undirected":
         e = _canonical(graph.edges)
-        d = (e.select(F.col("lo").alias("id")).union(e.select(F.col("hi").alias("id")))
+        d = (e.select(F.explode(F.array("lo", "hi")).alias("id"))
              .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
     else:
         raise ValueError(mode)

@@ -8,7 +8,9 @@ machine-local folder on a cluster: when no folder is configured and the master i
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("weft.scan.partitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.driver.memory", os.environ.get("WEFT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -57,11 +60,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "folder (HDFS/S3/...) to checkpoint into on a cluster"
         )
     path = tempfile.mkdtemp(prefix="weft-ckpt-")
+    _made.append((spark, path))
     sc.setCheckpointDir(path)
     return path
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_made() -> None:
+    """On exit, delete the scratch folders that this process made."""
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone; only local folders can go now
+            if "://" not in path:
+                shutil.rmtree(path, ignore_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for written intermediate tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path

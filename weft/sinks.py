@@ -34,6 +34,28 @@ def read_membership(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
                                         parts[1].cast("bigint").alias("member"))
 
 
+def write_sizes(sizes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``(community, size)`` as ``community,size`` lines, sorted by community over the files."""
+    _lines(sizes.repartitionByRange("community").sortWithinPartitions("community"), "community", "size").write.mode(mode).text(path)
+
+
+def read_sizes(spark: SparkSession, path: str) -> DataFrame:
+    return _fields(spark, path, "community", "size", "bigint")
+
+
+def _lines(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.concat_ws(",", F.col(a).cast("string"), F.col(b).cast("string")).alias("value"))
+
+
+def _fields(spark: SparkSession, path: str, a: str, b: str, kind: str) -> DataFrame:
+    parts = F.split(F.col("value"), ",")
+    return spark.read.text(path).select(parts[0].cast("bigint").alias(a), parts[1].cast(kind).alias(b))
+
+
+def read_ranked(spark: SparkSession, path: str, value: str, kind: str = "double") -> DataFrame:
+    return _fields(spark, path, "id", value, kind)
+
+
 def write_ranked(df: DataFrame, value: str, path: str, mode: str = "errorifexists") -> None:
     """``sortBy(_._2, false).saveAsTextFile``: a global descending sort (range
     partitioned, ties by id) written as ``id,value`` lines."""

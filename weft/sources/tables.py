@@ -45,14 +45,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.  A scan with fewer splits than the cluster has cores (a
-    small file with a single row group) is spread round-robin over the cores, so the
-    row expansion that follows does not run in one task; a large scan is untouched."""
+    """Read one driver table.  ``weft.scan.partitions`` (unset by default) deals the rows of
+    every scan out to that many partitions: the local session of tests and bench sets it,
+    whose files have one row group each."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    spread = spark.conf.get("weft.scan.partitions", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def _by_flag(mapping: dict[str, str]) -> Column:

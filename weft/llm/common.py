@@ -7,7 +7,6 @@ lineage and lets a lost executor's work restart from the written table.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,34 +22,12 @@ from weft.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows per Arrow batch: texts may be long, so batches stay small
 BATCH_ROWS = 256
-_written: list[tuple[object, str]] = []
-
-
-def _remove_written() -> None:
-    """On exit, delete the tables that this process wrote to the shared folder."""
-    for spark, path in _written:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session is gone: nothing left to do
-            return
-
-
-atexit.register(_remove_written)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the process ends."""
-    path = scratch_path(spark, name)
-    _written.append((spark, path))
-    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the re-read table."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = scratch_path(spark, name)  # removed when the process ends
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -146,6 +146,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = KMER) -> DataFrame
     one = lambda c: F.min(c) == F.max(c)
     nodes = src.select("text").mapInArrow(lambda it: _nodes(it, n, k), "node long, into long, out long") \
         .groupBy("node").agg(F.count("*").alias("c"), (one("into") & one("out")).alias("plain")).where("c >= 2").select("node", "plain")
+    nodes = stored(nodes, "nodes")  # read back, the join below can split the occurrences of a frequent node
     places = src.select("doc", "key", "text").mapInArrow(lambda it: _places(it, n, k), "node long, doc long, key long, pos int")
     marks = stored(places.join(nodes, "node").groupBy("doc", "key").agg(F.collect_list("pos").alias("pos"), F.collect_list("plain").alias("plain")), "marks")
     windows = src.join(marks, ["doc", "key"]).select("doc", "key", "text", "pos", "plain") \

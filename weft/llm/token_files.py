@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import shared_path, prepare, stored, with_base
+from weft.llm.common import prepare, stored, with_base
 from weft.llm.tokens import encoder
+from weft.session import scratch_path
 
 END_ID = 2
 OFFSET = np.dtype("<u8")
@@ -131,5 +132,5 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
     """Write the documents to ``folder`` (default: a new one in the shared folder) and read back."""
-    folder = folder or shared_path(docs.sparkSession, "tokens")
+    folder = folder or scratch_path(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, vocabulary), folder)

@@ -194,3 +194,19 @@ def test_edge_list_file(spark, tmp_path):
     p.write_text("1 2\n3 4\n5 6\n")
     g = edge_list_graph(spark, str(p))
     assert g.vertices.count() == 6 and g.edges.count() == 3
+
+
+def test_call_graph_leaves_out_an_ownership_used_twice(spark):
+    """A phone that calls itself pairs its owners with each other, none with itself."""
+    from weft.operators.match import call_graph
+
+    class Source:
+        def phones_of_apps(self, rel):
+            return spark.createDataFrame([(1, 5, 0), (2, 5, 0), (1, 6, 0)], "app bigint, k1 bigint, k2 bigint")
+
+        def calls(self):
+            return spark.createDataFrame([(5, 0, 5, 0, 1), (5, 0, 6, 0, 2)],
+                                         "src_k1 bigint, src_k2 bigint, dst_k1 bigint, dst_k2 bigint, call_cnt bigint")
+
+    got = sorted(tuple(r) for r in call_graph(Source()).collect())
+    assert got == sorted([(1, 2, 1), (2, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (1, 2, 2)])

@@ -15,7 +15,7 @@ from weft.functions.columns import overdue_flag, scala_string
 from weft.model import Graph, edges_from_pairs, from_edges, from_vertices_and_edges, nodes_from_both_ends
 from weft.operators import relational as rel
 from weft.operators import structure as st
-from weft.operators.match import APP_ATTRS, call_graph, links, undirected_calls
+from weft.operators.match import APP_ATTRS, call_graph, component_edges, links, undirected_calls
 from weft.plans import algorithms as alg
 from weft.plans import community as com
 from weft.plans import metrics as met
@@ -313,6 +313,35 @@ def graph_no_default(spark, d):
     return from_vertices_and_edges(g.vertices, g.edges).vertices
 
 
+BUILDING = """
+E AS (SELECT src, dst, 1 AS attr FROM ({link}) l),
+K AS (SELECT id, nation, segment FROM persons WHERE segment = 'BUILDING'),
+M AS (SELECT src AS id FROM E UNION SELECT dst FROM E)"""
+
+
+def building_vertices(src: PropertyGraphSource):
+    """The customers of one segment: most ends of the links are not among them."""
+    return src.persons().filter(F.col("segment") == "BUILDING")
+
+
+@register("graph_default_filled", Q.with_base(BUILDING.format(link=Q.link_sql("link_phone_emergency")), body="""
+SELECT id, nation, segment FROM K UNION ALL SELECT id, 2, '2' FROM M WHERE id NOT IN (SELECT id FROM K)"""))
+def graph_default_filled(spark, d):
+    """``Graph(v, e, default)`` where the default is filled in for most vertices."""
+    src = S(spark, d)
+    e = edges_from_pairs(links(src, "link_phone_emergency"), attr=F.lit(1))
+    return from_vertices_and_edges(building_vertices(src), e, default={"nation": 2, "segment": "2"}).vertices
+
+
+@register("graph_null_filled", Q.with_base(BUILDING.format(link=Q.link_sql("link_phone_emergency")), body="""
+SELECT id, nation, segment FROM K UNION ALL SELECT id, NULL, NULL FROM M WHERE id NOT IN (SELECT id FROM K)"""))
+def graph_null_filled(spark, d):
+    """``Graph(v, e)``: the missing vertices have null attributes."""
+    src = S(spark, d)
+    e = edges_from_pairs(links(src, "link_phone_emergency"), attr=F.lit(1))
+    return from_vertices_and_edges(building_vertices(src), e).vertices
+
+
 @register("nodes_from_both_ends", Q.with_base(body=Q.FLAG_NODES))
 def q_nodes_from_both_ends(spark, d):
     return flag_nodes(S(spark, d))
@@ -432,10 +461,20 @@ SELECT cc.id, cc.component FROM cc WHERE cc.id IN (SELECT id FROM ({SUB_V}) s)""
 def mask_cc(spark, d):
     src = S(spark, d)
     g = person_graph(src)
-    cc = Graph(alg.connected_components(g), g.edges)
+    same = Graph(g.vertices, component_edges(src, "link_phone_emergency"))
+    cc = Graph(alg.connected_components(same), g.edges)
     return st.mask(cc, person_subgraph(src)).vertices
 
 
+@register("mask_edges", Q.with_base(*Q.PERSON_GRAPH, body=f"""
+SELECT src, dst, attr FROM E WHERE src < dst AND src IN (SELECT id FROM ({SUB_V}) s) AND dst IN (SELECT id FROM ({SUB_V}) t)"""))
+def mask_edges(spark, d):
+    """The edges of a graph that are also in a subgraph by vertices and edges, with the graph's attributes."""
+    g = person_graph(S(spark, d))
+    sub = st.subgraph(g, vpred=F.col("segment") != "BUILDING", epred=F.col("src") < F.col("dst"))
+    return st.mask(g, sub.with_edges(sub.edges.select("src", "dst"))).edges
+
+
 @register("outer_join_outdeg", Q.with_base(*Q.PERSON_GRAPH, body="""
 SELECT V.id, coalesce(o.n, 0) AS out_degree FROM V LEFT JOIN (SELECT src, count(*) AS n FROM E GROUP BY src) o ON o.src = V.id"""))
 def outer_join_outdeg(spark, d):
@@ -531,7 +570,7 @@ def neighbor_label_votes(spark, d):
 @register("connected_components", Q.with_base(*Q.link_graph("link_device"), *Q.cc_ctes(),
                                               body="SELECT id, component FROM cc", recursive=True))
 def q_connected_components(spark, d):
-    return alg.connected_components(link_graph(S(spark, d), "link_device"))
+    return alg.connected_components(from_edges(component_edges(S(spark, d), "link_device"), 1))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -734,7 +773,7 @@ def pagerank_top(spark, d):
 @register("cc_top", Q.with_base(*Q.link_graph("link_device"), *Q.cc_ctes(), body="""
 SELECT id, component FROM cc ORDER BY component DESC, id ASC LIMIT 5""", recursive=True))
 def cc_top(spark, d):
-    cc = alg.connected_components(link_graph(S(spark, d), "link_device"))
+    cc = alg.connected_components(from_edges(component_edges(S(spark, d), "link_device"), 1))
     return rel.top(cc, 5, [F.col("component").desc(), F.col("id").asc()])
 
 

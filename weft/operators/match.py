@@ -146,6 +146,22 @@ def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], dist
     return out.distinct() if distinct else out
 
 
+def component_edges(src: PropertyGraphSource, name: str) -> DataFrame:
+    """Edges ``(src, dst)`` with the vertices and connected components of a shared-attribute
+    pattern, but one per person and attribute instead of one per pair of persons.
+
+    All persons that meet on an attribute node (some through a left type, some through a right
+    one, two at least) are connected there, so a star from the smallest of them will do."""
+    rule = LINK_RULES[name]
+    pra = person_rel_attr(src, sorted(set(rule.left + rule.right)))
+    low = pra.groupBy(*KEY_COLS).agg(
+        F.min("person").alias("src"), F.max("person").alias("_high"),
+        F.bool_or(F.col("rel_type").isin(*rule.left)).alias("_l"), F.bool_or(F.col("rel_type").isin(*rule.right)).alias("_r"))
+    low = cut_lineage(low.filter("_l AND _r AND src < _high").select(*KEY_COLS, "src"))
+    held = pra.select(F.col("person").alias("dst"), *KEY_COLS)
+    return salted_join(held, low, KEY_COLS, condition=lambda L, R: L("dst") != R("src")).select("src", "dst").distinct()
+
+
 def call_links(src: PropertyGraphSource, rule: CallRule, distinct: bool = True) -> DataFrame:
     """Person pairs ``(src, dst)`` tied through a directed phone call."""
     pra = person_rel_attr(src, sorted({rule.left, rule.right}))

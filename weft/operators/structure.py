@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.columns import scala_string
+from weft.functions.columns import scala_string, scala_tuple
 from weft.model import Graph, both_ends
 from weft.plans.iterate import triplets  # noqa: F401  (re-exported: T5)
 
@@ -107,9 +107,7 @@ def triplet_strings(trip: DataFrame, src_attrs: list[str], dst_attrs: list[str],
     ``s1`` = ``src-<a1>-<a2>-dst-<b1>-<b2><edge>`` (attributes dash-joined, edge appended),
     ``s2`` = ``src-<attr>|<edge>|dst-<attr>`` with a tuple attribute printed ``(a,b)``."""
     def tup(cols):
-        if len(cols) == 1:
-            return scala_string(cols[0])
-        return F.concat(F.lit("("), F.concat_ws(",", *[scala_string(c) for c in cols]), F.lit(")"))
+        return scala_string(cols[0]) if len(cols) == 1 else scala_tuple(*cols)
 
     s1 = F.concat_ws("-", scala_string("src"), *[scala_string(c) for c in src_attrs], scala_string("dst"),
                      *[scala_string(c) for c in dst_attrs])

@@ -1,7 +1,6 @@
 """Spark queries vs their DuckDB oracle on the driver tables (sf0.001 by default).
 
-A representative subset runs by default; ``WEFT_ORACLE_ALL=1`` runs every key
-(``tests/oracle_compare.py`` does the same as a script, at any scale factor).
+``tests/oracle_compare.py`` does the same as a script, at any scale factor.
 """
 
 import os
@@ -12,11 +11,7 @@ import __spark_entry__ as entry
 from weft.catalog import QUERIES, SQL
 from tests.oracle_compare import compare, duck
 
-SUBSET = ["link_device", "link_address", "link_phone_call", "link_call_emergency_fwd", "social_net_7",
-          "call_graph_wide", "edge_struct_attr", "graph_with_default", "triplet_strings", "mask_cc",
-          "lpa_10", "pregel_max_attr", "pagerank_20", "triangle_count", "network_report", "community_risk",
-          "community_cogroup", "line_count", "complement", "paged_nodes", "sink_roundtrip", "edge_list_canonical"]
-KEYS = sorted(SQL) if os.environ.get("WEFT_ORACLE_ALL") else SUBSET
+KEYS = sorted(SQL)
 SF_DIR = os.environ.get("WEFT_ORACLE_SF", "/root/testdata/sf0.001")
 
 
@@ -31,8 +26,8 @@ def test_matches_oracle(spark, con, key):
     assert r["ok"], r
 
 
-def test_every_query_has_an_oracle_or_a_golden():
-    assert set(QUERIES) - set(SQL) == {"pagerank_tol"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(SQL)
     assert set(QUERIES) <= set(entry.queries())
 
 

@@ -180,12 +180,18 @@ def _signature(e: DataFrame) -> tuple:
 # ---------------------------------------------------------------------------------------
 # PageRank
 
-def _out_weights(edges: DataFrame) -> DataFrame:
-    """``(src, dst, w)``: per distinct (src, dst), (parallel edges) / out-degree(src)."""
-    e = edges.select("src", "dst")
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    par = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
-    return par.join(outdeg, "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("w"))
+def _with_out_degree(verts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, deg)`` of every vertex, written once: the loops carry the degree with the rank, so
+    no edge row is ever joined with it."""
+    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    return cut_lineage(verts.join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("bigint").alias("deg")))
+
+
+def _shares(adj: Adjacency, state: DataFrame, value: str) -> DataFrame:
+    """What each vertex receives over its in-edges, ``(id, c)``: value / out-degree of the other
+    end, once per parallel edge."""
+    share = state.filter("deg > 0").select("id", (F.col(value) / F.col("deg")).alias("share"))
+    return adj.gather(share, ["share"]).select(F.col("me").alias("id"), (F.col("share") * F.col("mult")).alias("c"))
 
 
 def _normalise(ranks: DataFrame) -> DataFrame:
@@ -201,14 +207,14 @@ def pagerank(graph: Graph, num_iter: int, reset: float = 0.15,
     rank' = reset + (1 - reset) * sum over in-edges of rank(src) / outdeg(src);
     finally rescaled so the ranks sum to the number of vertices."""
     verts, edges = materialise(graph)
-    adj = Adjacency(_out_weights(edges), "in", extra=["w"])
+    verts = _with_out_degree(verts, edges)
+    adj = Adjacency(edges, "in", multiplicity="count")
     try:
-        ranks = verts.select("id", F.lit(1.0).alias("rank"))
-        zero = verts.select("id", F.lit(0.0).alias("c"))
+        ranks = verts.select("id", F.lit(1.0).alias("rank"), "deg")
+        zero = verts.select("id", F.lit(0.0).alias("c"), "deg")
         for i in range(1, num_iter + 1):
-            contrib = adj.gather(ranks, ["rank"]).select(F.col("me").alias("id"), (F.col("rank") * F.col("w")).alias("c"))
-            ranks = (contrib.union(zero).groupBy("id")
-                     .agg((F.lit(reset) + F.lit(1.0 - reset) * F.sum("c")).alias("rank")))
+            got = _shares(adj, ranks, "rank").withColumn("deg", F.lit(None).cast("bigint"))
+            ranks = got.union(zero).groupBy("id").agg((F.lit(reset) + F.lit(1.0 - reset) * F.sum("c")).alias("rank"), F.max("deg").alias("deg"))
             if i % checkpoint_every == 0 or i == num_iter:
                 ranks = cut_lineage(ranks)
         return _normalise(ranks)
@@ -224,19 +230,19 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
     out-edges; receivers add (1 - reset) * sum to their rank.  Rescaled to sum N.
     Deltas shrink by (1 - reset) a round, so it ends; a ``max_iter`` that is hit raises."""
     verts, edges = materialise(graph)
-    adj = Adjacency(_out_weights(edges), "in", extra=["w"])
+    verts = _with_out_degree(verts, edges)
+    adj = Adjacency(edges, "in", multiplicity="count")
     try:
-        state = verts.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
+        state = verts.select("id", "deg", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
                              F.lit(True).alias("active"))
         cached = None
         for i in count(1):
             if max_iter is not None and i > max_iter:
                 raise RuntimeError(f"PageRank did not reach the tolerance in {max_iter} rounds")
             senders = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
-            msgs = (adj.gather(senders, ["delta"]).groupBy(F.col("me").alias("id"))
-                    .agg(F.sum(F.col("delta") * F.col("w")).alias("m")))
+            msgs = _shares(adj, senders, "delta").groupBy("id").agg(F.sum("c").alias("m"))
             state = (state.join(msgs, "id", "left")
-                     .select("id",
+                     .select("id", "deg",
                              (F.col("rank") + F.coalesce(F.lit(1.0 - reset) * F.col("m"), F.lit(0.0))).alias("rank"),
                              F.when(F.col("m").isNull(), F.col("delta"))
                              .otherwise(F.lit(1.0 - reset) * F.col("m")).alias("delta"),

@@ -106,8 +106,8 @@ def test_jaccard_chains_and_split_lists(spark, list_rows):
     assert groups(jaccard_join.join_groups(df, list_rows=list_rows)) == brute.jaccard_groups(data)
 
 
-def test_hub_rows_across_batches():
-    """The streaming hub pass gives the same rows however the batches are cut."""
+def test_shared_lists_across_batches():
+    """The lists that come out are the same however the batches are cut."""
     import pyarrow as pa
     r = np.random.default_rng(2)
     rows = sorted((int(s), 0, int(c) % 3 + 1, int(c)) for s, c in zip(r.integers(0, 12, 60), r.integers(0, 9, 60)))
@@ -116,12 +116,15 @@ def test_hub_rows_across_batches():
     whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shingle", "part", "class", "n", "pos"])
     parts = np.ones(jaccard_join.CELLS, np.int32)
 
-    def run(step):
+    def run(step, parts):
         cut = [whole.slice(i, step) for i in range(0, whole.num_rows, step)]
-        return sorted(tuple(x.values()) for b in jaccard_join._hubs(iter(cut), parts) for x in b.to_pylist())
+        return sorted(tuple(x.values()) for b in jaccard_join._shared(iter(cut), parts) for x in b.to_pylist())
 
-    want = run(1000)
-    assert want and all(run(k) == want for k in (1, 2, 3, 7))
+    several = {s for s in range(12) if len({c for t, _, _, c in rows if t == s}) > 1}
+    want = sorted((s, c, n, 0) for s, _, n, c in set(rows) if s in several)
+    assert want and all(run(k, parts) == want for k in (1, 2, 3, 7, 1000))
+    every = sorted((s, c, n, 0) for s, _, n, c in set(rows))
+    assert all(run(k, parts + 1) == every for k in (1, 2, 3, 7, 1000))
 
 
 def test_jaccard_edges(no_docs, doubled):

@@ -7,6 +7,7 @@ lineage and lets a lost executor's work restart from the written table.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,6 +28,9 @@ BATCH_ROWS = 256
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the re-read table."""
     spark = df.sparkSession
+    # let Spark's cleaner find the shuffle files of the steps that are written already
+    gc.collect()
+    spark._jvm.System.gc()
     path = scratch_path(spark, name)  # removed when the process ends
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ count sketch, so very frequent shingles are long lists for everybody.
 
 Only connected classes are asked for, so a list does not pair all its members:
 
-1. every member of a list meets the list's smallest member (its hub); of all hubs a class
-   meets, the one met on the most short lists is verified;
+1. every member of a list meets the list's most central member (its hub: the one that shares
+   the largest part of its own short lists); of all hubs a class meets, the one met on the
+   most short lists is verified;
 2. the links found make components, and only members of one list that are still in
    different components (and may reach T by size and position) are paired and verified.
 
@@ -36,7 +37,7 @@ SHINGLE = 5
 PERCENT = 80
 #: the sketch: counters, and how they are cut into rows
 CELLS, CHUNK = 1 << 20, 1 << 14
-#: members of a list that one task meets at about; longer lists are split (a hub each)
+#: rows of a list that one task reads at about; longer lists are split
 LIST_ROWS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -101,8 +102,8 @@ def by_length(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def least_overlap(n, percent: int = PERCENT):
-    """T: shingles of a set of n that any partner holds."""
-    return -(-percent * n // 100)
+    """T: shingles of a set of n that any partner holds (of a number or a column)."""
+    return F.ceil(percent * n / F.lit(100)) if isinstance(n, Column) else -(-percent * n // 100)
 
 
 # ---- short lists ---------------------------------------------------------------------------
@@ -125,52 +126,46 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, levels: n
                                          names=["shingle", "part", "class", "n", "pos"])
 
 
-LISTS = "shingle long, class long, n int, pos int, hub long, hub_n int, hub_pos int, split boolean"
-_INT = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+LISTS = "shingle long, class long, n int, pos int"
 
 
-def _hubs(batches: Iterator[pa.RecordBatch], parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, part, n, class): each with its list's first class as hub.
-    Lists of one class are left out, unless they are parts of a split list."""
-    tail = None  # the open list: its hub, and whether more than one class was seen
+def _shared(batches: Iterator[pa.RecordBatch], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (shingle, part, n, class), those whose list has more than one class.
+    A part of a split list is passed on whole: its other classes are elsewhere."""
+    tail, sent = None, False  # the open list's first row; whether it went out (others were seen)
     for b in batches:
         cols = [b.column(c).to_numpy() for c in ("shingle", "part", "class", "n", "pos")]
-        if tail is not None:  # put the last batch's open first row in front, once
-            cols = [np.concatenate([t, c]) for t, c in zip(tail[0], cols)]
-        if not len(cols[0]):
+        if tail is not None:
+            cols = [np.concatenate([t, c]) for t, c in zip(tail, cols)]
+        shingle, part, cls = cols[:3]
+        if not len(shingle):
             continue
-        shingle, part, cls, n, pos = cols
         new = np.r_[True, (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])]
         again = np.r_[False, ~new[1:] & (cls[1:] == cls[:-1])]  # copies of a class, from several tasks
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        more = cls != cls[first]
         start = np.flatnonzero(new)
-        several = np.maximum.reduceat(more.astype(np.int8), start) > 0
-        last = start[-1]
-        seen = tail is not None and tail[1]
-        if seen:
-            several[0] = True
-        grp = np.cumsum(new) - 1
-        cut = np.ones(len(new), bool) if parts is None else parts[(shingle.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > 1
-        out = ~again & (several[grp] | cut)
-        if seen:
-            out[0] = False  # emitted with the last batch
-        # the open list's hub row is carried; its other rows go out now
-        open_several = bool(several[-1])
-        if not open_several:
-            out[last] = False
-        tail = ([c[last:last + 1] for c in cols], open_several)
-        yield _list_rows(shingle, cls, n, pos, first, cut, out)
-    if tail is not None and not tail[1] and parts is not None:
-        (shingle, part, cls, n, pos) = tail[0]
-        cut = parts[(shingle.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > 1
-        yield _list_rows(shingle, cls, n, pos, np.zeros(1, np.int64), cut, cut)
-
-
-def _list_rows(shingle, cls, n, pos, first, cut, out) -> pa.RecordBatch:
-    cols = [shingle, cls, n, pos, cls[first], n[first], pos[first]]
-    return pa.RecordBatch.from_arrays([*[pa.array(c[out], t) for c, t in zip(cols, _INT)], pa.array(cut[out])],
-                                      names=[x.split()[0] for x in LISTS.split(", ")])
+        several = np.maximum.reduceat((cls != cls[start][np.cumsum(new) - 1]).astype(np.int8), start) > 0
+        several[0] |= sent
+        out = ~again & (several[np.cumsum(new) - 1] | _is_split(shingle, parts))
+        if sent:
+            out[0] = False
+        # the last list may go on: its first row waits for a second class
+        sent = bool(several[-1])
+        if not sent:
+            out[start[-1]] = False
+        tail = [c[start[-1]:start[-1] + 1] for c in cols]
+        yield _list_rows(cols, out)
+    if tail is not None and not sent:
+        yield _list_rows(tail, _is_split(tail[0], parts))
+
+
+def _is_split(shingle: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return parts[(shingle.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > 1
+
+
+def _list_rows(cols, out) -> pa.RecordBatch:
+    shingle, _, cls, n, pos = (c[out] for c in cols)
+    return pa.RecordBatch.from_arrays([pa.array(shingle, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())],
+                                      names=["shingle", "class", "n", "pos"])
 
 
 def may_reach(n: Column, m: Column, i: Column, j: Column, percent: int = PERCENT) -> Column:
@@ -183,8 +178,12 @@ def may_reach(n: Column, m: Column, i: Column, j: Column, percent: int = PERCENT
 # ---- verification --------------------------------------------------------------------------
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(class, set), once per task: rows that share an id come to one task."""
+    seen: set[int] = set()
     for b in batches:
         sets = {_class_of(s)[0]: s for s in shingle_sets(b.column("text").to_pylist(), k) if len(s)}
+        sets = {c: s for c, s in sets.items() if c not in seen}
+        seen.update(sets)
         yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["class", "grams"])
 
 
@@ -216,10 +215,16 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of classes that link.  Their sets are made anew from one text each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    first = ends.join(classes, "class").select(F.col("first").alias("_first")).distinct()
+    # the candidates grow with the corpus: one plan at every size, never a broadcast of them
+    texts = src.join(first.hint("merge"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_first"), "left_semi").select("text")
+    sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "class long, grams binary"), "sets")
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = one.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("b_grams")), "b")
-    return both.select("a", "b", "a_grams", "b_grams").mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    return stored(both.select("a", "b", "a_grams", "b_grams").mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "links")
 
 
 def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -245,25 +250,24 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
     share = spark.sparkContext.broadcast((levels, parts))  # 5 bytes a cell, whatever the input
     postings = src.select("text").mapInArrow(lambda it: _postings(it, k, percent, *share.value), "shingle long, part int, class long, n int, pos int")
     lists = postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "class") \
-        .mapInArrow(lambda it: _hubs(it, share.value[1]), LISTS)
+        .mapInArrow(lambda it: _shared(it, share.value[1]), LISTS)
     lists = stored(lists, "lists")
-    if bool((parts > 1).any()):  # the hubs of a split list's parts form a list of their own
-        hubs = lists.where("split and class = hub").select("shingle", F.lit(0).alias("part"), "class", "n", "pos")
-        over = hubs.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(lambda it: _hubs(it, None), LISTS)
-        lists = stored(lists.unionByName(over), "lists2")
 
+    # a class is the more central the larger the share of its short lists that it shares
+    rows_of = lists.select("shingle", "class", "n", "pos").distinct()
+    central = rows_of.groupBy("class", "n").agg((F.count("*") / (F.col("n") - least_overlap(F.col("n"), percent) + 1)).alias("share"))
+    member = stored(rows_of.join(central.drop("n"), "class"), "members")
+    hub = member.groupBy("shingle").agg(F.max(F.struct("share", "class", "n", "pos")).alias("h")) \
+        .select("shingle", F.col("h.class").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+    hub = stored(hub, "hubs")
     fits = may_reach(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"), percent)
-    met = lists.where((F.col("class") != F.col("hub")) & fits).groupBy("class", "hub").agg(F.count("*").alias("times"))
+    met = member.join(hub, "shingle").where((F.col("class") != F.col("hub")) & fits).groupBy("class", "hub").agg(F.count("*").alias("times"))
     best = stored(met.groupBy("class").agg(F.max(F.struct("times", "hub")).alias("m")).select(F.col("class").alias("a"), F.col("m.hub").alias("b")), "best")
-    # sets of all classes that share a list with another one
-    near = lists.groupBy("class").agg(F.lit(1).alias("x")).join(classes, "class").select(F.col("first").alias("_first")).distinct()
-    some = src.join(near, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_first"), "left_semi").select("text")
-    sets = stored(some.mapInArrow(lambda it: _sets(it, k), "class long, grams binary").dropDuplicates(["class"]), "sets")
-    links = stored(_verify(best, sets, percent), "links")
+    links = _verify(best, classes, src, k, percent)
 
     found = components(links, "comp1")
-    member = stored(lists.select("shingle", "class", "n", "pos").distinct().join(found.withColumnRenamed("node", "class"), "class", "left")
-                    .withColumn("root", F.coalesce("root", "class")), "members")
+    member = stored(member.join(found.withColumnRenamed("node", "class"), "class", "left")
+                    .select("shingle", "class", "n", "pos", F.coalesce("root", "class").alias("root")), "members2")
     mixed = member.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("shingle")
     open_ = stored(member.join(mixed, "shingle", "left_semi"), "open")
     x, y = (open_.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("class", "n", "pos", "root")]) for s in "xy")
@@ -271,7 +275,7 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
     pairs = apart.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verify(pairs, sets, percent))
+    links = links.unionByName(_verify(pairs, classes, src, k, percent))
 
     root = components(stored(links, "links2"), "comp2")
     named = stored(classes.select("class", "first").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "roots")

@@ -20,7 +20,7 @@ ODD_ASCII = [chr(c) for c in (1, 2, 3, *range(0x1C, 0x20))]
 ODD = ODD_ASCII + [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)]
 #: white space other than single spaces, and one or two line breaks, inside a text
 UNEVEN = ["  ", "\n\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r"]
-CACHE = 1_000_000
+CACHE = 1_800_000
 LONGEST = 48  # longer words are encoded but not kept
 #: a stop after a letter is a piece of its own for both vocabularies
 STOPS = frozenset(".,;:!?")
@@ -70,36 +70,32 @@ class Encoder:
                 at = end + 1
         return out
 
-    def _stem(self, w: str) -> str:
-        """The word that is looked up for ``w``: no last stop, no line break, in lower case
-        where that is the same to the tokenizer."""
-        if w[-1:] in STOPS and w[-2:-1].isalpha():
-            w = w[:-1]
-        if w[:1] == BREAK:
-            w = FIRST + w[1:]
-        return w.lower() if self.drops_space and w.isascii() else w
+    def _stems(self, words: list[str]) -> list[str]:
+        """The words that are looked up: no last stop, no line break, in lower case where that
+        is the same to the tokenizer."""
+        stems = [w[:-1] if w[-1:] in STOPS and w[-2:-1].isalpha() else w for w in words]
+        if self.drops_space:
+            return [s.lower() if s.isascii() else s for s in stems]
+        return [FIRST + s[1:] if s[:1] == BREAK else s for s in stems]
 
     def _ids_of(self, words: set[str]) -> dict[str, bytes]:
         """Ids of a batch's distinct words; the cache holds stems only."""
         if len(self.cache) > CACHE:
             self.cache = {}
-        cache = self.cache
-        out = dict(zip(words, map(cache.get, words)))
+        get, stops, first = self.cache.get, self.stops, self.break_ids
+        out = dict(zip(words, map(get, words)))
         rest = [w for w, ids in out.items() if ids is None]
-        stems = list(map(self._stem, rest))
-        need = [s for s in set(stems) if s not in cache]
-        cache.update(zip(need, self._encode_words(need)))
-        for w, s in zip(rest, stems):
-            ids = cache[s]
-            if w != s:
-                if w[-1:] in STOPS and w[-2:-1].isalpha():
-                    ids += self.stops[w[-1]]
-                if w[:1] == BREAK:
-                    ids = self.break_ids + ids
-            out[w] = ids
-        for s in need:
-            if len(s) > LONGEST:
-                del cache[s]
+        stems = self._stems(rest)
+        found = list(map(get, stems))
+        need = list({s for s, ids in zip(stems, found) if ids is None})
+        new = dict(zip(need, self._encode_words(need)))
+        for w, s, ids in zip(rest, stems, found):
+            if ids is None:
+                ids = new[s]
+            if len(w) > len(s):
+                ids += stops[w[-1]]
+            out[w] = first + ids if w[:1] == BREAK else ids
+        self.cache.update((s, ids) for s, ids in new.items() if len(s) <= LONGEST)
         return out
 
     def _by_word(self, texts: list[str]) -> list[bytes]:

@@ -103,7 +103,7 @@ def _round_groups(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.R
         yield batch([(key[0], *carry, 0, True, key[1])])
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, group_rows: int = 50_000, fan_in: int = 64) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, group_rows: int = 4_096, fan_in: int = 64) -> DataFrame:
     """Copies of each document in the mix: ``doc_id, source, size, source_size, target, copies, taken``.
 
     A null text has size 0; documents of size 0 and sources of size 0 get 0 copies; null

@@ -2,10 +2,11 @@
 
 Both vocabularies split a text at ASCII white space before any merge, so the ids of a text
 are those of its words in a row, each with the space or the line break before it.  A worker
-keeps the ids of the words that it has seen; the new words of a batch are encoded by the
-library in one text, with a separator between them whose id no word can have.  Texts with
-other white space, or runs of it that the vocabulary might join, are encoded whole.  The
-cache is emptied when it is full, so memory is bounded.
+keeps the ids of the words that it has seen, in a table of flat arrays that is probed for a
+whole batch at once (by a 128-bit hash of the word); the new words of a batch are encoded by
+the library in one text, with a separator between them whose id no word can have.  Texts
+with other white space, or runs of it that the vocabulary might join, are encoded whole.
+The table is emptied when it is full, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import xxhash
 
 #: white space besides the ASCII six, separators that some libraries count as such too, and the
 #: control signs used as marks here
@@ -20,12 +22,10 @@ ODD_ASCII = [chr(c) for c in (1, 2, 3, *range(0x1C, 0x20))]
 ODD = ODD_ASCII + [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)]
 #: white space other than single spaces, and one or two line breaks, inside a text
 UNEVEN = ["  ", "\n\n\n", "\n ", " \n", "\t", "\x0b", "\x0c", "\r"]
-CACHE = 1_800_000
-LONGEST = 48  # longer words are encoded but not kept
-#: a stop after a letter is a piece of its own for both vocabularies
-STOPS = frozenset(".,;:!?")
+#: words that the table holds (some 70 bytes each)
+CACHE = 1_500_000
 #: marks of a word behind a line break and of a text's first word; others follow a space
-BREAK, FIRST = "\x02", "\x03"
+BREAK, FIRST = b"\x02", b"\x03"
 
 _open: dict[str, Encoder] = {}
 
@@ -36,6 +36,60 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class WordTable:
+    """Words by a 128-bit hash, open addressing in flat arrays, and their ids in one more."""
+
+    def __init__(self, words: int, kind=np.uint32):
+        self.kind, self.room, size = kind, words, 1 << (2 * words - 1).bit_length()
+        self.mask = np.uint64(size - 1)
+        self.first, self.second = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.at, self.count = np.zeros(size, np.uint32), np.zeros(size, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.first[:] = 0
+        self.ids, self.used, self.n = np.zeros(1 << 20, self.kind), 0, 0
+
+    @staticmethod
+    def hashes(words: list[bytes]) -> np.ndarray:
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2).copy()
+        h[:, 0] |= np.uint64(1)  # 0 marks a free place
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for words that are not there."""
+        out = np.full(len(h), -1, np.int64)
+        left, place = np.arange(len(h)), h[:, 1] & self.mask
+        while len(left):
+            at = place.astype(np.int64)
+            there = self.first[at]
+            hit = (there == h[left, 0]) & (self.second[at] == h[left, 1])
+            out[left[hit]] = at[hit]
+            go = ~hit & (there != 0)
+            left, place = left[go], (place[go] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct new words with their ids, end to end."""
+        if self.n + len(h) > self.room:
+            self.clear()
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(counts) - counts
+        self.used, self.n = self.used + len(ids), self.n + len(h)
+        left, place = np.arange(len(h)), h[:, 1] & self.mask
+        while len(left):
+            at = place.astype(np.int64)
+            free = self.first[at] == 0
+            # of several words for one free place the last one written stays
+            self.first[at[free]] = h[left[free], 0]
+            self.second[at[free]] = h[left[free], 1]
+            won = free & (self.first[at] == h[left, 0]) & (self.second[at] == h[left, 1])
+            self.at[at[won]], self.count[at[won]] = starts[left[won]], counts[left[won]]
+            left, place = left[~won], (place[~won] + np.uint64(1)) & self.mask
+
+
 class Encoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,64 +98,78 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = self.whole([" "])[0] == b""
         self.between = " \x01 " if self.drops_space else "\n"
-        self.break_ids = self.whole(["\n"])[0]
+        self.break_ids = np.frombuffer(self.whole(["\n"])[0], "<u4")
         (self.mark,) = np.frombuffer(self.whole([self.between.strip(" ")])[0], "<u4")
-        self.stops = {s: self.whole([s])[0] for s in STOPS}
         self.small = self.tok.get_vocab_size() <= 1 << 16
-        self.cache: dict[str, bytes] = {}
+        self.table = WordTable(CACHE, np.uint16 if self.small else np.uint32)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """New words, a thousand in one text."""
-        out: list[bytes] = []
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, end to end, and the number of each; a thousand words in one text."""
+        out, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), 1000):
-            part = words[lo:lo + 1000]
-            texts = part if self.drops_space else [w[1:] if w[:1] == FIRST else " " + w for w in part]
-            ids = np.frombuffer(self.whole([self.between.join(texts)])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            if len(ends) != len(part):  # cannot be, but a wrong split would be silent
-                out += self.whole(texts)
-                continue
-            raw, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[4 * at:4 * end])
-                at = end + 1
-        return out
-
-    def _stems(self, words: list[str]) -> list[str]:
-        """The words that are looked up: no last stop, no line break, in lower case where that
-        is the same to the tokenizer."""
-        stems = [w[:-1] if w[-1:] in STOPS and w[-2:-1].isalpha() else w for w in words]
-        if self.drops_space:
-            return [s.lower() if s.isascii() else s for s in stems]
-        return [FIRST + s[1:] if s[:1] == BREAK else s for s in stems]
-
-    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of a batch's distinct words; the cache holds stems only."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        get, stops, first = self.cache.get, self.stops, self.break_ids
-        out = dict(zip(words, map(get, words)))
-        rest = [w for w, ids in out.items() if ids is None]
-        stems = self._stems(rest)
-        found = list(map(get, stems))
-        need = list({s for s, ids in zip(stems, found) if ids is None})
-        new = dict(zip(need, self._encode_words(need)))
-        for w, s, ids in zip(rest, stems, found):
-            if ids is None:
-                ids = new[s]
-            if len(w) > len(s):
-                ids += stops[w[-1]]
-            out[w] = first + ids if w[:1] == BREAK else ids
-        self.cache.update((s, ids) for s, ids in new.items() if len(s) <= LONGEST)
-        return out
+            part = [w.decode("utf-8") for w in words[lo:lo + 1000]]
+            if not self.drops_space:  # a word behind a line break is the break and the word alone
+                part = [w[1:] if w[:1] in ("\x02", "\x03") else " " + w for w in part]
+            ids = np.frombuffer(self.whole([self.between.join(part)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) == len(part):
+                n = np.diff(np.append(-1, ends)) - 1
+                ids = np.delete(ids, ends[:-1])
+            else:  # cannot be, but a wrong split would be silent
+                each = [np.frombuffer(x, "<u4") for x in self.whole(part)]
+                n, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+            out.append(ids)
+            counts.append(n)
+        return np.concatenate(out), np.concatenate(counts)
 
     def _by_word(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts] if self.drops_space else [(FIRST + t.replace("\n", " " + BREAK)).split(" ") for t in texts]
-        get = self._ids_of(set().union(*words)).__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if not texts:
+            return []
+        if self.drops_space:
+            words = [t.encode().split() for t in texts]
+        else:
+            words = [(FIRST + t.encode().replace(b"\n", b" " + BREAK)).split(b" ") for t in texts]
+        lengths = np.array([len(w) for w in words])
+        flat = [x for w in words for x in w]
+        h = self.table.hashes(flat)
+        place = self.table.find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            _, one = np.unique(h[new].view("V16").ravel(), return_index=True)
+            some = new[np.sort(one)]
+            ids, counts = self._encode_words([flat[i] for i in some.tolist()])
+            before = self.table.n
+            self.table.add(h[some], ids, counts)
+            # a table that was emptied on the way has lost the words found before
+            look = new if self.table.n > before else None
+            if look is None:
+                return self.whole(texts)
+            place[new] = self.table.find(h[new])
+        start, count = self.table.at[place].astype(np.int64), self.table.count[place].astype(np.int64)
+        if not self.drops_space:  # one more id in front of a word behind a line break
+            broken = np.array([x[:1] == BREAK for x in flat])
+            return self._gather(start, count, lengths, broken)
+        return self._gather(start, count, lengths, None)
+
+    def _gather(self, start: np.ndarray, count: np.ndarray, lengths: np.ndarray, broken: np.ndarray | None) -> list[bytes]:
+        """Ids of the texts: each word's run of the table's ids, in order."""
+        extra = np.zeros(len(count), np.int64) if broken is None else broken * len(self.break_ids)
+        whole = count + extra
+        ends = np.cumsum(whole)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        begin = ends - whole + extra
+        run = np.cumsum(count) - count
+        at = np.arange(int(count.sum()))
+        out[at + np.repeat(begin - run, count)] = self.table.ids[at + np.repeat(start - run, count)]
+        if broken is not None and broken.any():
+            for k, x in enumerate(self.break_ids.tolist()):
+                out[(ends - whole)[broken] + k] = x
+        cut = np.append(0, ends)[np.append(0, np.cumsum(lengths))]
+        raw = out.astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def _is_plain(self, t: str) -> bool:
         if any(c in t for c in (ODD_ASCII if t.isascii() else ODD)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import prepare, stored
+from weft.llm.common import free_shuffles, prepare, stored
 from weft.llm.words import Anchors, Polynomial, covered, hash_words
 
 WINDOW = 35
@@ -154,5 +154,6 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = KMER) -> DataFrame
     windows = stored(windows, "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2")
     verified = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("doc", "key").agg(F.collect_set("at").alias("at"))
+    free_shuffles(docs.sparkSession)  # before the texts are shuffled again
     rows = src.join(marks, ["doc", "key"], "left").join(verified, ["doc", "key"], "left").select("doc_id", "text", "pos", "plain", "at")
     return rows.mapInArrow(lambda it: _removed(it, n, k), REMOVED).withColumn("kept_text", F.col("kept_text").cast("string"))

@@ -25,16 +25,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of the steps that are written already."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the re-read table."""
     spark = df.sparkSession
-    free_shuffles(spark)
+    # let Spark's cleaner find the shuffle files of the steps that are written already
+    gc.collect()
+    spark._jvm.System.gc()
     path = scratch_path(spark, name)  # removed when the process ends
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

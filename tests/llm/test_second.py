@@ -181,3 +181,32 @@ def test_embeddings_edges(spark):
     d = spark.createDataFrame([(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "y"), (None, [0.0, 1.0], "z")], "vec_id long, embedding array<float>, id string")
     got = Counter(tuple(r) for r in embedding_dedup.near_vectors(d).collect())
     assert got == Counter({(1, 2, 1, True): 2, (2, 2, 1, False): 1, (None, 0, None, False): 1})
+
+
+def true_links(x):
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = y @ y.T >= 0.95
+    np.fill_diagonal(s, False)
+    return s
+
+
+def near(spark, x, **options):
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    return {r["vec_id"]: r for r in embedding_dedup.near_vectors(df, **options).collect()}
+
+
+def check_whole(got, s):
+    want = brute.grouped(range(len(s)), zip(*map(np.ndarray.tolist, np.nonzero(s))))
+    assert [got[i]["n_links"] for i in range(len(s))] == s.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(s))] == [want[i] for i in range(len(s))]
+
+
+@pytest.mark.parametrize("noise", [1e-4, 0.01, 0.1])
+def test_embeddings_links_of_a_large_group_are_whole(spark, noise):
+    """More near-equal, not equal, vectors than any window: every link counts."""
+    r = np.random.default_rng(4)
+    x = np.r_[r.standard_normal(64) + noise * r.standard_normal((1500, 64)), r.standard_normal((300, 64))].astype(np.float32)
+    s = true_links(x)
+    assert s[:1500].sum() >= 0.999 * 1500 * 1499
+    check_whole(near(spark, x), s)

@@ -210,3 +210,14 @@ def test_embeddings_links_of_a_large_group_are_whole(spark, noise):
     s = true_links(x)
     assert s[:1500].sum() >= 0.999 * 1500 * 1499
     check_whole(near(spark, x), s)
+
+
+def test_embeddings_pairs_off_centre(spark):
+    """Isolated pairs among vectors with a common direction; the window is 0.4 % of the rows."""
+    r = np.random.default_rng(6)
+    x = 2 * r.standard_normal(64) + r.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.r_[x, x[:300] + r.standard_normal((300, 64)) * np.sqrt(2 / 0.95 - 2) / 8 / 1.02].astype(np.float32)
+    s = true_links(x)
+    assert s.sum() > 300
+    check_whole(near(spark, x, window=16), s)

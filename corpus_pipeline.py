@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weft.llm import host_rules, jaccard_join, line_dedup, mixing, packing
-from weft.llm.common import stored
+from weft.llm.common import numbered, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.  Rows that share
-    an id are one document (the one with the smallest text hash stays); a row without an id
-    gets one behind all others, from its text."""
-    no_id = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", no_id))
-    groups = jaccard_join.join_groups(rows.select(F.col("_id").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    nth = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("text")))
-    return rows.join(first, "_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    """Of each group of near copies the row with the smallest id stays, of rows that share it the
+    one with the smallest text hash.  Rows that share an id but hold different texts are
+    documents of their own; a row without an id comes behind all others."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    keys = numbered(keyed.select("doc_id", "_h").distinct(), "near-keys", F.col("doc_id").asc_nulls_last(), "_h")
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_key"), F.col("rank").alias("_rank"))
+    ranked = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")))
+    rows = stored(ranked.select(*docs.columns, "_rank"), "near-rows")
+    groups = jaccard_join.join_groups(rows.select(F.col("_rank").alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_rank")).distinct()
+    nth = F.row_number().over(W.partitionBy("_rank").orderBy(F.xxhash64(*docs.columns)))
+    return rows.join(first, "_rank", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

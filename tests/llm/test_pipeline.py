@@ -54,3 +54,12 @@ def test_run_and_edges(spark, docs, doubled, no_docs, tmp_path):
     near = cp.near_copies(spark, doubled, "")
     assert near.columns == doubled.columns and near.where("doc_id is null").count() == 2
     assert near.where("doc_id is not null").count() == cp.near_copies(spark, docs, "").count()
+
+
+def test_rows_that_share_an_id_are_documents(spark):
+    """Clean texts under one id stay, also when another row of the id is a near copy."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    data = [(1, text["a"]), (2, text["b"]), (2, text["a"] + " end"), (2, text["c"]), (2, text["c"]), (None, text["b"])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.near_copies(spark, docs, "").collect())
+    assert got == Counter({(1, text["a"]): 1, (2, text["b"]): 1, (2, text["c"]): 1})

@@ -208,3 +208,23 @@ def test_perfect_hash():
         a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for _ in range(2))
         h = line_dedup.PerfectHash.unpack(line_dedup.PerfectHash.build(a, b).pack())
         assert sorted(h.slots(a, b)) == list(range(n))
+
+
+def test_levels_of_many_sources_are_summed_in_parts(spark):
+    r = np.random.default_rng(8)
+    cap, weight = 2.0 * r.integers(0, 1000, 700), r.choice([5.0, 2.0, 1.0], 700)
+    order = np.argsort(cap / weight, kind="stable")
+    cap, weight = cap[order], weight[order]
+    df = spark.createDataFrame([(i, float(c / w), float(c), float(w)) for i, (c, w) in enumerate(zip(cap, weight))], "rank long, ratio double, cap double, weight double").repartition(6)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        out = mixing.levels(df, 1e5, float(weight.sum()))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(rank" not in plan and "windowspecdefinition(_p" in plan
+        got = {x["rank"]: x["level"] for x in out.collect()}
+    finally:
+        spark.conf.set(key, old)
+    want = (1e5 - np.r_[0, cap.cumsum()[:-1]]) / (weight.sum() - np.r_[0, weight.cumsum()[:-1]])
+    assert [got[i] for i in range(700)] == pytest.approx(want.tolist())

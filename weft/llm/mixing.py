@@ -25,6 +25,18 @@ WEIGHTS = (5.0, 2.0, 1.0)
 ROUNDED = "sid long, doc_id long, size long, mass double, copies long, open boolean, bucket long"
 
 
+def levels(s: DataFrame, total: float, all_w: float) -> DataFrame:
+    """``ratio, rank, level`` of ranked sources: the level if all earlier ones are capped.  The
+    running sums are taken inside range partitions, on top of the sums of the earlier ones."""
+    s = stored(s.repartitionByRange("rank").withColumn("_p", F.spark_partition_id()), "mix-parts")
+    sizes = s.groupBy("_p").agg(F.sum("cap").alias("_c"), F.sum("weight").alias("_w"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    bases = sizes.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}0") for c in ("_c", "_w")])
+    run = W.partitionBy("_p").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    cap, weight = (F.col(base) + F.coalesce(F.sum(c).over(run), F.lit(0.0)) for c, base in (("cap", "_c0"), ("weight", "_w0")))
+    return s.join(F.broadcast(bases), "_p").select("ratio", "rank", ((F.lit(total) - cap) / (F.lit(all_w) - weight)).alias("level"))
+
+
 def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``(source, source_size)`` -> plus ``sid`` (rank by code point, null last) and ``target``.
 
@@ -39,10 +51,7 @@ def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, we
     s = numbered(s.withColumn("ratio", F.col("cap") / F.col("weight")), "mix-ratios", "ratio", "sid")
     t = s.agg(F.sum("source_size").alias("t"), F.sum("weight").alias("w")).first()
     total, all_w = share * float(t["t"] or 0), float(t["w"] or 0)
-    # one running sum over the sources (not the documents): a row each
-    run = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    level = (F.lit(total) - F.coalesce(F.sum("cap").over(run), F.lit(0.0))) / (F.lit(all_w) - F.coalesce(F.sum("weight").over(run), F.lit(0.0)))
-    level = s.select("ratio", "rank", level.alias("level")).where("level <= ratio").agg(F.min_by("level", "rank").alias("l")).first()["l"]
+    level = levels(s, total, all_w).where("level <= ratio").agg(F.min_by("level", "rank").alias("l")).first()["l"]
     target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(float(level)) * F.col("weight"))
     return s.select("source", "sid", "source_size", target.cast("double").alias("target"))
 

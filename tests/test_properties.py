@@ -151,6 +151,56 @@ def test_hot_list_is_bounded_and_drops_no_hub(spark):
     assert hot_keys(df, None, ["k"], 10, 1_000).count() == 100
 
 
+@pytest.mark.parametrize("max_hot", [20, 1000])
+def test_rule_of_each_side_holds_exactly(spark, max_hot):
+    """Many large keys on the left that pass no rule push no hub of the right side off the list."""
+    from weft.operators.skew import hot_keys
+    left = spark.range(100 * 4_000).select((F.col("id") % 100).alias("k"))
+    right = spark.range(2_000).select(F.lit(777).cast("long").alias("k"))
+    got = {r["k"]: (r["_lb"], r["_rb"]) for r in hot_keys(left, right, ["k"], 1_000, max_hot).collect()}
+    assert got.pop(777) == (1, 2)
+    assert got == ({} if max_hot == 20 else {k: (4, 1) for k in range(100)})
+
+
+def test_sketch_misses_no_heavy_key(spark):
+    """Keys just above the rule among many small ones that share their cells; nulls are no key."""
+    from weft.operators.skew import hot_keys
+    heavy = spark.range(40 * 60).select((F.col("id") % 40).alias("k"))
+    small = spark.range(1_000, 60_000).select("id").union(spark.range(5_000).select(F.lit(None).cast("long")))
+    got = hot_keys(heavy.union(small).repartition(7), None, ["k"], 59, 1_100).collect()
+    assert sorted(map(tuple, got)) == [(k, 2, 1) for k in range(40)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_lookup_equals_plain_join(spark, how):
+    from weft.operators.skew import split_lookup
+    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id"))
+    rows = spark.range(10_000).select(key.alias("k"), (F.col("id") % 3).alias("z"))
+    table = spark.range(1, 10_000, 3).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    want = sorted(map(repr, rows.join(table, ["k"], how).collect()))
+    counted = table.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k", "left").na.fill(0, ["n"])
+    assert sorted(map(repr, split_lookup(rows, table, "k", how, threshold=100).collect())) == want
+    assert sorted(map(repr, split_lookup(rows, counted, "k", how, rows_of="n", threshold=100).drop("n").collect())) == want
+    assert sorted(map(repr, split_lookup(rows, table, "k", how, known=True).collect())) == want
+    assert split_lookup(rows, table.limit(0), "k", how, threshold=100).count() == (0 if how in ("inner", "left_semi") else 10_000)
+
+
+def test_lookup_of_a_hub_is_split(spark):
+    """Half the rows have one key, all of them equal: no task has more than twice the mean."""
+    from weft.operators.skew import split_lookup
+    rows = spark.range(80_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("id")).alias("k"))
+    table = rows.distinct().withColumn("w", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = split_lookup(rows, table, "k", threshold=500)
+        per = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(per) == 80_000 and max(per) <= 2 * sum(per) / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_call_graph_labels_equal_those_of_the_pairs(spark):
     """Self-calls, several phones an application, phones without calls."""
     import random

@@ -1,16 +1,25 @@
-"""Skew-safe equi-joins.
+"""Skew-safe equi-joins and lookups.
 
 A single key (a shared device, a hub phone) may hold a large share of all rows, on either
-side.  A plain shuffle join sends every row of that key to one task.  ``salted_join`` counts
-the keys of both sides and lays the rows of a hot key out on a grid: its left rows are split
-over ``lb`` buckets, its right rows over ``rb``, each left row goes to all ``rb`` cells of its
-bucket and each right row to all ``lb`` cells of its own.  Every pair of rows meets in exactly
-one cell, so the result multiset is that of the plain join, and no task holds more than
-``threshold`` rows of a key from either side.  Cold keys have one cell.
-
-The hot-key list is the only broadcast.  A key is hot when it holds more than ``threshold``
-rows and more than ``total rows / max_hot``; fewer than ``max_hot`` keys can, whatever the
-data, so the list is bounded without leaving any such key out.
+side.  A plain shuffle join sends every row of that key to one task.
+
+* ``salted_join`` lays the rows of a hot key out on a grid: its left rows are split over ``lb``
+  buckets, its right rows over ``rb``, each left row goes to all ``rb`` cells of its bucket and
+  each right row to all ``lb`` cells of its own.  Every pair of rows meets in exactly one cell,
+  so the result multiset is that of the plain join.  Cold keys have one cell.
+* ``split_lookup`` joins rows with a table that has one row per key: the rows of a hot key are
+  split over buckets and the table's one row is copied to each.  It does not rest on the
+  optimizer's skew join, which cannot split a side that is aggregated by the join's own key.
+
+A key is hot when one side holds more than ``threshold`` of its rows and more than that side's
+rows / ``max_hot``.  Fewer than ``max_hot`` keys a side can, whatever the data, so the list is
+bounded without leaving any such key out; it is the only thing broadcast.  A hot key's bucket
+has ``threshold`` rows at about; a key that is not hot has at most max(threshold, rows / max_hot).
+
+Hot keys are found by a mergeable count sketch per side: the rows are counted per hash cell of
+the key, in a number of cells that is fixed by ``max_hot``, so what is shuffled does not grow with
+the keys.  A hot key's cell is at least as full as the key, so none is missed; the few cells that
+are full enough are then counted by key, exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +31,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_THRESHOLD = 200_000   # rows of one key on one side handled by one task
 DEFAULT_MAX_HOT = 10_000      # bound on the broadcast hot-key list
+CELLS = 8                     # cells of the sketch per key that can be hot
 
 
 def _conf_int(spark: SparkSession, name: str, default: int) -> int:
@@ -37,29 +47,39 @@ def skew_settings(spark: SparkSession) -> tuple[int, int]:
 def hot_keys(left: DataFrame, right: DataFrame | None, keys: list[str], threshold: int, max_hot: int) -> DataFrame | None:
     """``keys, _lb, _rb``: the hot keys of both sides with their bucket counts, or None.
 
-    One job: the rows are counted per key with a map-side partial step, the total is
-    observed on the way, and the largest ``2 * max_hot`` counts come back, more than can
-    pass the rule."""
+    One job counts both sides per cell and in total; only if a cell is full enough, a second
+    one counts the keys of the full cells, so both sides' rules hold exactly."""
     spark = left.sparkSession
-    one, none = F.lit(1).alias("_l"), F.lit(0).alias("_r")
-    rows = left.select(*keys, one, none)
+    some = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    cell = F.pmod(F.xxhash64(*keys), F.lit(CELLS * max_hot)).alias("_c")
+    one, zero = F.lit(1), F.lit(0)
+    cells = left.filter(some).select(cell, one.alias("_l"), zero.alias("_r"))
     if right is not None:
-        rows = rows.unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    counts = rows.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).filter(
-        " AND ".join(f"{k} IS NOT NULL" for k in keys))
+        cells = cells.unionByName(right.filter(some).select(cell, zero.alias("_l"), one.alias("_r")))
     seen = Observation()
-    counts = counts.observe(seen, F.sum("_l").alias("l"), F.sum("_r").alias("r"))
-    top = counts.filter((F.col("_l") > threshold) | (F.col("_r") > threshold)) \
-        .orderBy(F.greatest("_l", "_r").desc()).limit(2 * max_hot)
-    found = top.collect()
-    if not found:
+    cells = cells.groupBy("_c").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).observe(seen, F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    full = cells.filter((F.col("_l") > threshold) | (F.col("_r") > threshold)).collect()  # CELLS * max_hot rows at most
+    if not full:
         return None
-    least_l, least_r = (max(threshold, -(-(seen.get[s] or 0) // max_hot)) for s in "lr")
-    rows = [(*r[:-2], -(-r["_l"] // least_l) if r["_l"] > least_l else 1, -(-r["_r"] // least_r) if r["_r"] > least_r else 1) for r in found]
-    rows = [r for r in rows if r[-1] > 1 or r[-2] > 1]
+    least = [max(threshold, -(-(seen.get[s] or 0) // max_hot)) for s in "lr"]
+    full = [(r["_c"],) for r in full if r["_l"] > least[0] or r["_r"] > least[1]]
+    if not full:
+        return None
+    pick = F.broadcast(spark.createDataFrame(full, "_c long"))  # fewer than 2 * max_hot
+    rows = left.select(*keys, one.alias("_l"), zero.alias("_r"))
+    if right is not None:
+        rows = rows.unionByName(right.select(*keys, zero.alias("_l"), one.alias("_r")))
+    counts = rows.filter(some).withColumn("_c", cell).join(pick, "_c", "left_semi") \
+        .groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    found = counts.filter((F.col("_l") > least[0]) | (F.col("_r") > least[1])).collect()
+    buckets = [(*r[:-2], -(-r["_l"] // threshold) if r["_l"] > least[0] else 1, -(-r["_r"] // threshold) if r["_r"] > least[1] else 1) for r in found]
+    return _list(spark, left, keys, buckets)
+
+
+def _list(spark: SparkSession, like: DataFrame, keys: list[str], rows: list[tuple]) -> DataFrame | None:
     if not rows:
         return None
-    schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys) + ", _lb long, _rb long"
+    schema = ", ".join(f"{k} {like.schema[k].dataType.simpleString()}" for k in keys) + ", _lb long, _rb long"
     return spark.createDataFrame(rows, schema)
 
 
@@ -106,3 +126,45 @@ def _on_grid(df: DataFrame, hot: DataFrame, keys: list[str], own: str, other: st
             .withColumn(bucket, F.pmod(row_hash, F.coalesce(own, F.lit(1))))
             .withColumn(cell, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1)))
             .drop(own, other))
+
+
+def hot_rows(table: DataFrame, keys: list[str], rows_of: str, threshold: int, max_hot: int) -> DataFrame | None:
+    """The hot keys of a table that says per key how many rows will look it up."""
+    total = table.agg(F.sum(rows_of)).first()[0] or 0
+    least = max(threshold, -(-total // max_hot))
+    if total <= threshold:
+        return None
+    found = table.filter(F.col(rows_of) > least).select(*keys, rows_of).collect()  # fewer than max_hot
+    return _list(table.sparkSession, table, keys, [(*r[:-1], -(-r[-1] // threshold), 1) for r in found])
+
+
+def split_lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", rows_of: str | None = None,
+                 hot: DataFrame | None = None, known: bool = False, threshold: int | None = None, max_hot: int | None = None) -> DataFrame:
+    """Join ``rows`` with ``table``, which has one row per key (``how``: inner, left, left_semi or
+    left_anti; a null key matches nothing).  The rows of a hot key are split over tasks.
+
+    Hot keys come from the column ``rows_of`` of the table (how many rows have the key), from
+    ``hot`` (``keys, _lb``, or None with ``known``: there is none), or from a pass over ``rows``.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    t, h = skew_settings(rows.sparkSession)
+    t, h = threshold or t, max_hot or h
+    if hot is None and not known:
+        hot = hot_rows(table, keys, rows_of, t, h) if rows_of else hot_keys(rows, None, keys, t, h)
+    null = F.expr(" OR ".join(f"{k} IS NULL" for k in keys))
+    # the partition's number is part of the hash: equal rows spread too, and a task that runs
+    # again gives each of its rows the same bucket
+    spread = F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id())
+    nullable = how in ("left", "left_anti") and any(rows.schema[k].nullable for k in keys)
+    if hot is None and not nullable:
+        return rows.join(table, keys, how)
+    if hot is None:
+        left, right = rows.withColumn("_lb", F.lit(1).cast("long")), table.withColumn("_i", F.lit(0).cast("long"))
+    else:
+        hot = F.broadcast(hot.select(*keys, "_lb"))  # fewer than max_hot rows
+        left, right = rows.join(hot, keys, "left"), table.join(hot, keys, "left")
+        right = right.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_lb", F.lit(1).cast("long")) - 1))).drop("_lb")
+    # rows without a key match nothing: they are dealt out as well
+    buckets = F.when(null, F.lit(1 << 20).cast("long")).otherwise(F.coalesce("_lb", F.lit(1).cast("long")))
+    left = left.withColumn("_i", F.when(null | (F.col("_lb") > 1), F.pmod(spread, buckets)).otherwise(F.lit(0).cast("long"))).drop("_lb")
+    return left.join(right, [*keys, "_i"], how).drop("_i")

@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     return c
 
@@ -25,4 +25,4 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_numbered_queries_are_all_there():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline") == list(range(1, 14)) and "pipeline" in QUERIES

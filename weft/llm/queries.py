@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import credentials, embedding_dedup, host_rules, jaccard_join, langid, line_dedup, mixing, packing, substring_dedup, token_files
+from weft.llm import credentials, embedding_dedup, host_rules, jaccard_join, langid, line_dedup, merkle, mixing, packing, substring_dedup, token_files, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,6 +78,22 @@ def op6_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query
+def op11_conversation_trie(spark, sf_dir):
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return merkle.fold(merkle.manifest(docs, merkle.tampered(docs)))
+
+
+@query
+def op13_warc_pages(spark, sf_dir):
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("digest_ok")
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

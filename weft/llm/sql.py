@@ -115,7 +115,74 @@ kept AS (SELECT rid, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM
 SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.rid = kept.rid"""
 
+# crc32 of a decimal number's digits: the table by its rule, then a fold over the bytes
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc32(number: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({number}::VARCHAR) + 1), lambda i: ord(substr({number}::VARCHAR, i::INT, 1))::BIGINT)),
+  lambda c, b: xor(c >> 8, tab[(1 + (xor(c, b) & 255))::INT])), 4294967295::BIGINT)"""
+
+
+OP11 = rf"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, len({WORDS})::BIGINT AS w,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS c, conv_id - ((conv_id % 20) + 20) % 20 AS b, {crc32('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+both_parts AS (SELECT c, 0 AS part, k, x, w FROM c JOIN t ON t.conv_id = b AND k <= h UNION ALL SELECT c, 1, k, x, w FROM c JOIN t ON t.conv_id = c AND k > h),
+rebuilt AS (SELECT c, w, row_number() OVER o AS d, string_agg(x, '') OVER o AS p FROM both_parts WINDOW o AS (PARTITION BY c ORDER BY part, k)),
+m AS (SELECT c, d, p, w FROM rebuilt UNION ALL SELECT c, 0, '', 0 FROM c),
+node AS (SELECT d, p, min(c) AS r, count(*) AS n, min(w) AS w FROM m GROUP BY d, p),
+of AS (SELECT m.c, m.d, node.r FROM m JOIN node ON m.d = node.d AND m.p = node.p),
+up AS (SELECT node.d, node.r, n, w, of.r AS parent FROM node LEFT JOIN of ON of.c = node.r AND of.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS r, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL),
+own AS (SELECT up.*, coalesce(k, 0) AS k FROM up LEFT JOIN kids ON up.d = kids.d AND up.r = kids.r),
+sub AS (SELECT of.d, of.r, sum(CASE WHEN own.k = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((own.n - 1) * own.w)::BIGINT AS saved
+  FROM own JOIN of ON of.c = own.r AND of.d <= own.d GROUP BY of.d, of.r),
+long AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+ends AS (SELECT of.d, of.r, string_agg(of.c::VARCHAR, ',' ORDER BY of.c) AS ids FROM of JOIN long ON of.c = long.c AND of.d = long.d GROUP BY of.d, of.r)
+SELECT own.r::BIGINT AS conv_id, own.d::BIGINT AS depth, own.parent::BIGINT AS parent_conv_id, own.n::BIGINT AS n_convs, own.k::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sub ON own.d = sub.d AND own.r = sub.r LEFT JOIN ends ON own.d = ends.d AND own.r = ends.r"""
+
+
+def _leaf(text: str) -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+    return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid, {_leaf('text')} AS leaf,
+  {_leaf(f"CASE WHEN {crc32('doc_id')} % 5 = 0 THEN {LOWER.format('text')} ELSE text END")} AS other FROM documents, crc),
+e AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+node(sid, level, idx, h) AS (SELECT sid, 0::BIGINT, idx, leaf FROM e UNION ALL
+  SELECT sid, level + 1, p, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, idx // 16 AS p, count(*) OVER (PARTITION BY sid) AS c FROM node) WHERE c > 1 GROUP BY sid, level, p),
+tall AS (SELECT sid, max(level) AS top, max_by(h, level) AS subroot FROM node GROUP BY sid),
+upper_node(level, idx, h) AS (SELECT 0::BIGINT, sid, subroot FROM tall UNION ALL
+  SELECT level + 1, p, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, idx // 16 AS p, count(*) OVER () AS c FROM upper_node) WHERE c > 1 GROUP BY level, p),
+peak AS (SELECT max(level) AS top, max_by(h, level) AS root FROM upper_node),
+f1(rid, sid, level, idx, h) AS (SELECT rid, sid, 0::BIGINT, idx, other FROM e UNION ALL
+  SELECT f1.rid, f1.sid, f1.level + 1, f1.idx // 16, sha256(string_agg(CASE WHEN n.idx = f1.idx THEN f1.h ELSE n.h END, '' ORDER BY n.idx))
+  FROM f1 JOIN tall ON tall.sid = f1.sid AND f1.level < tall.top JOIN node n ON n.sid = f1.sid AND n.level = f1.level AND n.idx // 16 = f1.idx // 16 GROUP BY f1.rid, f1.sid, f1.level, f1.idx),
+f2(rid, level, idx, h) AS (SELECT rid, 0::BIGINT, f1.sid, h FROM f1 JOIN tall ON tall.sid = f1.sid AND f1.level = tall.top UNION ALL
+  SELECT f2.rid, f2.level + 1, f2.idx // 16, sha256(string_agg(CASE WHEN n.idx = f2.idx THEN f2.h ELSE n.h END, '' ORDER BY n.idx))
+  FROM f2 JOIN peak ON f2.level < peak.top JOIN upper_node n ON n.level = f2.level AND n.idx // 16 = f2.idx // 16 GROUP BY f2.rid, f2.level, f2.idx),
+sib AS (SELECT rid, 0 AS part, f1.level, n.idx, n.h FROM f1 JOIN node n ON n.sid = f1.sid AND n.level = f1.level AND n.idx // 16 = f1.idx // 16 AND n.idx <> f1.idx
+  UNION ALL SELECT rid, 1, f2.level, n.idx, n.h FROM f2 JOIN upper_node n ON n.level = f2.level AND n.idx // 16 = f2.idx // 16 AND n.idx <> f2.idx),
+proof AS (SELECT rid, string_agg(h, '' ORDER BY part, level, idx) AS p FROM sib GROUP BY rid)
+SELECT e.doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f2.h AS folded_root, f2.h = root AS verified
+FROM e JOIN tall ON e.sid = tall.sid JOIN peak ON true JOIN f2 ON f2.rid = e.rid AND f2.level = peak.top LEFT JOIN proof ON proof.rid = e.rid"""
+
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT *, sha1(t) AS h, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST) AS k, first(page_id) OVER (PARTITION BY t ORDER BY page_id NULLS LAST) AS f FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to FROM d"""
+
 SQL: dict[str, str] = {
     "op2_host_rules": OP2, "op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op6_embedding_dedup": OP6,
-    "op8_credential_links": OP8, "op10_line_dedup": OP10,
+    "op8_credential_links": OP8, "op10_line_dedup": OP10, "op11_conversation_trie": OP11, "op12_merkle_manifest": OP12, "op13_warc_pages": OP13,
 }

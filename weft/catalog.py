@@ -21,7 +21,8 @@ from weft.plans import community as com
 from weft.plans import metrics as met
 from weft.plans.iterate import aggregate_messages, pregel
 from weft.session import scratch_path
-from weft.sinks import read_membership, read_ranked, read_sizes, write_membership, write_ranked, write_sizes
+from weft.sinks import (read_community, read_membership, read_ranked, read_sizes, write_membership, write_membership_by_community,
+                        write_ranked, write_sizes)
 from weft.sources.edgelist import edge_list_graph, parse_edge_list, read_lines, render_edge_list, text_lines
 from weft.sources.tables import FAMILY_CODE, FAMILY_OF, PropertyGraphSource, render_key, source
 
@@ -211,6 +212,18 @@ def edge_list_file(spark, d):
     return edge_list_graph(spark, path).edges
 
 
+FAR_PAGE = 30
+
+
+@register("paged_nodes_deep", Q.with_base(body=f"""
+SELECT id, CAST((rn - 1) // {PAGE_SIZE} AS INTEGER) AS page FROM (
+  SELECT app AS id, row_number() OVER (ORDER BY app) AS rn FROM applications) r
+WHERE rn > {FAR_PAGE * PAGE_SIZE} AND rn <= {(FAR_PAGE + PAGES) * PAGE_SIZE}"""))
+def paged_nodes_deep(spark, d):
+    ids = S(spark, d).applications().select(F.col("app").alias("id"))
+    return rel.pages(ids, ["id"], PAGES, PAGE_SIZE, first=FAR_PAGE)
+
+
 # ---------------------------------------------------------------------------------------
 # sinks K1-K3
 
@@ -223,6 +236,16 @@ def sink_roundtrip(spark, d):
     return read_membership(spark, path)
 
 
+@register("sink_community", Q.with_base(*Q.link_graph("link_device"), *Q.lpa_ctes(25), body="""
+SELECT label AS community, id AS member FROM labels WHERE label = (SELECT min(label) FROM labels)""", recursive=True))
+def sink_community(spark, d):
+    """The community of the smallest label, read from its folder alone."""
+    members = com.members(alg.label_propagation(link_graph(S(spark, d), "link_device"), 25))
+    path = scratch_path(spark, "by-community")
+    write_membership_by_community(members, path)
+    return read_community(spark, path, members.agg(F.min("community")).first()[0])
+
+
 @register("sink_sizes", Q.with_base(*Q.link_graph("link_device"), *Q.lpa_ctes(25),
                                     body="SELECT label AS community, count(*) AS size FROM labels GROUP BY label", recursive=True))
 def sink_sizes(spark, d):

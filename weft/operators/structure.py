@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.columns import scala_string, scala_tuple
 from weft.model import Graph, both_ends
-from weft.plans.iterate import triplets  # noqa: F401  (re-exported: T5)
+from weft.operators.skew import split_lookup
+from weft.plans.iterate import cut_lineage, triplets  # noqa: F401  (triplets re-exported: T5)
 
 
 def counts(graph: Graph) -> DataFrame:
@@ -81,10 +82,10 @@ def reverse(graph: Graph) -> Graph:
 def mask(graph: Graph, other: Graph) -> Graph:
     """Restrict ``graph`` to the vertices and edges that are also in ``other``, keeping
     ``graph``'s attributes (T15).  Edges match on (src, dst)."""
-    v = graph.vertices.join(other.vertices.select("id"), "id", "left_semi")
-    e = graph.edges.join(other.edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
-    e = (e.join(v.select(F.col("id").alias("src")), "src", "left_semi")
-         .join(v.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    v = cut_lineage(graph.vertices.join(other.vertices.select("id"), "id", "left_semi"))
+    e = cut_lineage(graph.edges.join(cut_lineage(other.edges.select("src", "dst").distinct()), ["src", "dst"], "left_semi"))
+    for end in ("src", "dst"):  # a hub's edges are split over tasks
+        e = split_lookup(e, v.select(F.col("id").alias(end)), end, "left_semi")
     return Graph(v, e.select(*graph.edges.columns))
 
 

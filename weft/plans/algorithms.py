@@ -9,20 +9,22 @@
 * ``triangle_count`` — triangles through each vertex of the simple undirected graph,
   counted once per triangle by orienting edges from lower to higher (degree, id)
   (Suri & Vassilvitskii, "Counting Triangles and the Curse of the Last Reducer",
-  WWW 2011): a vertex's out-degree is at most sqrt(2m), so no task has to pair up the
-  neighbours of a hub.
+  WWW 2011): a vertex's out-degree is at most sqrt(2m).  Sorted neighbour arrays are met
+  per edge on a grid of vertex groups, so no pairs of neighbours are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.model import Graph
-from weft.operators.skew import salted_join
-from weft.plans.iterate import DEFAULT_CHECKPOINT_EVERY, Adjacency, cut_lineage, materialise
+from weft.functions import triangles
+from weft.operators.skew import hot_keys, skew_settings, split_lookup
+from weft.plans.iterate import DEFAULT_CHECKPOINT_EVERY, Adjacency, Hop, cut_lineage, cut_observed, materialise
 
 
 # ---------------------------------------------------------------------------------------
@@ -68,13 +70,15 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
 def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
     """The supersteps: ``votes_of(labels)`` gives ``(id, label, votes)`` rows for every id.
 
-    A step whose result is written also carries each vertex's last label (as a row without
-    votes, which never wins), so the fixpoint test reads the written rows alone."""
+    Every step's labels are written: they are small beside the votes, a lost executor costs one
+    step, and all steps have one plan, whose generated code is compiled once.  Every
+    ``checkpoint_every`` steps the rows written also carry each vertex's last label (as a row
+    without votes, which never wins), so the fixpoint test reads them alone."""
     labels = ids.select("id", F.col("id").alias("label"))
     for step in range(1, max_steps + 1):
         votes = votes_of(labels)
-        if step % checkpoint_every and step < max_steps:
-            labels = best_label(votes.groupBy("id", "label").agg(F.sum("votes").alias("votes")))
+        if step % checkpoint_every or step == max_steps:
+            labels = cut_lineage(best_label(votes.groupBy("id", "label").agg(F.sum("votes").alias("votes"))))
             continue
         none = F.lit(None).cast("bigint").alias("last")
         rows = votes.select("id", "label", F.col("votes").cast("bigint").alias("votes"), none).union(
@@ -82,7 +86,7 @@ def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int =
         summed = rows.groupBy("id", "label").agg(F.sum("votes").alias("votes"), F.max("last").alias("last"))
         done = cut_lineage(best_label(summed, keep=("last",)))
         labels = done.select("id", "label")
-        if step < max_steps and done.filter("label <> last").isEmpty():
+        if done.filter("label <> last").isEmpty():
             break
     return labels
 
@@ -95,7 +99,8 @@ def call_graph_labels(phones: DataFrame, calls: DataFrame, max_steps: int,
     both orientations (a phone's call to itself once).  The graph's edges are the owners of a
     times the owners of b for every call; votes factor along that path instead: labels are
     counted per phone, the counts move over the calls and are added up by the owners.  The
-    pairs are symmetric, so counting both directions would just double every vote.  An
+    pairs are symmetric, so counting both directions would just double every vote.  The three
+    hops stay partitioned by their keys and split hub phones; a round reads the labels once.  An
     application that reaches itself through one ownership used twice (a phone calling
     itself) is no edge: that vote is taken back.
     """
@@ -103,22 +108,33 @@ def call_graph_labels(phones: DataFrame, calls: DataFrame, max_steps: int,
         raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
     calls = cut_lineage(calls.select("a1", "a2", "b1", "b2"))
     loop = calls.filter("a1 = b1 AND a2 = b2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-    loops = cut_lineage(phones.join(loop, ["k1", "k2"], "left_semi").groupBy(F.col("app").alias("id")).agg(F.count("*").alias("own")))
-    # a phone that only calls itself and has one owner makes no edge
-    owners = phones.groupBy("k1", "k2").agg(F.count("*").alias("owners"))
-    heard = calls.join(owners.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "owners"), ["a1", "a2"]) \
-        .filter("NOT (a1 = b1 AND a2 = b2) OR owners > 1").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
-    ids = cut_lineage(phones.join(heard, ["k1", "k2"], "left_semi").select(F.col("app").alias("id")).distinct())
+    loops = None if loop.isEmpty() else cut_lineage(
+        phones.join(loop, ["k1", "k2"], "left_semi").groupBy(F.col("app").alias("id")).agg(F.count("*").alias("own")))
+    heard = calls.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+    if loops is not None:  # a phone that only calls itself and has one owner makes no edge
+        owners = cut_lineage(phones.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count("*").alias("owners")))
+        heard = calls.join(owners, ["a1", "a2"]).filter("NOT (a1 = b1 AND a2 = b2) OR owners > 1").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+    # phones without a call move nothing
+    phones = cut_lineage(split_lookup(phones, heard.distinct(), ["k1", "k2"], "left_semi").select("app", "k1", "k2"))
+    owned = Hop(phones, ["app"])
+    near = Hop(calls, ["a1", "a2"], phones.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
+    far = Hop(phones, ["k1", "k2"], heard)
 
     def votes_of(labels: DataFrame) -> DataFrame:
-        per_phone = phones.join(labels, phones["app"] == labels["id"]).groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "label") \
-            .agg(F.count("*").alias("n"))
-        moved = calls.join(per_phone, ["a1", "a2"]).groupBy(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "label").agg(F.sum("n").alias("n"))
-        votes = phones.join(moved, ["k1", "k2"]).select(F.col("app").alias("id"), "label", F.col("n").alias("votes"))
-        back = labels.join(loops, "id").select("id", "label", F.negative("own").alias("votes"))
-        return votes.union(back).groupBy("id", "label").agg(F.sum("votes").alias("votes")).filter("votes > 0")
+        out = owned.meet(labels.withColumnRenamed("id", "app")).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "label")
+        out = near.meet(near.summed(out, "label")).select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "label", "n")
+        out = far.meet(far.summed(out, "label", "n")).select("app", "label", F.col("n").alias("votes"))
+        if loops is not None:
+            back = labels.join(loops, "id").select(F.col("id").alias("app"), "label", F.negative("own").alias("votes"))
+            out = out.unionByName(back)
+        return owned.summed(out, "label", "votes").filter("votes > 0").withColumnRenamed("app", "id")
 
-    return propagate(ids, votes_of, max_steps, checkpoint_every)
+    try:
+        ids = owned.static.select(F.col("app").alias("id")).distinct()
+        return propagate(ids, votes_of, max_steps, checkpoint_every)
+    finally:
+        for hop in (owned, near, far):
+            hop.release()
 
 
 # ---------------------------------------------------------------------------------------
@@ -135,28 +151,44 @@ def _both(e: DataFrame) -> DataFrame:
                                      F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _star_hubs(e: DataFrame, rows: int) -> DataFrame | None:
+    """The nodes with so many edges that their star is split over tasks.  After a large-star a
+    node has no more smaller neighbours than before, so the list serves both stars of a round."""
+    threshold, max_hot = skew_settings(e.sparkSession)
+    if 2 * rows <= threshold:
+        return None
+    return hot_keys(e.select(F.explode(F.array("lo", "hi")).alias("u")), None, ["u"], threshold, max_hot)
+
+
+def _large_star_rows(e: DataFrame, hubs: DataFrame | None) -> DataFrame:
     n = _both(e)
     m = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (n.filter(F.col("v") > F.col("u")).join(m, "u")
-            .select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct())
+    return split_lookup(n.filter(F.col("v") > F.col("u")), m, "u", hot=hubs, known=True)
+
 
+def _large_star(e: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    return _large_star_rows(e, hubs).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
 
-def _small_star(e: DataFrame) -> DataFrame:
+
+def _small_star(e: DataFrame, hubs: DataFrame | None) -> DataFrame:
     n = _both(e).filter(F.col("v") < F.col("u"))
     m = n.groupBy("u").agg(F.min("v").alias("m"))
-    to_min = n.join(m, "u").filter(F.col("v") != F.col("m")).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+    to_min = split_lookup(n, m, "u", hot=hubs, known=True).filter(F.col("v") != F.col("m")).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
     own = m.select(F.col("m").alias("lo"), F.col("u").alias("hi"))
     return to_min.union(own).distinct()
 
 
 def connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
-    """``(id, component)``: component = smallest vertex id reachable ignoring direction."""
+    """``(id, component)``: component = smallest vertex id reachable ignoring direction.
+
+    A star's centre may own most edges: its edges are split over tasks and its one row of the
+    minima is copied to them."""
     ids, edges = materialise(graph)
     e = cut_lineage(_canonical(edges))
     seen = _signature(e)
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
+        hubs = _star_hubs(e, seen[0])
+        e = cut_lineage(_small_star(_large_star(e, hubs), hubs))
         now = _signature(e)
         if now == seen:
             break
@@ -201,8 +233,7 @@ def _normalise(ranks: DataFrame) -> DataFrame:
     return ranks.select("id", (F.col("rank") * F.lit(float(row["n"]) / row["s"])).alias("rank"))
 
 
-def pagerank(graph: Graph, num_iter: int, reset: float = 0.15,
-             checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
+def pagerank(graph: Graph, num_iter: int, reset: float = 0.15) -> DataFrame:
     """Static PageRank, ``num_iter`` rounds (A7): start 1.0;
     rank' = reset + (1 - reset) * sum over in-edges of rank(src) / outdeg(src);
     finally rescaled so the ranks sum to the number of vertices."""
@@ -212,56 +243,41 @@ def pagerank(graph: Graph, num_iter: int, reset: float = 0.15,
     try:
         ranks = verts.select("id", F.lit(1.0).alias("rank"), "deg")
         zero = verts.select("id", F.lit(0.0).alias("c"), "deg")
-        for i in range(1, num_iter + 1):
+        for _ in range(num_iter):
             got = _shares(adj, ranks, "rank").withColumn("deg", F.lit(None).cast("bigint"))
-            ranks = got.union(zero).groupBy("id").agg((F.lit(reset) + F.lit(1.0 - reset) * F.sum("c")).alias("rank"), F.max("deg").alias("deg"))
-            if i % checkpoint_every == 0 or i == num_iter:
-                ranks = cut_lineage(ranks)
+            ranks = cut_lineage(got.union(zero).groupBy("id").agg((F.lit(reset) + F.lit(1.0 - reset) * F.sum("c")).alias("rank"), F.max("deg").alias("deg")))
         return _normalise(ranks)
     finally:
         adj.release()
 
 
-def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int | None = None,
-                   checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
+def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int | None = None) -> DataFrame:
     """Delta PageRank until every change is at most ``tol`` (A6), GraphX's Pregel form:
     each vertex starts with rank = delta = reset; a vertex whose last delta exceeds
     ``tol`` and that received something in the previous round sends delta * w along its
     out-edges; receivers add (1 - reset) * sum to their rank.  Rescaled to sum N.
-    Deltas shrink by (1 - reset) a round, so it ends; a ``max_iter`` that is hit raises."""
+    Deltas shrink by (1 - reset) a round, so it ends; a ``max_iter`` that is hit raises.
+
+    A round is one job: its write also counts the vertices that will send in the next one."""
     verts, edges = materialise(graph)
     verts = _with_out_degree(verts, edges)
     adj = Adjacency(edges, "in", multiplicity="count")
+    sends = F.col("active") & (F.col("delta") > F.lit(tol))
     try:
         state = verts.select("id", "deg", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"),
                              F.lit(True).alias("active"))
-        cached = None
         for i in count(1):
             if max_iter is not None and i > max_iter:
                 raise RuntimeError(f"PageRank did not reach the tolerance in {max_iter} rounds")
-            senders = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
-            msgs = _shares(adj, senders, "delta").groupBy("id").agg(F.sum("c").alias("m"))
-            state = (state.join(msgs, "id", "left")
-                     .select("id", "deg",
-                             (F.col("rank") + F.coalesce(F.lit(1.0 - reset) * F.col("m"), F.lit(0.0))).alias("rank"),
-                             F.when(F.col("m").isNull(), F.col("delta"))
-                             .otherwise(F.lit(1.0 - reset) * F.col("m")).alias("delta"),
-                             F.col("m").isNotNull().alias("active")))
-            if i % checkpoint_every == 0:
-                state = cut_lineage(state)
-            else:
-                state = state.persist()
-            # the convergence test materialises this round; the previous cache is then free
-            done = state.filter(F.col("active") & (F.col("delta") > F.lit(tol))).limit(1).count() == 0
-            if cached is not None:
-                cached.unpersist()
-            cached = state if state.storageLevel.useMemory or state.storageLevel.useDisk else None
-            if done:
-                break
-        out = _normalise(cut_lineage(state.select("id", "rank")))
-        if cached is not None:
-            cached.unpersist()
-        return out
+            msgs = _shares(adj, state.filter(sends), "delta").groupBy("id").agg(F.sum("c").alias("m"))
+            state, seen = cut_observed(
+                state.join(msgs, "id", "left")
+                .select("id", "deg",
+                        (F.col("rank") + F.coalesce(F.lit(1.0 - reset) * F.col("m"), F.lit(0.0))).alias("rank"),
+                        F.when(F.col("m").isNull(), F.col("delta")).otherwise(F.lit(1.0 - reset) * F.col("m")).alias("delta"),
+                        F.col("m").isNotNull().alias("active")), senders=F.count_if(sends))
+            if not seen["senders"]:
+                return _normalise(state.select("id", "rank"))
     finally:
         adj.release()
 
@@ -269,30 +285,45 @@ def pagerank_until(graph: Graph, tol: float, reset: float = 0.15, max_iter: int
 # ---------------------------------------------------------------------------------------
 # triangles
 
+#: neighbour entries that one task holds at about, on each side
+CELL_ENTRIES = 4_000_000
+
+
+def oriented(e: DataFrame, rows: int) -> DataFrame:
+    """Each canonical edge as ``(x, y)`` from the lower to the higher (degree, id): no vertex has
+    more than sqrt(2m) edges out.  Hubs' edges are split over tasks when degrees are looked up."""
+    deg = cut_lineage(e.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    threshold, max_hot = skew_settings(e.sparkSession)
+    hubs = None
+    if rows > threshold:
+        least = max(threshold, -(-rows // max_hot))  # fewer than 2 * max_hot vertices have more edges
+        found = deg.filter(F.col("d") > least).collect()
+        hubs = e.sparkSession.createDataFrame([(r["id"], -(-r["d"] // threshold)) for r in found], "id long, _lb long") if found else None
+
+    def degree_of(rows: DataFrame, end: str, name: str) -> DataFrame:
+        return split_lookup(rows, deg.select(F.col("id").alias(end), F.col("d").alias(name)), end, hot=None if hubs is None else hubs.withColumnRenamed("id", end), known=True)
+
+    ranked = degree_of(degree_of(e, "lo", "dl"), "hi", "dh")
+    lo_first = (F.col("dl") < F.col("dh")) | ((F.col("dl") == F.col("dh")) & (F.col("lo") < F.col("hi")))
+    return ranked.select(F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("x"), F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("y"))
+
+
 def triangle_count(graph: Graph) -> DataFrame:
     """``(id, triangles)`` for every vertex: triangles through it in the graph with
-    self-loops, parallel edges and directions removed; 0 for the others."""
+    self-loops, parallel edges and directions removed; 0 for the others.
+
+    The out-neighbours of a vertex are one sorted array.  Vertices are hashed to ``side``
+    groups; cell (i, j) of a grid gets the arrays of group i and of group j and meets them for
+    every edge from i to j.  An array goes to ``2 * side`` cells, so the shuffle grows with the
+    edges, not with the pairs of neighbours, and a cell holds a bounded part of the graph."""
     ids, edges = materialise(graph)
     e = cut_lineage(_canonical(edges))
-    deg = (e.select(F.explode(F.array("lo", "hi")).alias("id"))
-           .groupBy("id").agg(F.count(F.lit(1)).alias("d")))
-    lo_d = deg.select(F.col("id").alias("lo"), F.col("d").alias("dl"))
-    hi_d = deg.select(F.col("id").alias("hi"), F.col("d").alias("dh"))
-    ranked = e.join(lo_d, "lo").join(hi_d, "hi")
-    lo_first = (F.col("dl") < F.col("dh")) | ((F.col("dl") == F.col("dh")) & (F.col("lo") < F.col("hi")))
-    # oriented edge x -> y from the lower to the higher (degree, id)
-    o = cut_lineage(ranked.select(F.when(lo_first, F.col("lo")).otherwise(F.col("hi")).alias("x"),
-                                  F.when(lo_first, F.col("hi")).otherwise(F.col("lo")).alias("y")))
-    wedges = salted_join(o.withColumnRenamed("y", "y1"), o.withColumnRenamed("y", "y2"), "x",
-                         condition=lambda L, R: L("y1") < R("y2"))
-    closed = _close(wedges, e)
-    corners = closed.select(F.explode(F.array("x", "y1", "y2")).alias("id"))
-    counts = corners.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return (ids.join(counts, "id", "left")
-            .select("id", F.coalesce(F.col("triangles"), F.lit(0).cast("bigint")).alias("triangles")))
-
-
-def _close(wedges: DataFrame, e: DataFrame) -> DataFrame:
-    """Wedges (x, y1, y2) whose end points are adjacent: equi-join on the canonical pair."""
-    w = wedges.select("x", "y1", "y2", F.least("y1", "y2").alias("lo"), F.greatest("y1", "y2").alias("hi"))
-    return w.join(e, ["lo", "hi"], "left_semi").select("x", "y1", "y2")
+    m = e.count()
+    side = max(math.isqrt(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1, -(-2 * m // CELL_ENTRIES))
+    arrays = cut_lineage(oriented(e, m).groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("ys")))  # sqrt(2m) a row at most
+    group = F.pmod(F.xxhash64("x"), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    cells = arrays.select(group.alias("i"), every.alias("j"), F.lit(True).alias("near"), "x", "ys") \
+        .unionByName(arrays.select(every.alias("i"), group.alias("j"), F.lit(False).alias("near"), "x", "ys"))
+    counts = cells.groupBy("i", "j").applyInArrow(triangles.count_cell, "id long, triangles long").groupBy("id").agg(F.sum("triangles").alias("triangles"))
+    return ids.join(counts, "id", "left").select("id", F.coalesce(F.col("triangles"), F.lit(0).cast("bigint")).alias("triangles"))

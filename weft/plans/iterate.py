@@ -9,10 +9,10 @@ all of them in one join task.  ``Adjacency`` finds such hubs once (a bounded bro
 table, see ``weft.operators.skew``), splits their adjacency rows into buckets and
 replicates only the hub's *value row* once per bucket in every round.
 
-Lineage: a driver loop grows the logical plan by one round per iteration.  Every
-``checkpoint_every`` rounds the current values are written with a reliable
-``DataFrame.checkpoint()`` into the shared ``spark.checkpoint.dir`` — this both
-truncates the plan and makes the loop restartable after executor loss.
+Lineage: a driver loop grows the logical plan by one round per iteration.  The rounds
+write their (small) vertex values with a reliable ``DataFrame.checkpoint()`` into the shared
+``spark.checkpoint.dir``: this truncates the plan, makes the loop restartable after executor
+loss, and gives every round the same plan, so its code is generated and compiled once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.model import Graph, endpoint_ids
@@ -36,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` with aggregates of the written rows, taken by the write itself."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return cut, {n: seen.get.get(n) for n in metrics}
+
+
 def materialise(graph: Graph, edge_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Checkpoint a graph's edges (``src, dst`` + ``edge_cols``) and vertex ids once,
     before a loop, so no round re-derives them from the source tables.  For
@@ -119,6 +126,50 @@ class Adjacency:
         self.adj.unpersist()
 
 
+class Hop:
+    """One hop of a path that every round walks again: static rows that stay partitioned by the
+    hop's ``keys``, so a round shuffles the moving values alone.
+
+    Keys that are hot on either side (``senders``: a frame with the key distribution of the
+    values) are laid out on a grid of buckets, as in ``weft.operators.skew.salted_join``: the
+    static rows once, at the start, the values in every round.
+    """
+
+    def __init__(self, static: DataFrame, keys: list[str], senders: DataFrame | None = None):
+        spark = static.sparkSession
+        self.keys, self.parts = keys, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        threshold, max_hot = skew_settings(spark)
+        hot = hot_keys(static, senders, keys, threshold, max_hot)
+        self.hot = None if hot is None else F.broadcast(hot)  # fewer than 2 * max_hot rows
+        self.on = list(keys)
+        if hot is not None:
+            self.on += ["_i", "_j"]
+            row = F.xxhash64(*[F.col(c) for c in static.columns])
+            static = static.join(self.hot, keys, "left").withColumn("_i", F.pmod(row, F.coalesce("_lb", F.lit(1)))) \
+                .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_rb", F.lit(1)) - 1))).drop("_lb", "_rb")
+        self.static = static.repartition(self.parts, *self.on).sortWithinPartitions(*self.on).persist(StorageLevel.MEMORY_AND_DISK)
+        self.static.count()  # only a filled cache reports its partitioning
+
+    def summed(self, rows: DataFrame, by: str, value: str | None = None) -> DataFrame:
+        """``rows`` added up per key and ``by`` (without ``value``: counted, as ``n``), before they
+        meet the hop.  Without hot keys they are
+        dealt out by the key first and added up there: the hop then needs no other shuffle."""
+        rows = rows if self.hot is not None else rows.repartition(self.parts, *self.keys)
+        return rows.groupBy(*self.keys, by).agg(F.sum(value).alias(value) if value else F.count("*").alias("n"))
+
+    def meet(self, values: DataFrame) -> DataFrame:
+        """Inner join of the static rows with ``values`` (with the hop's keys)."""
+        if self.hot is not None:
+            row = F.xxhash64(*[F.col(c) for c in values.columns])
+            values = values.join(self.hot, self.keys, "left").withColumn("_j", F.pmod(row, F.coalesce("_rb", F.lit(1)))) \
+                .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_lb", F.lit(1)) - 1))).drop("_lb", "_rb")
+        # one plan at every size: the static side lies sorted, neither side is sent to every task
+        return self.static.join(values.hint("merge"), self.on).drop("_i", "_j")
+
+    def release(self) -> None:
+        self.static.unpersist()
+
+
 def aggregate_messages(graph: Graph, to_src: Column | None, to_dst: Column | None,
                        agg: Callable[[Column], Column], msg_name: str = "msg", by: str | None = None) -> DataFrame:
     """One round of messages over the triplets (A4): ``(id, <msg_name>)``.

@@ -9,7 +9,7 @@ into one task.  ``format='text'`` writes ``community,member`` lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERSHIP_SCHEMA = "community BIGINT, member BIGINT"
@@ -26,6 +26,26 @@ def write_membership(members: DataFrame, path: str, fmt: str = "parquet", mode:
         raise ValueError(fmt)
 
 
+def write_membership_by_community(members: DataFrame, path: str, buckets: int = 256, mode: str = "errorifexists") -> None:
+    """Membership in folders by a hash of the community, so one community is read from one folder.
+    Inside a folder the rows are range-partitioned and sorted: a giant community has many files."""
+    order = ["bucket", "community", "member"]
+    rows = members.select("community", "member", _bucket(F.col("community"), buckets).alias("bucket"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_community(spark: SparkSession, path: str, community: int, buckets: int = 256) -> DataFrame:
+    """``(community, member)`` of one community: its folder alone is read, and of that the row groups
+    that may hold it.  ``buckets`` as written."""
+    rows = spark.read.schema(f"{MEMBERSHIP_SCHEMA}, bucket INT").parquet(path)
+    bucket = spark.range(1).select(_bucket(F.lit(community).cast("bigint"), buckets)).first()[0]
+    return rows.filter((F.col("bucket") == bucket) & (F.col("community") == community)).select("community", "member")
+
+
+def _bucket(community: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(community), F.lit(buckets)).cast("int")
+
+
 def read_membership(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "parquet":
         return spark.read.schema(MEMBERSHIP_SCHEMA).parquet(path)

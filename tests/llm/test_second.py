@@ -221,3 +221,49 @@ def test_embeddings_pairs_off_centre(spark):
     s = true_links(x)
     assert s.sum() > 300
     check_whole(near(spark, x, window=16), s)
+
+
+def test_embeddings_tiny_and_huge_norms(spark):
+    """Norms that under- or overflow when squared spoil neither their own links nor others'."""
+    x = planted(300, 12).astype(np.float64)
+    tiny, huge = 1e-200 * x[:3], 1e200 * x[:3]
+    y = np.r_[x, tiny, huge, np.full((1, 32), 1e-310)]
+    unit = embedding_dedup.unit(y)
+    s = unit @ unit.T >= 0.95
+    np.fill_diagonal(s, False)
+    assert all(s[i, 300 + i] and s[i, 303 + i] for i in range(3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>").repartition(3)
+    check_whole({r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}, s)
+
+
+@pytest.mark.parametrize("kind", ["tight", "loose", "off centre"])
+def test_embeddings_passes_reach_the_pairs(spark, kind):
+    """The edges of the passes alone, the window far below 1 % of the rows."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((2500, 32)) + (3 * r.standard_normal(32) / np.sqrt(2) if kind == "off centre" else 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = {"tight": 0.01, "loose": 0.31, "off centre": 0.31}[kind]
+    x = np.r_[x, x[:200] + noise * r.standard_normal((200, 32)) / np.sqrt(32)]
+    s = true_links(x)
+    units = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(embedding_dedup.unit(x))], "id long, v array<double>, size long").repartition(4)
+    found = {(min(e), max(e)) for e in map(tuple, embedding_dedup.edges_of_passes(units, 0.95, 16).collect())}
+    true = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(s))) if i < j}
+    assert found <= true  # every edge is verified
+    comp = brute.grouped(range(len(x)), found)
+    assert len(true) >= 100 and sum(comp[i] == comp[j] for i, j in true) >= 0.98 * len(true)
+
+
+def test_plan_of_passes():
+    at = [(0.9, 1)]
+    assert embedding_dedup.plan(500, at)[1] == 1  # all rows in one window
+    few, many = embedding_dedup.plan(10**5, at), embedding_dedup.plan(10**9, at)
+    assert few[1] < many[1] < 400 and few[0] <= many[0]
+    assert embedding_dedup.plan(10**5, [(0.8, 1)], 256)[1] > embedding_dedup.plan(10**5, at, 256)[1]
+
+
+def test_embeddings_plan_has_no_product(spark, monkeypatch):
+    plans = []
+    keep = embedding_dedup.stored
+    monkeypatch.setattr(embedding_dedup, "stored", lambda df, n: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, n))[1])
+    out = near(spark, planted(300, 10))
+    assert out and plans and not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)

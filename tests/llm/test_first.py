@@ -228,3 +228,30 @@ def test_levels_of_many_sources_are_summed_in_parts(spark):
         spark.conf.set(key, old)
     want = (1e5 - np.r_[0, cap.cumsum()[:-1]]) / (weight.sum() - np.r_[0, weight.cumsum()[:-1]])
     assert [got[i] for i in range(700)] == pytest.approx(want.tolist())
+
+
+# ---- line dedup: copies of shards, names that clash
+
+def test_only_the_shard_of_a_hot_line_is_copied(spark):
+    rows = [(i, f"the very same line in every document\nline number {i} of its own") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    index, shards, load = line_dedup.line_index(docs, shard_keys=200)
+    copies = line_dedup.shard_copies(load, 500)
+    hot = {r["shard"] for r in load.where("n > 2000").collect()}
+    assert shards == 16 and set(copies) == hot and len(hot) == 1 and max(copies.values()) >= 6
+    assert line_dedup.with_copies(index, copies).count() == shards - 1 + sum(copies.values())
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs, shard_keys=200, shard_probes=500).collect()}
+    assert got == {d: (n, k, t) for d, n, k, t in brute.line_dedup(rows)}
+
+
+def test_clashing_columns_keep_their_values(spark):
+    import corpus_pipeline as cp
+    from weft.llm import mixing, near_copies
+    names = ["_h", "_key", "_rank", "_n", "_rows", "_i", "_take", "_c", "_row", "_n_lines", "_n_dropped", "_doc", "key", "doc"]
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + "\na shared line of text", "s", *[f"{n}{i}" for n in names]) for i in range(8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    whole = {r[0]: r[3:] for r in data}
+    for out in (near_copies.one_of_each(docs), mixing.mixed_documents(docs), line_dedup.dedup_lines(docs, counts=False)):
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(tuple(r)[3:] == whole[r["doc_id"]] for r in got)
+    assert cp.near_copies(spark, docs, "").count() == 8

@@ -164,16 +164,16 @@ def _index_shard(rows: pd.DataFrame) -> pd.DataFrame:
 INDEX = "shard int, levels array<binary>, marks binary, docs binary, owners binary"
 
 
-def line_index(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
-    """The sharded index over all distinct line hashes, its number of shards, and the most
-    probes that a shard will get."""
+def line_index(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, DataFrame]:
+    """The sharded index over all distinct line hashes, its number of shards, and the probes
+    ``(shard, n)`` that each will get."""
     prepare(docs.sparkSession)
     src = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     held = src.mapInArrow(lambda it: _held(it, least), "place long, mark long, docs long, owner long")
     lines = stored(held.groupBy("place", "mark").agg(F.sum("docs").alias("docs"), F.min("owner").alias("owner")), "lines")
     shards = max(1, -(-lines.count() // shard_keys))
     sharded = lines.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    load = sharded.groupBy("shard").agg(F.sum("docs").alias("n")).agg(F.max("n")).first()[0] or 0
+    load = stored(sharded.groupBy("shard").agg(F.sum("docs").alias("n")), "line-loads")
     return stored(sharded.groupBy("shard").applyInPandas(_index_shard, INDEX), "line-index"), shards, load
 
 
@@ -181,9 +181,18 @@ def line_index(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_
 
 #: probes that one task looks up at about; a shard with more (a very common line) is copied
 SHARD_PROBES = 1_000_000
+#: a shard is copied only if it also gets this part of all probes: so many are, at most
+MOST_COPIED = 10_000
 
 
-def _probes(batches: Iterator[pa.RecordBatch], least: int, shards: int, copies: int) -> Iterator[pa.RecordBatch]:
+def shard_copies(load: DataFrame, shard_probes: int = SHARD_PROBES) -> dict[int, int]:
+    """Copies of the shards that need more than one, each by its own load."""
+    total = load.agg(F.sum("n")).first()[0] or 0
+    rows = load.where(F.col("n") > max(shard_probes, total // MOST_COPIED)).collect()  # fewer than MOST_COPIED
+    return {r["shard"]: -(-r["n"] // shard_probes) for r in rows}
+
+
+def _probes(batches: Iterator[pa.RecordBatch], least: int, shards: int, copies: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """One row per batch and shard: the probes of the batch's lines, packed."""
     at = 0
     for b, ids, doc, nth, h in _doc_lines(batches, least):
@@ -197,9 +206,10 @@ def _probes(batches: Iterator[pa.RecordBatch], least: int, shards: int, copies:
         packed = [[f(p) for p in parts] for f in (
             lambda p: h[p, 0].tobytes(), lambda p: h[p, 1].tobytes(), lambda p: ids[doc[p]].tobytes(),
             lambda p: keys[doc[p]].astype("<i8").tobytes(), lambda p: nth[p].tobytes())]
-        copy = xxhash.xxh3_64_intdigest(packed[0][0]) % copies
+        batch = xxhash.xxh3_64_intdigest(packed[0][0])
+        numbers = [int(shard[p[0]]) for p in parts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([copy] * len(parts), pa.int32()), *[pa.array(c, pa.binary()) for c in packed]],
+            [pa.array(numbers, pa.int32()), pa.array([batch % copies.get(k, 1) for k in numbers], pa.int32()), *[pa.array(c, pa.binary()) for c in packed]],
             names=["shard", "copy", "place", "mark", "doc", "key", "nth"])
 
 
@@ -216,20 +226,27 @@ def _answer(probes: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(joined[c][goes]) for c in ("doc", "key", "nth")})
 
 
+def with_copies(index: DataFrame, copies: dict[int, int]) -> DataFrame:
+    """A row per copy of a shard; only the shards in ``copies`` have several."""
+    rows = index.sparkSession.createDataFrame(list(copies.items()), "_s int, _n int")
+    many = index.join(F.broadcast(rows), F.col("shard") == F.col("_s"), "left")  # fewer than MOST_COPIED rows
+    return many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_s", "_n")
+
+
 def drops(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, shard_probes: int = SHARD_PROBES) -> DataFrame:
     """``doc, key, nth``: the lines that go; ``doc`` is the doc_id (null: the largest long)
     and ``key`` a hash of the text, so rows that share an id are told apart."""
     index, shards, load = line_index(docs, least, shard_keys)
-    copies = max(1, -(-load // shard_probes))
+    copies = shard_copies(load, shard_probes)
     src = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     probes = src.mapInArrow(lambda it: _probes(it, least, shards, copies),
                             "shard int, copy int, place binary, mark binary, doc binary, key binary, nth binary")
-    copied = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return probes.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_answer, "doc long, key long, nth int")
+    return probes.groupBy("shard", "copy").cogroup(with_copies(index, copies).groupBy("shard", "copy")).applyInArrow(_answer, "doc long, key long, nth int")
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, shard_probes: int = SHARD_PROBES) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, plus ``_n_lines``, ``_n_dropped``.
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, shard_probes: int = SHARD_PROBES, counts: bool = True) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``; with ``counts`` also ``_n_lines``,
+    ``_n_dropped`` (columns of the input with these names are then replaced).
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased.  A key
     of ``least`` code points or more that at least two documents hold stays only in the one
@@ -242,5 +259,6 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, shard_keys: int = SHARD
     lines = F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n", -1)
     left = bind(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)), "\n"))
     text = F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(left)
-    return out.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns],
-                      F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"))
+    found = [F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped")] if counts else []
+    keep = [c for c in docs.columns if not counts or c not in ("_n_lines", "_n_dropped")]
+    return out.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in keep], *found)

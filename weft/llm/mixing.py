@@ -155,15 +155,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, g
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (columns of ``docs``)."""
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    first = docs.select("doc_id", "text", "source")
+    # the user's row is one column, so no name of ours meets one of theirs
+    key = F.xxhash64("doc_id", F.xxhash64("text"), "source")
     # equal rows share a key: the copies of a key are dealt to its rows in turn
-    keyed = first.withColumn("_h", F.xxhash64("text"))
-    copies = mix(keyed.select(F.xxhash64("doc_id", "_h", "source").alias("doc_id"), "text", "source"), **options)
+    copies = mix(docs.select(key.alias("doc_id"), "text", "source"), **options)
     per = copies.groupBy("doc_id").agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_key")
-    rows = rows.withColumn("_key", F.xxhash64("doc_id", "_h", "source")).join(per, "_key")
-    nth = F.row_number().over(W.partitionBy("_key").orderBy("_h"))
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(per, "_key")
+    nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
     rows = rows.withColumn("_i", F.when(F.col("_rows") > 1, nth).otherwise(1) - 1)
     take = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_i") < F.col("_n") % F.col("_rows"), 1).otherwise(0)
     rows = rows.withColumn("_take", take.cast("int")).where("_take > 0")
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_take")))).select(*docs.columns)
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_take")))).select("_row.*")

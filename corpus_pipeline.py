@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from weft.llm import host_rules, jaccard_join, line_dedup, mixing, packing
-from weft.llm.common import numbered, stored
+from weft.llm import host_rules, line_dedup, mixing, packing
+from weft.llm import near_copies as near_copies_of
+from weft.llm.common import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays, of rows that share it the
-    one with the smallest text hash.  Rows that share an id but hold different texts are
-    documents of their own; a row without an id comes behind all others."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    keys = numbered(keyed.select("doc_id", "_h").distinct(), "near-keys", F.col("doc_id").asc_nulls_last(), "_h")
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_key"), F.col("rank").alias("_rank"))
-    ranked = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")))
-    rows = stored(ranked.select(*docs.columns, "_rank"), "near-rows")
-    groups = jaccard_join.join_groups(rows.select(F.col("_rank").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_rank")).distinct()
-    nth = F.row_number().over(W.partitionBy("_rank").orderBy(F.xxhash64(*docs.columns)))
-    return rows.join(first, "_rank", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    """One document of each group of near copies stays."""
+    return near_copies_of.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,10 +75,11 @@ class _Marked:
         self.a = a = Anchors(self.h, self.lengths, n, k)
         self.first = np.cumsum(self.lengths) - self.lengths
         at, plain = [], []
-        for i, (p, s) in enumerate(zip(b.column("pos").to_pylist(), b.column("plain").to_pylist())):
-            if p:
-                at.append(np.array(p, dtype=np.int64) + self.first[i])
-                plain.append(np.array(s, dtype=bool))
+        for i, m in enumerate(b.column("marks").to_pylist()):
+            if m:
+                m = np.array(m, dtype=np.int64)
+                at.append((m >> 1) + self.first[i])
+                plain.append((m & 1).astype(bool))
         at, plain = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (plain, bool)))
         node = a.kmer[at]
         path_nodes = np.unique(node[plain])
@@ -111,7 +112,7 @@ REMOVED = "doc_id long, n_words long, n_removed long, kept_text binary, removed
 
 def _removed(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        marked = np.array([p is not None for p in b.column("pos").to_pylist()], dtype=bool)
+        marked = np.array([m is not None for m in b.column("marks").to_pylist()], dtype=bool)
         text, gone, spans = [b" ".join((t or b"").split()) for t in b.column("text").to_pylist()], np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
         n_words = np.array([len(t.split()) for t in text], dtype=np.int64)
         rows = np.flatnonzero(marked)
@@ -148,11 +149,16 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = KMER) -> DataFrame
         .groupBy("node").agg(F.count("*").alias("c"), (one("into") & one("out")).alias("plain")).where("c >= 2").select("node", "plain")
     nodes = stored(nodes, "nodes")  # read back, the join below can split the occurrences of a frequent node
     places = src.select("doc", "key", "text").mapInArrow(lambda it: _places(it, n, k), "node long, doc long, key long, pos int")
-    marks = stored(places.join(nodes, "node").groupBy("doc", "key").agg(F.collect_list("pos").alias("pos"), F.collect_list("plain").alias("plain")), "marks")
-    windows = src.join(marks, ["doc", "key"]).select("doc", "key", "text", "pos", "plain") \
+    # a place and its verdict in one number (a text has under 2^30 words); a set, so equal rows share their places
+    mark = F.col("pos") * 2 + F.col("plain").cast("int")
+    marks = stored(places.join(nodes, "node").groupBy("doc", "key").agg(F.collect_set(mark).alias("marks")), "marks")
+    windows = src.join(marks, ["doc", "key"]).select("doc", "key", "text", "marks") \
         .mapInArrow(lambda it: _open_windows(it, n, k), "w1 long, w2 long, doc long, key long, at int")
     windows = stored(windows, "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2")
+    # stored like the nodes: a window that very many rows hold can then be split
+    twice = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2"), "twice")
     verified = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("doc", "key").agg(F.collect_set("at").alias("at"))
-    rows = src.join(marks, ["doc", "key"], "left").join(verified, ["doc", "key"], "left").select("doc_id", "text", "pos", "plain", "at")
+    # one row per (doc, key), so that equal rows meet one stored table and their join can be split
+    found = stored(marks.join(verified, ["doc", "key"], "left"), "found")
+    rows = src.join(found, ["doc", "key"], "left").select("doc_id", "text", "marks", "at")
     return rows.mapInArrow(lambda it: _removed(it, n, k), REMOVED).withColumn("kept_text", F.col("kept_text").cast("string"))

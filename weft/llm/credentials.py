@@ -59,7 +59,8 @@ def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
     a = left.withColumn("bin", F.floor(F.col("start") / scope))
     b = right.select(F.col("rid").alias("_rid"), F.col("start").alias("_start"), bins.alias("_bin"))
     on = (F.col("rid") == F.col("_rid")) & (F.col("bin") == F.col("_bin")) & (F.abs(F.col("start") - F.col("_start")) <= scope)
-    return a.join(b, on, "left_semi").drop("bin")
+    # the parts grow with the corpus: one plan at every size, never a broadcast of them
+    return a.join(b.hint("merge"), on, "left_semi").drop("bin")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

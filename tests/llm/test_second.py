@@ -1,5 +1,6 @@
 """Substring dedup, Jaccard join and embedding near-dedup against brute force."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,17 @@ def test_substring_random_overlaps(spark, seed):
     assert by_text(substring_dedup.remove_repeats(df)) == wanted(data)
 
 
+@pytest.mark.parametrize("ids", [None, 7])
+def test_substring_many_equal_rows(spark, ids):
+    """Rows that share id and text share their places: the work grows with the rows, not their square."""
+    text = [f"w{i}" for i in range(400)]
+    data = [(ids, " ".join(text))] * 2_400 + [(1, " ".join(["a", *text[:200]])), (2, "nothing else")]
+    start = time.time()
+    got = by_text(substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(8)))
+    assert got == Counter({(ids, 400, 400, ""): 2_400, (1, 201, 200, "a"): 1, (2, 2, 0, "nothing else"): 1})
+    assert time.time() - start < 60
+
+
 # ---- Jaccard join
 
 def groups(df):
@@ -106,6 +118,19 @@ def test_jaccard_chains_and_split_lists(spark, list_rows):
     assert groups(jaccard_join.join_groups(df, list_rows=list_rows)) == brute.jaccard_groups(data)
 
 
+def test_jaccard_clashing_keys(docs, rows):
+    """Keys of four bits: nearly every key is shared by different sets, which stay apart."""
+    assert groups(jaccard_join.join_groups(docs, key_bits=4)) == brute.jaccard_groups([r[:2] for r in rows])
+
+
+@pytest.mark.parametrize("turns", [{}, {5: 1, -(2**63): 63, -1: 17}])
+def test_jaccard_names_of_columns_and_numbers_agree(spark, turns):
+    data = [(k, c, 1) for k in (5, 6, -1, -(2**63), 2**63 - 1) for c in (0, 1, -1, 2**62 + 3, -(2**63), 2**63 - 1)]
+    df = spark.createDataFrame(data, "key long, check long, n long")
+    got = {(r["key"], r["check"]): r["class"] for r in jaccard_join._named(df, turns).collect()}
+    assert got == {(k, c): jaccard_join._name(k, c, turns) for k, c, _ in data}
+
+
 def test_shared_lists_across_batches():
     """The lists that come out are the same however the batches are cut."""
     import pyarrow as pa

@@ -42,21 +42,59 @@ LIST_ROWS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
 
-def _class_of(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set: its key, and a check against collisions of keys."""
+def _class_of(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two names of a set: its key of ``bits`` bits, and 64 more that tell sets of one key apart."""
     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
-    return int(d[0]), int(d[1])
+    return int(d[0]) >> (64 - bits), int(d[1])
+
+
+def _name(key: int, check: int, turns: dict[int, int]) -> int:
+    """The class of a set: its key, or for the keys in ``turns`` the key xor the check turned
+    left by so many bits (as ``_named`` does for columns)."""
+    j = turns.get(key)
+    if j is None:
+        return key
+    c = check & (2**64 - 1)
+    x = (key & (2**64 - 1)) ^ ((c << j | c >> (64 - j)) & (2**64 - 1))
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _named(rows: DataFrame, turns: dict[int, int]) -> DataFrame:
+    """``rows`` (with ``key`` and ``check``) with their ``class``."""
+    if not turns:
+        return rows.withColumn("class", F.col("key"))
+    small = rows.sparkSession.createDataFrame(list(turns.items()), "key long, _j int")
+    turned = F.expr("shiftleft(check, _j)").bitwiseOR(F.expr("shiftrightunsigned(check, 64 - _j)"))
+    return rows.join(F.broadcast(small), "key", "left").withColumn("class", F.coalesce(F.col("key").bitwiseXOR(turned), "key")).drop("_j")
+
+
+def _classes(rows: DataFrame) -> tuple[dict[int, int], DataFrame]:
+    """Classes ``(class, first)`` without two sets under one name, and the keys renamed for it.
+
+    64-bit keys of n sets clash about n^2 / 2^65 times (some 300 times in 10^11 sets): those keys
+    alone come to the driver.  Their sets are told apart by their checks; should a new name meet
+    another one, both turn on."""
+    turns: dict[int, int] = {}
+    while True:
+        named = _named(rows.where("n > 0"), turns)
+        both = [f(c).alias(f"{c}{i}") for c in ("key", "check") for i, f in ((1, F.min), (2, F.max))]
+        classes = stored(named.groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), *both), "classes")
+        clash = classes.where("key1 <> key2 or check1 <> check2")
+        if clash.isEmpty():
+            return turns, classes.select("class", "first")
+        for r in named.join(clash.select("class"), "class", "left_semi").select("key").distinct().collect():
+            turns[r["key"]] = turns.get(r["key"], 0) % 63 + 1
 
 
 # ---- sizes, classes and the count sketch ---------------------------------------------------
 
-def _sizes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, class, check) per row, then this task's sketch in chunks."""
+def _sizes(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, key, check) per row, then this task's sketch in chunks."""
     counts = np.zeros(CELLS, np.int64)
-    names = ["doc_id", "n", "class", "check", "chunk", "task", "counts"]
+    names = ["doc_id", "n", "key", "check", "chunk", "task", "counts"]
     for b in batches:
         sets = shingle_sets(b.column("text").to_pylist(), k)
-        ids = [_class_of(s) for s in sets]
+        ids = [_class_of(s, bits) for s in sets]
         if any(len(s) for s in sets):
             counts += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         m = len(sets)
@@ -108,13 +146,13 @@ def least_overlap(n, percent: int = PERCENT):
 
 # ---- short lists ---------------------------------------------------------------------------
 
-def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, levels: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], k: int, bits: int, percent: int, levels: np.ndarray, parts: np.ndarray, turns: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """(shingle, part, class, n, pos) for the short lists of each text; a batch's copies once."""
     for b in batches:
         sets = {}
         for s in shingle_sets(b.column("text").to_pylist(), k):
             if len(s):
-                sets.setdefault(_class_of(s)[0], s)
+                sets.setdefault(_name(*_class_of(s, bits), turns), s)
         cut = [by_length(s, levels)[:len(s) - least_overlap(len(s), percent) + 1] for s in sets.values()]
         m = np.array([len(x) for x in cut], dtype=np.int64)
         g = np.concatenate(cut) if cut else np.zeros(0, np.uint64)
@@ -177,11 +215,11 @@ def may_reach(n: Column, m: Column, i: Column, j: Column, percent: int = PERCENT
 
 # ---- verification --------------------------------------------------------------------------
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: int, turns: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """(class, set), once per task: rows that share an id come to one task."""
     seen: set[int] = set()
     for b in batches:
-        sets = {_class_of(s)[0]: s for s in shingle_sets(b.column("text").to_pylist(), k) if len(s)}
+        sets = {_name(*_class_of(s, bits), turns): s for s in shingle_sets(b.column("text").to_pylist(), k) if len(s)}
         sets = {c: s for c, s in sets.items() if c not in seen}
         seen.update(sets)
         yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["class", "grams"])
@@ -215,44 +253,47 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of classes that link.  Their sets are made anew from one text each."""
+def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, sets_of, percent: int) -> DataFrame:
+    """The pairs of classes that link.  Their sets are made anew (``sets_of``) from one text each."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     first = ends.join(classes, "class").select(F.col("first").alias("_first")).distinct()
     # the candidates grow with the corpus: one plan at every size, never a broadcast of them
     texts = src.join(first.hint("merge"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_first"), "left_semi").select("text")
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, k), "class long, grams binary"), "sets")
+    sets = stored(texts.mapInArrow(sets_of, "class long, grams binary"), "sets")
     one = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = one.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("b_grams")), "b")
     return stored(both.select("a", "b", "a_grams", "b_grams").mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "links")
 
 
-def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_rows: int = LIST_ROWS) -> DataFrame:
+def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_rows: int = LIST_ROWS, key_bits: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable by links (null ids come last: a group
     of null ids alone has null).  Rows without a word link with nothing; repeated rows and
-    copies link with each other.
+    copies link with each other.  Different sets whose keys (``key_bits`` bits) clash are told
+    apart by 64 more bits.
     """
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sized = stored(src.mapInArrow(lambda it: _sizes(it, k), "doc_id long, n long, class long, check long, chunk int, task int, counts binary"), "sizes")
-    rows = sized.where("chunk is null").select("doc_id", "n", "class", "check")
+    sized = stored(src.mapInArrow(lambda it: _sizes(it, k, key_bits), "doc_id long, n long, key long, check long, chunk int, task int, counts binary"), "sizes")
+    rows = sized.where("chunk is null").select("doc_id", "n", "key", "check")
     counts = _sketch(sized.where("chunk is not null").select("chunk", "task", "counts"))
     levels = _levels(counts)
     noise = int(np.median(counts))
     parts = np.maximum(1, -(-(counts - noise) // list_rows)).astype(np.int32)
-    classes = stored(rows.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")
-    if not classes.where("c1 <> c2").isEmpty():
-        raise ValueError("two shingle sets share a 64-bit key; use another shingle length or hash")
+    turns, classes = _classes(rows)
+    rows = _named(rows, turns).select("doc_id", "n", "class")
 
-    share = spark.sparkContext.broadcast((levels, parts))  # 5 bytes a cell, whatever the input
-    postings = src.select("text").mapInArrow(lambda it: _postings(it, k, percent, *share.value), "shingle long, part int, class long, n int, pos int")
+    share = spark.sparkContext.broadcast((levels, parts, turns))  # 5 bytes a cell, whatever the input, and the few renamed keys
+    postings = src.select("text").mapInArrow(lambda it: _postings(it, k, key_bits, percent, *share.value), "shingle long, part int, class long, n int, pos int")
     lists = postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "class") \
         .mapInArrow(lambda it: _shared(it, share.value[1]), LISTS)
     lists = stored(lists, "lists")
 
+    def sets_of(it):
+        return _sets(it, k, key_bits, share.value[2])
+
     # a class is the more central the larger the share of its short lists that it shares
     rows_of = lists.select("shingle", "class", "n", "pos").distinct()
     central = rows_of.groupBy("class", "n").agg((F.count("*") / (F.col("n") - least_overlap(F.col("n"), percent) + 1)).alias("share"))
@@ -263,7 +304,7 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
     fits = may_reach(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"), percent)
     met = member.join(hub, "shingle").where((F.col("class") != F.col("hub")) & fits).groupBy("class", "hub").agg(F.count("*").alias("times"))
     best = stored(met.groupBy("class").agg(F.max(F.struct("times", "hub")).alias("m")).select(F.col("class").alias("a"), F.col("m.hub").alias("b")), "best")
-    links = _verify(best, classes, src, k, percent)
+    links = _verify(best, classes, src, sets_of, percent)
 
     found = components(links, "comp1")
     member = stored(member.join(found.withColumnRenamed("node", "class"), "class", "left")
@@ -275,7 +316,7 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
     pairs = apart.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verify(pairs, classes, src, k, percent))
+    links = links.unionByName(_verify(pairs, classes, src, sets_of, percent))
 
     root = components(stored(links, "links2"), "comp2")
     named = stored(classes.select("class", "first").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "roots")

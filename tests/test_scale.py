@@ -159,3 +159,43 @@ def test_one_community_is_read_from_its_folder(spark, tmp_path):
 def test_written_rows_are_observed(spark):
     cut, seen = cut_observed(spark.range(10), n=F.count("*"), big=F.count_if(F.col("id") > 6))
     assert seen == {"n": 10, "big": 3} and cut.count() == 10
+
+
+@pytest.mark.parametrize("receiver", [False, True])
+def test_a_superstep_writes_the_changed_rows_alone(spark, monkeypatch, receiver):
+    """Hops from one end of a path, beside many vertices that are done after one superstep."""
+    from weft.plans import iterate
+    written = []
+
+    def counted(df, **metrics):
+        cut, seen = cut_observed(df, **metrics)
+        written.append(seen["n"])
+        return cut, seen
+
+    monkeypatch.setattr(iterate, "cut_observed", counted)
+    path, pairs = list(range(12)), [(1_000 + 2 * i, 1_001 + 2 * i) for i in range(300)]
+    g = simple(spark, [*zip(path, path[1:]), *pairs])
+    far = F.col("sender_far") + 1
+    if receiver:  # nothing is sent to a vertex that is nearer already
+        far = F.when(F.coalesce(F.col("receiver_far") > far, F.lit(True)), far)
+    got = as_dict(iterate.pregel(g, {"far": F.when((F.col("id") == 0) | (F.col("id") >= 1_000) & (F.col("id") % 2 == 0), F.lit(0)).cast("bigint")},
+                                 {"near": F.min("msg")}, {"far": F.least("far", "near")}, to_dst=far, only_active=True, reads_receiver=receiver))
+    assert got == {**{i: i for i in path}, **{a: 0 for a, _ in pairs}, **{b: 1 for _, b in pairs}}
+    assert written == [612, 301, *[1] * 10, 0]
+
+
+def test_layers_merge_and_the_newest_row_counts(spark):
+    from weft.plans.iterate import Layered
+    rows = Layered(spark.createDataFrame([(i, 0, "a") for i in range(40)], "id long, v int, s string"), ["v", "s"], most=2)
+    want = {i: (0, "a") for i in range(40)}
+    for step in range(1, 16):
+        ids = [(7 * step + d) % 40 for d in range(5)]
+        change = {i: (step, None if i % 2 else f"s{step}") for i in ids}
+        rows.add(spark.createDataFrame([(i, *x) for i, x in change.items()], "id long, v int, s string"))
+        want |= change
+        assert len(rows.layers) <= 2 and rows.thin < rows.n == 40
+        assert {r["id"]: (r["v"], r["s"]) for r in rows.latest().collect()} == want
+    few = rows.latest(spark.createDataFrame([(3, 9), (99, 9)], "id long, m int")).collect()
+    assert [(r["id"], r["v"], r["s"], r["m"]) for r in few] == [(3, *want[3], 9)]
+    assert rows.add(spark.createDataFrame([], "id long, v int, s string")) is None
+    rows.release()

@@ -195,6 +195,65 @@ def triplets(graph: Graph) -> DataFrame:
         "src", "dst", *graph.edge_attrs, *[f"src_{a}" for a in attrs], *[f"dst_{a}" for a in attrs])
 
 
+class Layered:
+    """Vertex rows ``(id, <names>)`` as a base and thin layers of the rows that changed since.
+
+    A superstep writes the changed rows alone.  The base stays partitioned by ``id``, so what a
+    superstep receives is all that is shuffled to meet it.  When the layers hold as many rows as
+    the base, they are merged into a new one; that is paid for by the rows written since.  More
+    than ``most`` layers become one.
+    """
+
+    def __init__(self, rows: DataFrame, names: list[str], most: int = 6):
+        self.names, self.most = names, most
+        self.parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.base = None
+        self._rebase(rows)
+
+    def _rebase(self, rows: DataFrame) -> None:
+        old, self.layers, self.thin = self.base, [], 0
+        written, seen = cut_observed(rows.select("id", *self.names), n=F.count(F.lit(1)))
+        self.base, self.n = written.repartition(self.parts, "id").persist(StorageLevel.MEMORY_AND_DISK), seen["n"]
+        self.base.count()  # only a filled cache reports its partitioning
+        if old is not None:
+            old.unpersist()
+
+    def _over(self) -> DataFrame | None:
+        """The newest row of every vertex that any layer holds: ``(id, _new)``."""
+        if not self.layers:
+            return None
+        each = [df.select("id", F.struct(*self.names).alias("_new"), F.lit(i).alias("_layer")) for i, df in enumerate(self.layers)]
+        rows = each[0]
+        for x in each[1:]:
+            rows = rows.unionByName(x)
+        return rows.groupBy("id").agg(F.max_by("_new", "_layer").alias("_new")) if len(each) > 1 else rows.drop("_layer")
+
+    def latest(self, received: DataFrame | None = None) -> DataFrame:
+        """The rows as they are now; with ``received`` (one row per id) those it holds, and its columns."""
+        rows, over = self.base if received is None else self.base.join(received, "id"), self._over()
+        if over is None:
+            return rows
+        now = [F.when(F.col("_new").isNull(), F.col(n)).otherwise(F.col(f"_new.{n}")).alias(n) for n in self.names]
+        others = [] if received is None else [c for c in received.columns if c != "id"]
+        return rows.join(over, "id", "left").select("id", *now, *others)
+
+    def add(self, changed: DataFrame) -> DataFrame | None:
+        """Write the rows that changed and return them; None if there are none."""
+        layer, seen = cut_observed(changed, n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return None
+        self.layers.append(layer)
+        self.thin += seen["n"]
+        if self.thin >= self.n:
+            self._rebase(self.latest())
+        elif len(self.layers) > self.most:
+            self.layers = [cut_lineage(self._over().select("id", "_new.*"))]
+        return layer
+
+    def release(self) -> None:
+        self.base.unpersist()
+
+
 def pregel(graph: Graph, values: dict[str, Column], merge: dict[str, Column], update: dict[str, Column],
            to_dst: Column | None = None, to_src: Column | None = None, steps: int | None = None,
            max_iter: int | None = None, only_active: bool = False, reads_receiver: bool = False,
@@ -209,7 +268,7 @@ def pregel(graph: Graph, values: dict[str, Column], merge: dict[str, Column], up
       received a message; the others keep theirs.
 
     ``only_active``: from the second superstep on, only vertices whose values changed in the
-    last one send.  With ``steps`` the program runs that many supersteps (it stops early when
+    last one send, and a superstep writes only the rows that it changes (``Layered``).  With ``steps`` the program runs that many supersteps (it stops early when
     no value changes: nothing could change later).  Without, it runs until no value changes;
     if ``max_iter`` supersteps do not reach that, it raises.
     """
@@ -223,30 +282,48 @@ def pregel(graph: Graph, values: dict[str, Column], merge: dict[str, Column], up
         message = F.when(F.col("forward"), to_dst).otherwise(to_src)
     else:
         message = to_dst if to_dst is not None else to_src
+    start = graph.vertices.select("id", *[c.alias(n) for n, c in values.items()])
+
+    def received(senders: DataFrame, receivers: Callable[[], DataFrame]) -> DataFrame:
+        got = adj.gather(senders.select("id", *[F.col(n).alias(f"sender_{n}") for n in names]), [f"sender_{n}" for n in names])
+        if reads_receiver:
+            got = got.join(receivers().select(F.col("id").alias("me"), *[F.col(n).alias(f"receiver_{n}") for n in names]), "me")
+        return got.select(F.col("me").alias("id"), message.alias("msg")).filter("msg IS NOT NULL") \
+            .groupBy("id").agg(*[c.alias(n) for n, c in merge.items()], F.lit(True).alias("_got"))
+
+    new = {n: F.when(F.col("_got"), update[n]).otherwise(F.col(n)) if n in update else F.col(n) for n in names}
+    changed = F.lit(False)
+    for n in names:
+        if n in update:
+            changed = changed | ~new[n].eqNullSafe(F.col(n))
+    moved = [*[new[n].alias(n) for n in names], changed.alias("_changed")]
+    state = None
     try:
-        cur = cut_lineage(graph.vertices.select("id", *[c.alias(n) for n, c in values.items()], F.lit(True).alias("_changed")))
         done = 0
+        if only_active:
+            state = Layered(start, names)
+            senders = state.base
+            while steps is None or done < steps:
+                if max_iter is not None and done >= max_iter and steps is None:
+                    raise RuntimeError(f"no fixpoint after {max_iter} supersteps")
+                senders = state.add(state.latest(received(senders, state.latest)).select("id", *moved).filter("_changed").drop("_changed"))
+                done += 1
+                if senders is None:
+                    break
+            return cut_lineage(state.latest())
+        cur = cut_lineage(start)
         while steps is None or done < steps:
             if max_iter is not None and done >= max_iter and steps is None:
                 raise RuntimeError(f"no fixpoint after {max_iter} supersteps")
-            senders = cur.filter("_changed") if only_active else cur
-            got = adj.gather(senders.select("id", *[F.col(n).alias(f"sender_{n}") for n in names]), [f"sender_{n}" for n in names])
-            if reads_receiver:
-                got = got.join(cur.select(F.col("id").alias("me"), *[F.col(n).alias(f"receiver_{n}") for n in names]), "me")
-            msgs = got.select(F.col("me").alias("id"), message.alias("msg")).filter("msg IS NOT NULL") \
-                .groupBy("id").agg(*[c.alias(n) for n, c in merge.items()], F.lit(True).alias("_got"))
-            new = {n: F.when(F.col("_got"), update[n]).otherwise(F.col(n)) if n in update else F.col(n) for n in names}
-            same = [new[n].eqNullSafe(F.col(n)) for n in names if n in update]
-            changed = F.lit(False)
-            for x in same:
-                changed = changed | ~x
-            nxt = cur.join(msgs, "id", "left").select("id", *[new[n].alias(n) for n in names], changed.alias("_changed"))
+            nxt = cur.join(received(cur, lambda: cur), "id", "left").select("id", *moved)  # noqa: B023 (used at once)
             done += 1
             last = steps is not None and done == steps
             test = steps is None or done % checkpoint_every == 0
-            cur = cut_lineage(nxt) if test or last or only_active else nxt
+            cur = cut_lineage(nxt) if test or last else nxt
             if test and not last and cur.filter("_changed").isEmpty():
                 break
-        return cur.drop("_changed")
+        return cur.select("id", *names)
     finally:
         adj.release()
+        if state is not None:
+            state.release()

@@ -118,6 +118,68 @@ def test_jaccard_chains_and_split_lists(spark, list_rows):
     assert groups(jaccard_join.join_groups(df, list_rows=list_rows)) == brute.jaccard_groups(data)
 
 
+def test_parity_bounds_the_overlap():
+    """Differing bits never exceed the symmetric difference, at any size."""
+    r = np.random.default_rng(3)
+    for n in (1, 5, 80, 900, 20_000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            pool = words.mix64(r.integers(0, 2**63, 2 * n).astype(np.uint64))
+            a, b = np.unique(pool[:n]), np.unique(pool[int(n * (1 - share)):int(n * (1 - share)) + n])
+            differ = int(np.bitwise_count((jaccard_join.parity(a) ^ jaccard_join.parity(b)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+
+
+def template_sets(pages, seed):
+    """Pages of 12 of 24 passages of 16 shingles: any two share passages, few reach 80 %."""
+    r = np.random.default_rng(seed)
+    passages = words.mix64(r.integers(0, 2**63, (24, 16)).astype(np.uint64))
+    return [np.sort(passages[np.sort(r.permutation(24)[:12])].ravel()) for _ in range(pages)]
+
+
+def one_list(spark, sets):
+    data = [(7, i, len(s), 0, i, [int(x) for x in jaccard_join.parity(s)]) for i, s in enumerate(sets)]
+    return spark.createDataFrame(data, "shingle long, class long, n int, pos int, root long, parity array<long>")
+
+
+@pytest.mark.parametrize("block", [50, 10_000])
+def test_pairs_apart_lose_no_link(spark, block):
+    """Members of very different sizes on one list, in blocks or not: every link comes out, each pair
+    of the same root or of sizes too far apart does not."""
+    r = np.random.default_rng(8)
+    sets = template_sets(150, 1)
+    for s in list(sets[:60]):
+        sets.append(np.unique(np.r_[s, words.mix64(r.integers(0, 2**63, int(r.integers(0, 60))).astype(np.uint64))]))
+        sets.append(np.sort(s[r.permutation(len(s))[:int(r.integers(100, len(s) + 1))]]))
+    got = {(x["a"], x["b"]) for x in jaccard_join.pairs_apart(one_list(spark, sets), block=block).collect()}
+    links = {(i, j) for i, s in enumerate(sets) for j in range(i + 1, len(sets))
+             if 100 * len(np.intersect1d(s, sets[j])) >= 80 * len(np.union1d(s, sets[j]))}
+    assert len(links) > 60 and links <= got and len(got) < len(links) + 200
+    same = one_list(spark, sets).withColumn("root", F.lit(1).cast("long"))
+    assert jaccard_join.pairs_apart(same, block=block).isEmpty()
+
+
+def test_ten_thousand_template_pages_on_one_list(spark):
+    """10^4 pages below 80 % on one list: cut into blocks, and hardly a pair is left to verify."""
+    sets = template_sets(10_000, 2)
+    start = time.time()
+    got = {(x["a"], x["b"]) for x in jaccard_join.pairs_apart(one_list(spark, sets), block=1_000).collect()}
+    assert time.time() - start < 60
+    assert len(got) < 50_000_000 // 500
+    for a, b in sorted(got)[:200]:  # what is left is near the threshold
+        assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))
+
+
+def test_jaccard_template_pages(spark):
+    """The whole join over template pages, with blocks of 40 rows, against all pairs."""
+    r = np.random.default_rng(9)
+    passages = [" ".join(f"p{i}w{j}" for j in range(14)) for i in range(14)]
+    texts = [" ".join(passages[i] for i in np.sort(r.permutation(14)[:7])) for _ in range(260)]
+    texts += [t + " one more" for t in texts[:20]]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert groups(jaccard_join.join_groups(df, block=40)) == brute.jaccard_groups(data)
+
+
 def test_jaccard_clashing_keys(docs, rows):
     """Keys of four bits: nearly every key is shared by different sets, which stay apart."""
     assert groups(jaccard_join.join_groups(docs, key_bits=4)) == brute.jaccard_groups([r[:2] for r in rows])

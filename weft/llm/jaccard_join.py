@@ -13,7 +13,9 @@ Only connected classes are asked for, so a list does not pair all its members:
    the largest part of its own short lists); of all hubs a class meets, the one met on the
    most short lists is verified;
 2. the links found make components, and only members of one list that are still in
-   different components (and may reach T by size and position) are paired and verified.
+   different components meet: in size bands, as sizes further apart than 4 : 5 cannot link, a
+   long list in blocks over many tasks.  Size, position and a parity bitmap of each set bound
+   the overlap of two members; only those that may reach T leave the join and are verified.
 
 Every pair of one list is thus verified, ruled out by a bound, or connected already.
 """
@@ -39,6 +41,10 @@ PERCENT = 80
 CELLS, CHUNK = 1 << 20, 1 << 14
 #: rows of a list that one task reads at about; longer lists are split
 LIST_ROWS = 100_000
+#: members of one size band of a list that meet in one task at about
+BLOCK_ROWS = 4096
+#: bits of a set's parity bitmap, in 64-bit words
+PARITY_WORDS = 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -48,6 +54,14 @@ def _class_of(s: np.ndarray, bits: int) -> tuple[int, int]:
     return int(d[0]) >> (64 - bits), int(d[1])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which cells hold an odd number of the set's shingles.  Where two bitmaps differ, a cell
+    holds a shingle of one set alone, so the differing bits never exceed the symmetric difference."""
+    cells = (s >> np.uint64(20)) % np.uint64(64 * PARITY_WORDS)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _name(key: int, check: int, turns: dict[int, int]) -> int:
     """The class of a set: its key, or for the keys in ``turns`` the key xor the check turned
     left by so many bits (as ``_named`` does for columns)."""
@@ -89,9 +103,10 @@ def _classes(rows: DataFrame) -> tuple[dict[int, int], DataFrame]:
 # ---- sizes, classes and the count sketch ---------------------------------------------------
 
 def _sizes(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, key, check) per row, then this task's sketch in chunks."""
+    """(doc_id, n, key, check, parity) per row, then this task's sketch in chunks."""
     counts = np.zeros(CELLS, np.int64)
-    names = ["doc_id", "n", "key", "check", "chunk", "task", "counts"]
+    names = ["doc_id", "n", "key", "check", "parity", "chunk", "task", "counts"]
+    bitmap = pa.list_(pa.int64())
     for b in batches:
         sets = shingle_sets(b.column("text").to_pylist(), k)
         ids = [_class_of(s, bits) for s in sets]
@@ -100,10 +115,10 @@ def _sizes(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.
         m = len(sets)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([c for c, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()),
-             pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+             pa.array([parity(s) if len(s) else None for s in sets], bitmap), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
     m = CELLS // CHUNK
     yield pa.RecordBatch.from_arrays(
-        [*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array([TaskContext.get().partitionId()] * m, pa.int32()),
+        [*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, bitmap), pa.array(range(m), pa.int32()), pa.array([TaskContext.get().partitionId()] * m, pa.int32()),
          pa.array([counts[i * CHUNK:(i + 1) * CHUNK].tobytes() for i in range(m)], pa.binary())], names=names)
 
 
@@ -129,9 +144,10 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Counts on a coarse log scale, one byte each: the order of lists by length."""
-    return np.minimum(255, np.floor(6 * np.log2(counts + 1.0))).astype(np.uint8)
+def _levels(counts: np.ndarray, noise: int) -> np.ndarray:
+    """Counts above the sketch's noise on a coarse log scale, one byte each: the order of lists
+    by length.  However full the cells are, a list that stands out of the noise is ordered by its own length."""
+    return np.minimum(255, np.floor(6 * np.log2(np.maximum(0, counts - noise) + 1.0))).astype(np.uint8)
 
 
 def by_length(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -209,10 +225,48 @@ def _list_rows(cols, out) -> pa.RecordBatch:
 def may_reach(n: Column, m: Column, i: Column, j: Column, percent: int = PERCENT) -> Column:
     """Sizes and places (of the first common shingle) leave room for enough overlap: the
     intersection is at least p / (100 + p) of both sizes' sum."""
+    n, m = n.cast("long"), m.cast("long")
     best = F.least(n - i, m - j)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * best >= percent * (n + m))
 
 
+def may_overlap(n: Column, m: Column, x: Column, y: Column, percent: int = PERCENT) -> Column:
+    """The parity bitmaps leave room for enough overlap: it is at most (n + m - differing bits) / 2."""
+    n, m = n.cast("long"), m.cast("long")
+    differ = sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(PARITY_WORDS)), F.lit(0))
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+
+
+def pairs_apart(rows: DataFrame, percent: int = PERCENT, block: int = BLOCK_ROWS) -> DataFrame:
+    """``(a, b)``: classes of one list and of different roots whose bounds allow a link.
+
+    ``rows``: ``shingle, class, n, pos, root, parity``.  The smaller set of a pair (x) comes to
+    its own size band and to the next one, the larger (y) to its own.  Where one side of a band
+    has more than ``block`` rows, both are cut by class and meet on a grid, every pair once.
+    """
+    # bands a hair wider than the ratio of sizes, so that rounding moves no partner two bands off
+    band = F.floor(F.ln("n") / F.ln(F.lit(100 / percent * (1 + 1e-9))))
+    rows = rows.withColumn("band", band)
+    sizes = rows.groupBy("shingle", "band").agg(F.count("*").alias("c")) \
+        .select("shingle", "c", "band", F.explode(F.array("band", F.col("band") + 1)).alias("target")) \
+        .groupBy("shingle", "target").agg(F.sum("c").alias("xs"), F.sum(F.when(F.col("band") == F.col("target"), F.col("c")).otherwise(0)).alias("ys")) \
+        .where((F.greatest("xs", "ys") > block) & (F.col("ys") > 0))
+    cuts = stored(sizes.select("shingle", "target", *[F.ceil(F.col(f"{s}s") / block).alias(f"{s}_cuts") for s in "xy"]), "cuts")
+
+    def side(s: str, o: str, target: Column) -> DataFrame:
+        own = rows.withColumn("target", target).drop("band").join(cuts.hint("merge"), ["shingle", "target"], "left")
+        of, to = (F.coalesce(F.col(f"{c}_cuts"), F.lit(1).cast("long")) for c in (s, o))
+        return own.select("shingle", "target", F.pmod("class", of).alias(f"{s}_cut"), F.explode(F.sequence(F.lit(0).cast("long"), to - 1)).alias(f"{o}_cut"),
+                          *[F.col(c).alias(f"{s}_{c}") for c in ("class", "n", "pos", "root", "parity")])
+
+    x, y = side("x", "y", F.explode(F.array("band", F.col("band") + 1))), side("y", "x", F.col("band"))
+    n, m = F.col("x_n"), F.col("y_n")
+    met = x.join(y, ["shingle", "target", "x_cut", "y_cut"]).where(
+        ((n < m) | ((n == m) & (F.col("x_class") < F.col("y_class")))) & (F.col("x_root") != F.col("y_root"))
+        & may_reach(n, m, F.col("x_pos"), F.col("y_pos"), percent) & may_overlap(n, m, F.col("x_parity"), F.col("y_parity"), percent))
+    return met.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
+
+
 # ---- verification --------------------------------------------------------------------------
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: int, turns: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +319,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, sets_of, perce
     return stored(both.select("a", "b", "a_grams", "b_grams").mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "links")
 
 
-def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_rows: int = LIST_ROWS, key_bits: int = 64) -> DataFrame:
+def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_rows: int = LIST_ROWS, key_bits: int = 64, block: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable by links (null ids come last: a group
@@ -276,14 +330,14 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sized = stored(src.mapInArrow(lambda it: _sizes(it, k, key_bits), "doc_id long, n long, key long, check long, chunk int, task int, counts binary"), "sizes")
-    rows = sized.where("chunk is null").select("doc_id", "n", "key", "check")
+    sized = stored(src.mapInArrow(lambda it: _sizes(it, k, key_bits), "doc_id long, n long, key long, check long, parity array<long>, chunk int, task int, counts binary"), "sizes")
+    rows = sized.where("chunk is null").select("doc_id", "n", "key", "check", "parity")
     counts = _sketch(sized.where("chunk is not null").select("chunk", "task", "counts"))
-    levels = _levels(counts)
     noise = int(np.median(counts))
+    levels = _levels(counts, noise)
     parts = np.maximum(1, -(-(counts - noise) // list_rows)).astype(np.int32)
     turns, classes = _classes(rows)
-    rows = _named(rows, turns).select("doc_id", "n", "class")
+    rows = _named(rows, turns).select("doc_id", "n", "class", "parity")
 
     share = spark.sparkContext.broadcast((levels, parts, turns))  # 5 bytes a cell, whatever the input, and the few renamed keys
     postings = src.select("text").mapInArrow(lambda it: _postings(it, k, key_bits, percent, *share.value), "shingle long, part int, class long, n int, pos int")
@@ -311,9 +365,10 @@ def join_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, list_
                     .select("shingle", "class", "n", "pos", F.coalesce("root", "class").alias("root")), "members2")
     mixed = member.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("shingle")
     open_ = stored(member.join(mixed, "shingle", "left_semi"), "open")
-    x, y = (open_.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("class", "n", "pos", "root")]) for s in "xy")
-    apart = x.join(y, "shingle").where((F.col("x_root") < F.col("y_root")) & may_reach(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"), percent))
-    pairs = apart.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
+    # the bitmap of a class is that of any of its rows
+    ends = stored(open_.select("class").distinct(), "ends")
+    bitmap = stored(rows.join(ends, "class", "left_semi").groupBy("class").agg(F.first("parity").alias("parity")), "parity")
+    pairs = pairs_apart(open_.join(bitmap, "class"), percent, block)
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verify(pairs, classes, src, sets_of, percent))

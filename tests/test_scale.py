@@ -199,3 +199,19 @@ def test_layers_merge_and_the_newest_row_counts(spark):
     assert [(r["id"], r["v"], r["s"], r["m"]) for r in few] == [(3, *want[3], 9)]
     assert rows.add(spark.createDataFrame([], "id long, v int, s string")) is None
     rows.release()
+
+
+def test_lines_are_split_once_per_text(spark):
+    """The split is not run again for every line, and the lines are those of ``textFile``."""
+    import re
+    from tests.test_plans import plan_text
+    from weft.sources.edgelist import text_lines
+    texts = ["a\nb", "a\n", "a\n\n", "\n", "", None, "a\r\nb\rc\n\rd\r\n", "\r", "é\r\r\n", "x\n y ", "\\n|"]
+    want = Counter()
+    for t in texts:
+        parts = [] if t is None else re.split(r"\r\n|\r|\n", t)
+        want.update(parts[:-1] if parts and not parts[-1] else parts)
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    assert Counter(r["value"] for r in text_lines(df).collect()) == want
+    above = plan_text(text_lines(df)).split("Generate")[0]
+    assert "split(" not in above

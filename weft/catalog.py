@@ -19,7 +19,7 @@ from weft.operators.match import APP_ATTRS, call_graph, component_edges, links,
 from weft.plans import algorithms as alg
 from weft.plans import community as com
 from weft.plans import metrics as met
-from weft.plans.iterate import aggregate_messages, pregel
+from weft.plans.iterate import aggregate_messages, cut_lineage, pregel
 from weft.session import scratch_path
 from weft.sinks import (read_community, read_membership, read_ranked, read_sizes, write_membership, write_membership_by_community,
                         write_ranked, write_sizes)
@@ -43,8 +43,9 @@ def register(key: str, sql: str | None = None):
 # graphs used by several keys (FIXTURES §4)
 
 def link_graph(src: PropertyGraphSource, name: str) -> Graph:
-    """``Graph.fromEdges(Edge(from, to, 1), 1)`` over one link pattern."""
-    return from_edges(edges_from_pairs(links(src, name), attr=F.lit(1)), 1)
+    """``Graph.fromEdges(Edge(from, to, 1), 1)`` over one link pattern; the links are found once,
+    for edges and vertices."""
+    return from_edges(edges_from_pairs(cut_lineage(links(src, name)), attr=F.lit(1)), 1)
 
 
 def person_graph(src: PropertyGraphSource) -> Graph:
@@ -558,7 +559,7 @@ reach(id, d) AS (SELECT id, 0::BIGINT FROM V WHERE id % 50 = 0 UNION SELECT W.b,
                                                   body="SELECT id, min(d) AS distance FROM V LEFT JOIN reach USING (id) GROUP BY id", recursive=True))
 def pregel_weighted_distance(spark, d):
     """Shortest weighted distance to the nearest start, null where none is reachable."""
-    pairs = links(S(spark, d), "link_device")
+    pairs = cut_lineage(links(S(spark, d), "link_device"))
     g = from_edges(edges_from_pairs(pairs, attr=1 + (F.col("src") + F.col("dst")) % 4, attr_name="w"), 1)
     far = F.col("sender_distance") + F.col("w")
     return pregel(g, {"distance": F.when(F.col("id") % 50 == 0, F.lit(0)).cast("bigint")}, {"near": F.min("msg")},

@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.columns import overdue_flag
-from weft.operators.skew import salted_join
-from weft.plans.iterate import cut_lineage
+from weft.operators.skew import salted_join, split_lookup
+from weft.plans.iterate import cut_lineage, written
 from weft.sources.tables import ADDRESS_TYPES, KEY_COLS, PropertyGraphSource
 
 DEV, IP, CO = ("HasDeviceAddress",), ("HasIP",), ("HasCompanyName",)
@@ -101,35 +101,60 @@ def _compare(op: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unsupported id predicate {op!r}")
 
 
-def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
-    """``(person, rel_type, fam, k1, k2)``: attribute nodes reached by a person through
-    one of the given relationship types.
-
-    It is the input of a self-join read three times (both sides and the hot-key
-    count), so it is written once, as a set, to the shared checkpoint folder; queries
-    over a union of patterns share one copy (exact: two different persons always mean
-    two different applications, so person-level sets lose no match)."""
-    rel_types = tuple(sorted(set(rel_types)))
+def _superset(src: PropertyGraphSource, kind: str, rel_types: tuple[str, ...]) -> DataFrame | None:
+    """A memoised table of at least the given types, reduced to them."""
     for key, df in src._memo.items():
-        if key[0] == "pra" and set(rel_types) <= set(key[1]):
+        if key[0] == kind and set(rel_types) <= set(key[1]):
             return df.filter(F.col("rel_type").isin(*rel_types)) if set(rel_types) != set(key[1]) else df
-    o = src.owns(rel_types, distinct=False)
-    pra = cut_lineage(o.join(src.has_id_card(), "app").select("person", "rel_type", *KEY_COLS).distinct())
-    src._memo[("pra", rel_types)] = pra
+    return None
+
+
+def person_rows(src: PropertyGraphSource, rel_types) -> DataFrame:
+    """``(person, rel_type, fam, k1, k2)``: attribute nodes reached by a person through one of
+    the given relationship types, as generated (a bag).  Written once; queries over a union of
+    patterns share one copy."""
+    rel_types = tuple(sorted(set(rel_types)))
+    rows = _superset(src, "rows", rel_types)
+    if rows is None:
+        rows = src._memo[("rows", rel_types)] = written(src.owned_by_persons(rel_types), "person-rows")
+    return rows
+
+
+def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
+    """``person_rows`` as a set, written once to the shared checkpoint folder (exact: two
+    different persons always mean two different applications, so person-level sets lose no
+    match)."""
+    rel_types = tuple(sorted(set(rel_types)))
+    pra = _superset(src, "pra", rel_types)
+    if pra is None:
+        rows = _superset(src, "rows", rel_types)
+        rows = src.owned_by_persons(rel_types) if rows is None else rows
+        pra = src._memo[("pra", rel_types)] = cut_lineage(rows.distinct())
     return pra
 
 
+def met_rows(src: PropertyGraphSource, rel_types) -> DataFrame:
+    """``person_rows`` as a set, of the nodes that two persons or more hold: no other node links
+    anybody.  The hub nodes' rows are split over tasks when the nodes are looked up."""
+    rows = person_rows(src, rel_types)
+    nodes = rows.groupBy(*KEY_COLS).agg(F.min("person").alias("_low"), F.max("person").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    nodes = cut_lineage(nodes.filter("_low < _high").select(*KEY_COLS, "_n"))
+    return cut_lineage(split_lookup(rows, nodes, KEY_COLS, "left_semi", rows_of="_n").select(*rows.columns).distinct())
+
+
 def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], distinct: bool = True) -> DataFrame:
     """Person pairs ``(src, dst)`` linked by a shared attribute node under any of ``rules``."""
     types = sorted({t for r in rules for t in r.left + r.right})
-    pra = person_rel_attr(src, types)
+    pra = met_rows(src, types)
 
-    def side(name: str, of) -> DataFrame:
+    def side(name: str, of) -> tuple[DataFrame, DataFrame]:
         # one row per rule that the row's type can serve on this side: rows of types that
         # no rule puts together never meet
         numbers = reduce(lambda a, b: F.concat(a, b), [
             F.when(F.col("rel_type").isin(*of(r)), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, r in enumerate(rules)])
-        return pra.select(F.col("person").alias(name), F.explode(numbers).alias("rule"), *KEY_COLS).distinct()
+        rows = pra.select(F.col("person").alias(name), F.explode(numbers).alias("rule"), *KEY_COLS)
+        # rows of a set stay one if no rule takes several types; hot keys are counted without the shuffle
+        return (rows.distinct() if any(len(of(r)) > 1 for r in rules) else rows), rows
 
     def keep(L, R):
         ordered = [i for i, r in enumerate(rules) if r.op == ">"]
@@ -140,8 +165,8 @@ def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], dist
 
     for r in rules:
         _compare(r.op, F.lit(1), F.lit(1))  # an unknown predicate raises here
-    left, right = side("src", lambda r: r.left), side("dst", lambda r: r.right)
-    pairs = salted_join(left, right, ["rule", *KEY_COLS], condition=keep)
+    (left, all_left), (right, all_right) = side("src", lambda r: r.left), side("dst", lambda r: r.right)
+    pairs = salted_join(left, right, ["rule", *KEY_COLS], condition=keep, count_left=all_left, count_right=all_right)
     out = pairs.select("src", "dst")
     return out.distinct() if distinct else out
 
@@ -192,7 +217,10 @@ def links(src: PropertyGraphSource, name: str) -> DataFrame:
             r = LINK_RULES.get(m) or CALL_RULES[m]
             types |= set(r.left if isinstance(r, LinkRule) else (r.left,))
             types |= set(r.right if isinstance(r, LinkRule) else (r.right,))
-        person_rel_attr(src, types)          # one materialised input for every branch
+        person_rows(src, types)              # one written input for every branch
+        calls = [CALL_RULES[m] for m in members if m in CALL_RULES]
+        if calls:
+            person_rel_attr(src, {t for r in calls for t in (r.left, r.right)})
         attr_rules = [LINK_RULES[m] for m in members if m in LINK_RULES]
         parts = []
         if attr_rules:

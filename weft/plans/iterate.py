@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.model import Graph, endpoint_ids
 from weft.operators.skew import hot_keys, skew_settings
-from weft.session import ensure_checkpoint_dir
+from weft.session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_CHECKPOINT_EVERY = 5
 
@@ -36,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table into the shared folder: its readers prune columns and rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """``cut_lineage`` with aggregates of the written rows, taken by the write itself."""
     seen = Observation()

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.skew import salted_join
+from weft.operators.skew import hot_keys, salted_join, skew_settings
 from weft.plans.iterate import cut_lineage
 
 # Fixed values of the mapping (must equal the fixture definition).
@@ -40,6 +40,11 @@ FAMILY_OF = {
     **{t: "phone" for t in PHONE_TYPE_BY_FLAG.values()},
 }
 
+FLAG_OF = {t: flag for m in (ADDRESS_TYPE_BY_FLAG, PHONE_TYPE_BY_FLAG) for flag, t in m.items()}
+
+#: what the relationships are built from
+LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -96,10 +101,16 @@ def _family_struct(family: str) -> Column:
                     k1.cast("bigint").alias("k1"), k2.alias("k2"))
 
 
+def _relationships(rows: DataFrame, rel_types, owner: Column) -> DataFrame:
+    """``(<owner>, rel_type, fam, k1, k2)`` of ``lineitem`` rows, a row per family asked for."""
+    families = sorted({FAMILY_OF[t] for t in rel_types})
+    return rows.select(owner, F.inline(F.array(*[_family_struct(f) for f in families]))).filter(F.col("rel_type").isin(*rel_types))
+
+
 def render_key(fam: str | Column = "fam", k1: str | Column = "k1", k2: str | Column = "k2") -> Column:
     """Text form of an attribute node key, e.g. ``dev|<partkey>|<yyyy-MM-dd>``."""
     f, a, b = (F.col(c) if isinstance(c, str) else c for c in (fam, k1, k2))
-    day = F.date_format(F.date_from_unix_date(b.cast("int")), "yyyy-MM-dd")
+    day = F.date_from_unix_date(b.cast("int")).cast("string")
     month = F.concat(F.floor(b / 12).cast("string"), F.lit("-"),
                      F.lpad((F.pmod(b, F.lit(12)) + 1).cast("string"), 2, "0"))
 
@@ -168,14 +179,20 @@ class PropertyGraphSource:
         rel_types = tuple(sorted(set(rel_types)))
         memo_key = ("owns", rel_types, distinct)
         if memo_key not in self._memo:
-            families = sorted({FAMILY_OF[t] for t in rel_types})
-            li = self.table("lineitem")
-            rows = li.select(F.col("l_orderkey").alias("app"),
-                             F.inline(F.array(*[_family_struct(f) for f in families])))
-            rows = rows.filter(F.col("rel_type").isin(*rel_types)).select("rel_type", "app", *KEY_COLS)
+            rows = _relationships(self.table("lineitem"), rel_types, F.col("l_orderkey").alias("app")).select("rel_type", "app", *KEY_COLS)
             self._memo[memo_key] = rows.distinct() if distinct else rows
         return self._memo[memo_key]
 
+    def owned_by_persons(self, rel_types) -> DataFrame:
+        """``(person, rel_type, fam, k1, k2)`` as generated, a bag.  A ``lineitem`` row meets its
+        application while it is one row, not one per family."""
+        rel_types = tuple(sorted(set(rel_types)))
+        li = self.table("lineitem")
+        if all(t in FLAG_OF for t in rel_types):
+            li = li.filter(F.col("l_returnflag").isin(*{FLAG_OF[t] for t in rel_types}))
+        held = li.join(self.has_id_card(), F.col("l_orderkey") == F.col("app"))
+        return _relationships(held, rel_types, F.col("person")).select("person", "rel_type", *KEY_COLS)
+
     def phones_of_apps(self, rel_type: str = "HasPhone") -> DataFrame:
         """``(app, k1, k2)`` phones of applications for one phone relationship type.
 
@@ -204,9 +221,15 @@ class PropertyGraphSource:
 
     def owns_with_person(self, rel_types) -> DataFrame:
         """``(rel_type, app, person, attr_key)``: the relationship rows with the id card and
-        the text key of the attribute node."""
-        return (self.owns(rel_types).join(self.has_id_card(), "app")
-                .select("rel_type", "app", "person", render_key().alias("attr_key")))
+        the text key of the attribute node.
+
+        Without a hot application the ``lineitem`` rows are dealt out by application before they
+        become a row per family: neither the set nor the join shuffles those rows."""
+        li = self.table("lineitem").select(*LINEITEM_COLS).filter("l_orderkey IS NOT NULL")
+        if hot_keys(li, None, ["l_orderkey"], *skew_settings(self.spark)) is None:
+            li = li.repartition("l_orderkey")
+        rows = _relationships(li, sorted(set(rel_types)), F.col("l_orderkey").alias("app")).distinct()
+        return rows.join(self.has_id_card(), "app").select("rel_type", "app", "person", render_key().alias("attr_key"))
 
 
 def source(spark: SparkSession, sf_dir: str) -> PropertyGraphSource:

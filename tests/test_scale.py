@@ -215,3 +215,47 @@ def test_lines_are_split_once_per_text(spark):
     assert Counter(r["value"] for r in text_lines(df).collect()) == want
     above = plan_text(text_lines(df)).split("Generate")[0]
     assert "split(" not in above
+
+
+def test_links_of_a_graph_are_found_once(spark, sf_small):
+    from tests.test_plans import plan_text
+    from weft.catalog import S, link_graph
+    g = link_graph(S(spark, sf_small), "link_device")
+    assert "Join" not in plan_text(g.vertices) and "Join" not in plan_text(g.edges)
+
+
+def test_rows_are_dealt_out_before_they_become_a_row_per_family(spark, sf_small, plain_joins):
+    from tests.test_plans import plan_text
+    from weft.catalog import ALL_TYPES, S
+    src = S(spark, sf_small)
+    rows = src.owns_with_person(ALL_TYPES)
+    assert plan_text(rows).count("hashpartitioning(") == 2  # lineitem rows, applications
+    text = plan_text(src.owned_by_persons(ALL_TYPES))
+    assert text.index("Generate") < text.index("Join")
+    want = Counter(map(tuple, rows.collect()))
+    plain = src.owns(ALL_TYPES).join(src.has_id_card(), "app").count()
+    assert sum(want.values()) == plain and max(want.values()) == 1
+    spark.conf.set("weft.skew.threshold", "3")  # every large order is a hub
+    spark.conf.set("weft.skew.maxHotKeys", "1000000")
+    try:
+        assert Counter(map(tuple, src.owns_with_person(ALL_TYPES).collect())) == want
+    finally:
+        spark.conf.unset("weft.skew.maxHotKeys")
+
+
+@pytest.mark.parametrize("threshold", ["1000000", "20"])
+def test_only_nodes_of_several_persons_are_met(spark, threshold):
+    from weft.operators import match
+    from weft.sources.tables import PropertyGraphSource
+    rows = [(p, t, 4, 1, 1) for p in range(60) for t in ("HasHomeAddress", "HasApplyAddress")]  # a hub
+    rows += [(p, "HasHomeAddress", 4, 2, p) for p in range(50)] * 2 + [(7, "HasHomeAddress", 4, 3, 0), (8, "HasApplyAddress", 4, 3, 0), (None, "HasHomeAddress", 4, 2, 5), (9, "HasHomeAddress", 4, None, 0), (10, "HasHomeAddress", 4, None, 0)]
+    src = PropertyGraphSource(spark, "")
+    src._memo[("rows", match.ADDRESS_TYPES)] = spark.createDataFrame(rows, "person long, rel_type string, fam int, k1 long, k2 long")
+    spark.conf.set("weft.skew.threshold", threshold)
+    try:
+        kept = match.met_rows(src, match.ADDRESS_TYPES).collect()
+        assert Counter((r["k1"], r["k2"]) for r in kept) == {(1, 1): 120, (3, 0): 2}
+        pairs = Counter(map(tuple, match.links(src, "link_address").collect()))
+    finally:
+        spark.conf.unset("weft.skew.threshold")
+    assert pairs == Counter({(a, b): 1 for a in range(60) for b in range(a)})

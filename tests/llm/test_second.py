@@ -340,6 +340,25 @@ def test_embeddings_passes_reach_the_pairs(spark, kind):
     assert len(true) >= 100 and sum(comp[i] == comp[j] for i, j in true) >= 0.98 * len(true)
 
 
+def test_passes_are_planned_from_all_pairs(spark, monkeypatch):
+    """Pairs off centre that next to no row has: no sample of the rows may decide on the passes."""
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 1, raising=False)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((2500, 32)) + 3 * r.standard_normal(32) / np.sqrt(2)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.r_[x, x[:200] + 0.31 * r.standard_normal((200, 32)) / np.sqrt(32)]
+    passes = []
+    keep = embedding_dedup._in_order
+    monkeypatch.setattr(embedding_dedup, "_in_order", lambda *a: (passes.append(a[4] - a[3]), keep(*a))[1])
+    units = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(embedding_dedup.unit(x))], "id long, v array<double>, size long").repartition(4)
+    found = {(min(e), max(e)) for e in map(tuple, embedding_dedup.edges_of_passes(units, 0.95, 16).collect())}
+    comp = brute.grouped(range(len(x)), found)
+    true = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(true_links(x)))) if i < j}
+    assert sum(comp[i] == comp[j] for i, j in true) >= 0.98 * len(true)
+    n = len(x)
+    assert sum(passes) > embedding_dedup.plan(n, [(1 - np.arccos(0.95) / np.pi, 1)], 16)[1]
+
+
 def test_plan_of_passes():
     at = [(0.9, 1)]
     assert embedding_dedup.plan(500, at)[1] == 1  # all rows in one window

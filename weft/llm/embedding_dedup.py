@@ -7,9 +7,9 @@ pairs found in all passes are united into components.  Inside a component every
 compared once more, block by block, so the links that are counted are whole.
 
 The keys are made of centred vectors, so a direction that all vectors share does not spoil them.
-Window and number of passes follow from the row count and from the true pairs of a bounded
-sample of query vectors, compared with all rows: how often a projection parts such a pair says
-how many passes it needs.
+Window and number of passes follow from the row count and from all pairs that the passes so far
+have found, over all rows: how often a projection parts such a pair says how many passes it needs,
+and how seldom it is found.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ WINDOWS = (256, 512, 1024)
 #: rows of a block of one component
 BLOCK = 2048
 THRESHOLD = 0.95
-#: query vectors at most, whose true pairs decide the number of passes, and the share of
-#: pairs that may stay apart in all passes
-QUERIES = 512
+#: passes before the found pairs first decide how many more it takes, and the share of pairs
+#: that may stay apart in all passes
+FIRST = 4
 MISS = 1e-4
 #: passes that are sorted in one job
 TOGETHER = 16
@@ -93,32 +93,26 @@ def centres(units: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _agreements(batches: Iterator[pa.RecordBatch], queries: dict, centre: dict, least: float) -> Iterator[pa.RecordBatch]:
-    """For the true pairs (query, row): how often a random projection gives both one sign."""
-    for b in batches:
-        ids, out = b.column("id").to_numpy(), []
-        for width, at, x in _matrix(b.column("v"))[1]:
-            if width in queries:
-                q_ids, q = queries[width]
-                i, j = near_rows(q, x, least)
-                other = q_ids[i] != ids[at[j]]
-                i, j = i[other], j[other]
-                u, w = q[i] - centre[width], x[j] - centre[width]
-                long = np.linalg.norm(u, axis=1) * np.linalg.norm(w, axis=1)
-                cosine = np.clip(np.einsum("nd,nd->n", u, w) / np.where(long > 0, long, 1), -1, 1)
-                out.append(np.floor((1 - np.arccos(cosine) / np.pi) * 100))
-        a, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.float64()), pa.array(n, pa.int64())], names=["a", "n"])
+def _agreements(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of rows of the centred ``x``: how often a random projection gives both one sign, in %."""
+    rows, at = np.unique(np.r_[i, j], return_inverse=True)
+    u = x[rows] / np.maximum(np.linalg.norm(x[rows], axis=1, keepdims=True), np.finfo(float).tiny)
+    cosine = np.clip((u @ u.T)[at[:len(i)], at[len(i):]], -1, 1)
+    return np.floor((1 - np.arccos(cosine) / np.pi) * 100)
+
+
+def meeting(agreement: np.ndarray, n: int, window: int) -> np.ndarray:
+    """How often a pass over ``n`` rows brings a pair into one window: if its first log2(n / window) signs agree."""
+    return np.clip(agreement, 0.5, 1) ** max(0.0, math.log2(n / window))
 
 
 def plan(n: int, pairs: list[tuple[float, int]], window: int | None = None) -> tuple[int, int]:
-    """Window and passes for ``n`` classes.  ``pairs``: (agreement, count) of true pairs.  A pass
-    brings a pair into one window if their first log2(n / window) signs agree; the passes are
-    so many that a share of MISS of the pairs is left apart, at the least cost."""
+    """Window and passes for ``n`` classes.  ``pairs``: (agreement, count) of true pairs.  The
+    passes are so many that a share of MISS of the pairs is left apart, at the least cost."""
     a, c = (np.array(x, dtype=np.float64) for x in zip(*pairs))
     best = None
     for w in (window,) if window else WINDOWS:
-        meet = np.clip(a, 0.5, 1) ** max(0.0, math.log2(n / w))
+        meet = meeting(a, n, w)
         passes = 1
         while n > 2 * w and ((1 - meet) ** passes * c).sum() > MISS * c.sum():
             passes += 1 + passes // 16
@@ -143,15 +137,16 @@ def _keys(batches: Iterator[pa.RecordBatch], centre: dict[int, np.ndarray], firs
                                              names=["id", "v", "pass", "width", "key", "tie"])
 
 
-def _windows(rows: pa.Table, window: int, least: float) -> pa.Table:
+def _windows(rows: pa.Table, window: int, least: float, centre: dict[int, np.ndarray]) -> pa.Table:
     """Rows of consecutive ranks: every ``window`` of them against themselves and the next; edges
-    that connect what is linked.  ``own``: the others are the next block's first."""
+    that connect what is linked, and how many pairs (``n``) agree on ``a`` % of the projections.
+    ``own``: the others are the next block's first."""
     rows = rows.sort_by("rank").combine_chunks()
     ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False).astype(bool)
     v = rows.column("v").combine_chunks()
     v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
-    runs, out = rows.column("pass").to_numpy(), [np.zeros((0, 2), np.int64)]
-    for _, at, x in _matrix(v)[1]:
+    runs, out, agreed = rows.column("pass").to_numpy(), [np.zeros((0, 2), np.int64)], np.zeros(101, np.int64)
+    for width, at, x in _matrix(v)[1]:
         for lo in range(0, len(at), window):
             hi, far = min(len(at), lo + window), min(len(at), lo + 2 * window)
             if not own[at[lo]]:
@@ -161,12 +156,17 @@ def _windows(rows: pa.Table, window: int, least: float) -> pa.Table:
             same = runs[at[lo + i]] == runs[at[lo + j]]
             node, root = stars(i[same], j[same], far - lo)
             out.append(np.stack([ids[at[lo + node]], ids[at[lo + root]]], axis=1))
-    e = np.concatenate(out)
-    return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+            once = same & (i < j)
+            if once.any():
+                agreed += np.bincount(_agreements(x[lo:far] - centre[width], i[once], j[once]).astype(np.int64), minlength=101)
+    e, share = np.concatenate(out), np.flatnonzero(agreed)
+    n = pa.array(np.r_[np.zeros(len(e), np.int64), agreed[share]], mask=np.r_[np.ones(len(e), bool), np.zeros(len(share), bool)])
+    return pa.table({"a": pa.array(np.r_[e[:, 0], share]), "b": pa.array(np.r_[e[:, 1], share]), "n": n})
 
 
 def _in_order(units: DataFrame, centre: dict, window: int, first: int, last: int, least: float) -> DataFrame:
-    """Edges found by some passes, sorted in one job: range partitions over (pass, key)."""
+    """Edges found by some passes, and agreements of all pairs found, see ``_windows``; sorted in
+    one job: range partitions over (pass, key)."""
     keyed = units.mapInArrow(lambda it: _keys(it, centre, first, last), "id long, v array<double>, pass int, width long, key long, tie long")
     ranked = numbered(keyed, "vector-keys", "pass", "width", "key", "tie", "id").select("id", "v", "pass", "rank")
     size = window * max(1, BLOCK // window)
@@ -175,7 +175,7 @@ def _in_order(units: DataFrame, centre: dict, window: int, first: int, last: int
     places = F.when((F.col("rank") % size < window) & (block > 0), F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))) \
         .otherwise(F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))
     dealt = ranked.select("id", "v", "pass", "rank", F.inline(places))
-    return stored(dealt.groupBy("block").applyInArrow(lambda t: _windows(t, window, least), "a long, b long"), "vector-edges")
+    return stored(dealt.groupBy("block").applyInArrow(lambda t: _windows(t, window, least, centre), "a long, b long, n long"), "vector-edges")
 
 
 def near_rows(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -256,20 +256,26 @@ def link_counts(units: DataFrame, root: DataFrame, least: float) -> DataFrame:
 
 
 def edges_of_passes(units: DataFrame, least: float, window: int | None) -> DataFrame:
-    """Verified pairs that connect the near classes."""
-    spark = units.sparkSession
-    n = units.count()
+    """Verified pairs that connect the near classes.
+
+    A pair is found in as many of the passes as it is likely to meet in one, so the pairs found,
+    each weighed by the inverse, stand for all pairs of all rows; more passes follow until ``plan``
+    asks for none.  A pair at the border counts too, also where none was found."""
+    n = max(units.count(), 1)
     centre = centres(units)
-    asked = units.orderBy(F.xxhash64("id"), "id").limit(QUERIES).collect()
-    queries = {w: (np.array([r["id"] for r in asked if len(r["v"]) == w]), np.array([r["v"] for r in asked if len(r["v"]) == w])) for w in {len(r["v"]) for r in asked}}
-    share = spark.sparkContext.broadcast((queries, centre))  # QUERIES vectors at most, and the mean
-    seen = units.mapInArrow(lambda it: _agreements(it, *share.value, least), "a double, n long").groupBy("a").agg(F.sum("n").alias("n")).collect()
-    # a pair at the border counts too, also where the sample has none
-    pairs = [(r["a"] / 100, r["n"]) for r in seen] + [(1 - math.acos(least) / math.pi, 1)]
-    window, passes = plan(max(n, 1), pairs, window)
-    out = None
-    for lo in range(0, passes, TOGETHER):
-        e = _in_order(units, centre, window, lo, min(passes, lo + TOGETHER), least)
+    border = (1 - math.acos(least) / math.pi, 1)
+    window, need = plan(n, [border], window)
+    done, out, agreed = 0, None, np.zeros(101)
+    while done < need:
+        more = min(need - done, TOGETHER if done else FIRST)
+        found = _in_order(units, centre, window, done, done + more, least)
+        done += more
+        for r in found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n")).collect():  # 101 rows at most
+            agreed[r["a"]] += r["n"]
+        a = np.flatnonzero(agreed)
+        pairs = agreed[a] / (done * meeting(a / 100, n, window))
+        need = plan(n, [*zip(a / 100, pairs), border], window)[1]
+        e = found.where("n IS NULL").select("a", "b")
         out = e if out is None else out.unionByName(e)
     return out
 

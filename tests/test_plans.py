@@ -85,6 +85,18 @@ def test_call_graph_rounds_join_no_owners_with_owners(spark, sf_small, monkeypat
         assert text.count("partial_count(1)") + text.count("partial_sum(n") >= 2
 
 
+def test_call_graph_round_is_one_join_between_phones_of_few_owners(spark, sf_small, monkeypatch):
+    """community_risk: its rounds walked three hops over every phone and call."""
+    from weft.plans import algorithms as alg
+    plans = round_plan(monkeypatch, alg, lambda: QUERIES["community_risk"](spark, sf_small))
+    rounds = [p for p in plans if "votes" in p]
+    assert rounds
+    for text in rounds[1:]:
+        assert len([x for x in text.splitlines() if "Join" in x]) == 1
+        # beside the votes, which go to their receiver once, only the labels are shuffled
+        assert text.count("ENSURE_REQUIREMENTS") <= 1 and text.count("Exchange hashpartitioning(id#") == 1
+
+
 def test_label_round_reads_its_last_labels_without_a_join(spark, sf_small, monkeypatch):
     from weft.plans import algorithms as alg
     g = link_graph(S(spark, sf_small), "link_device")

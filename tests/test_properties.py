@@ -215,6 +215,24 @@ def test_call_graph_labels_equal_those_of_the_pairs(spark):
         assert as_dict(alg.call_graph_labels(ph, ca, steps)) == brute_lpa(pairs, steps)
 
 
+@pytest.mark.parametrize("few", [1, 2, 3, 8])
+def test_call_graph_labels_with_pairs_of_few_owners(spark, few):
+    """Phones on both sides of the bound, self-calls, hubs split over tasks, two phones that call each other twice."""
+    import random
+    r = random.Random(few)
+    phones = sorted({(a, p, 0) for a in range(30) for p in r.sample(range(14), r.randrange(0, 3))} | {(a, 0, 0) for a in range(6)})
+    calls = sorted({(p, q) for p, q in ((r.randrange(14), r.randrange(14)) for _ in range(14)) if p <= q} | {(13, 13), (0, 0), (0, 1)}) + [(2, 3), (2, 3)]
+    both = [(p, 0, q, 0) for p, q in calls] + [(q, 0, p, 0) for p, q in calls if p != q]
+    pairs = [(s, t) for p, _, q, _ in both for s, x, _ in phones if x == p for t, y, _ in phones if y == q if not (s == t and p == q)]
+    ph = spark.createDataFrame([*phones, (40, None, 0)], "app long, k1 long, k2 long")
+    ca = spark.createDataFrame([*both, (None, 0, None, 0)], "a1 long, a2 long, b1 long, b2 long")
+    spark.conf.set("weft.skew.threshold", "4")
+    try:
+        assert as_dict(alg.call_graph_labels(ph, ca, 5, few=few)) == brute_lpa(pairs, 5)
+    finally:
+        spark.conf.unset("weft.skew.threshold")
+
+
 def test_hub_vertex_lpa_with_forced_salting(spark):
     spark.conf.set("weft.skew.threshold", "3")
     try:

@@ -82,11 +82,11 @@ def app_flags(src: PropertyGraphSource) -> DataFrame:
 def labelled_flags(src: PropertyGraphSource, steps: int = 10) -> DataFrame:
     """LPA over the application call graph, labels joined to the node attributes.
 
-    The pairs of applications are never formed: votes move from owners to phones, over the
-    calls and to the owners at the other end.  Every node is an endpoint of a call edge and
+    Phones of few owners give pairs of applications; the pairs of the others are never formed: votes
+    move from owners to phones, over the calls and to the owners at the other end.  Every node is an endpoint of a call edge and
     its attributes are functions of its application, so they are attached afterwards by one
     join on the application key."""
-    return com.with_attrs(alg.call_graph_labels(src.phones_of_apps("HasPhone"), undirected_calls(src), steps), app_flags(src))
+    return com.with_attrs(alg.call_graph_labels(src.phones_of_apps("HasPhone"), undirected_calls(src), steps, few=alg.FEW_OWNERS), app_flags(src))
 
 
 def S(spark, d):

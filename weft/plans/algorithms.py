@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -57,8 +58,7 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
     adj = Adjacency(graph.edges.select("src", "dst"), "both", multiplicity="count")
     try:
         active = adj.receivers()
-        labels = propagate(active, lambda now: adj.gather(now, ["label"]).select(F.col("me").alias("id"), "label", F.col("mult").alias("votes")),
-                           max_steps, checkpoint_every)
+        labels = propagate(active, adj.votes, max_steps, checkpoint_every, hubs=adj.salted)
         if graph.endpoints_only:
             return labels
         isolated = graph.vertices.select("id").join(active, "id", "left_anti")
@@ -67,23 +67,30 @@ def label_propagation(graph: Graph, max_steps: int, checkpoint_every: int = DEFA
         adj.release()
 
 
-def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
+def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY, hubs: bool = True) -> DataFrame:
     """The supersteps: ``votes_of(labels)`` gives ``(id, label, votes)`` rows for every id.
 
     Every step's labels are written: they are small beside the votes, a lost executor costs one
     step, and all steps have one plan, whose generated code is compiled once.  Every
     ``checkpoint_every`` steps the rows written also carry each vertex's last label (as a row
-    without votes, which never wins), so the fixpoint test reads them alone."""
+    without votes, which never wins), so the fixpoint test reads them alone.  Without ``hubs``
+    the votes are dealt out by their receiver, which is the only time that they are shuffled; a
+    hub's votes are added up per label over all tasks first."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows if hubs else rows.repartition(parts, "id")
+
     labels = ids.select("id", F.col("id").alias("label"))
     for step in range(1, max_steps + 1):
         votes = votes_of(labels)
         if step % checkpoint_every or step == max_steps:
-            labels = cut_lineage(best_label(votes.groupBy("id", "label").agg(F.sum("votes").alias("votes"))))
+            labels = cut_lineage(best_label(dealt(votes).groupBy("id", "label").agg(F.sum("votes").alias("votes"))))
             continue
         none = F.lit(None).cast("bigint").alias("last")
         rows = votes.select("id", "label", F.col("votes").cast("bigint").alias("votes"), none).union(
             labels.select("id", "label", F.lit(0).cast("bigint").alias("votes"), F.col("label").alias("last")))
-        summed = rows.groupBy("id", "label").agg(F.sum("votes").alias("votes"), F.max("last").alias("last"))
+        summed = dealt(rows).groupBy("id", "label").agg(F.sum("votes").alias("votes"), F.max("last").alias("last"))
         done = cut_lineage(best_label(summed, keep=("last",)))
         labels = done.select("id", "label")
         if done.filter("label <> last").isEmpty():
@@ -91,49 +98,101 @@ def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int =
     return labels
 
 
+#: owners of a phone up to which its calls may well be written as pairs of applications: 64 a call at most
+FEW_OWNERS = 8
+
+
 def call_graph_labels(phones: DataFrame, calls: DataFrame, max_steps: int,
-                      checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> DataFrame:
-    """Label propagation over the application call graph without its pairs: ``(id, label)``.
+                      checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY, few: int = 0) -> DataFrame:
+    """Label propagation over the application call graph without the pairs of its hub phones: ``(id, label)``.
 
     ``phones (app, k1, k2)`` is who owns which phone, ``calls (a1, a2, b1, b2)`` the calls in
     both orientations (a phone's call to itself once).  The graph's edges are the owners of a
-    times the owners of b for every call; votes factor along that path instead: labels are
-    counted per phone, the counts move over the calls and are added up by the owners.  The
-    pairs are symmetric, so counting both directions would just double every vote.  The three
-    hops stay partitioned by their keys and split hub phones; a round reads the labels once.  An
-    application that reaches itself through one ownership used twice (a phone calling
-    itself) is no edge: that vote is taken back.
+    times the owners of b for every call.  Between phones of at most ``few`` owners the edges are
+    formed once and counted per pair of applications (``few * few`` a call at most): one join a
+    round.  The other calls, all of them without ``few``, never become pairs (``CallHops``).  The
+    pairs are symmetric, so counting both directions would just double every vote.
     """
     if max_steps <= 0:
         raise ValueError(f"Maximum of steps must be greater than 0, but got {max_steps}")
-    calls = cut_lineage(calls.select("a1", "a2", "b1", "b2"))
-    loop = calls.filter("a1 = b1 AND a2 = b2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-    loops = None if loop.isEmpty() else cut_lineage(
-        phones.join(loop, ["k1", "k2"], "left_semi").groupBy(F.col("app").alias("id")).agg(F.count("*").alias("own")))
-    heard = calls.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
-    if loops is not None:  # a phone that only calls itself and has one owner makes no edge
-        owners = cut_lineage(phones.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count("*").alias("owners")))
-        heard = calls.join(owners, ["a1", "a2"]).filter("NOT (a1 = b1 AND a2 = b2) OR owners > 1").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
-    # phones without a call move nothing
-    phones = cut_lineage(split_lookup(phones, heard.distinct(), ["k1", "k2"], "left_semi").select("app", "k1", "k2"))
-    owned = Hop(phones, ["app"])
-    near = Hop(calls, ["a1", "a2"], phones.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
-    far = Hop(phones, ["k1", "k2"], heard)
+    few_calls, hub_calls, few_owned = _calls_by_owners(phones, calls, few) if few else (None, calls, None)
+    hops = None if hub_calls is None else CallHops(phones, hub_calls)
+    adj = None if few_calls is None else Adjacency(_owner_pairs(few_owned, few_calls), "both", multiplicity="count")
+    ways = [way for way in (adj, hops) if way is not None]
 
     def votes_of(labels: DataFrame) -> DataFrame:
-        out = owned.meet(labels.withColumnRenamed("id", "app")).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "label")
-        out = near.meet(near.summed(out, "label")).select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "label", "n")
-        out = far.meet(far.summed(out, "label", "n")).select("app", "label", F.col("n").alias("votes"))
-        if loops is not None:
-            back = labels.join(loops, "id").select(F.col("id").alias("app"), "label", F.negative("own").alias("votes"))
-            out = out.unionByName(back)
-        return owned.summed(out, "label", "votes").filter("votes > 0").withColumnRenamed("app", "id")
+        return reduce(DataFrame.unionByName, [way.votes(labels) for way in ways])
 
     try:
-        ids = owned.static.select(F.col("app").alias("id")).distinct()
-        return propagate(ids, votes_of, max_steps, checkpoint_every)
+        ids = ways[0].receivers() if len(ways) == 1 else adj.receivers().union(hops.receivers()).distinct()
+        return propagate(ids, votes_of, max_steps, checkpoint_every, hubs=hops is not None or adj.salted)
     finally:
-        for hop in (owned, near, far):
+        for way in ways:
+            way.release()
+
+
+def _calls_by_owners(phones: DataFrame, calls: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The calls between phones of at most ``few`` owners, the others (None if there are none) and
+    the rows of those phones.  Phones of very many owners or calls are split over tasks."""
+    hubs = cut_lineage(phones.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") > few))
+    if hubs.isEmpty():
+        return calls, None, phones
+    a, b = (hubs.select(F.col("k1").alias(f"{end}1"), F.col("k2").alias(f"{end}2")) for end in "ab")
+    names = ["a1", "a2", "b1", "b2"]
+    rest = split_lookup(calls, a, ["a1", "a2"], "left_anti").select(*names)
+    hub_calls = split_lookup(calls, a, ["a1", "a2"], "left_semi").select(*names).union(
+        split_lookup(rest, b, ["b1", "b2"], "left_semi").select(*names))
+    return split_lookup(rest, b, ["b1", "b2"], "left_anti"), hub_calls, split_lookup(phones, hubs, ["k1", "k2"], "left_anti", rows_of="owners")
+
+
+def _owner_pairs(phones: DataFrame, calls: DataFrame) -> DataFrame:
+    """The edges ``(src, dst)`` of the call graph, each in one of its two directions."""
+    once = calls.filter("a1 < b1 OR (a1 = b1 AND a2 <= b2)")
+    near = phones.select(F.col("app").alias("src"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
+    far = phones.select(F.col("app").alias("dst"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+    # a phone that calls itself joins two owners; one ownership used twice is no edge
+    return once.join(near, ["a1", "a2"]).join(far, ["b1", "b2"]).filter("NOT (a1 = b1 AND a2 = b2) OR src < dst").select("src", "dst")
+
+
+class CallHops:
+    """The votes of calls whose pairs of applications are never formed.
+
+    Votes factor along the path from owner to owner: labels are counted per phone, the counts move
+    over the calls and are added up by the owners.  The three hops stay partitioned by their keys
+    and split hub phones; a round reads the labels once.  An application that reaches itself
+    through one ownership used twice (a phone calling itself) is no edge: that vote is taken back.
+    """
+
+    def __init__(self, phones: DataFrame, calls: DataFrame):
+        calls = cut_lineage(calls.select("a1", "a2", "b1", "b2"))
+        loop = calls.filter("a1 = b1 AND a2 = b2").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
+        self.loops = None if loop.isEmpty() else cut_lineage(
+            phones.join(loop, ["k1", "k2"], "left_semi").groupBy(F.col("app").alias("id")).agg(F.count("*").alias("own")))
+        heard = calls.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+        if self.loops is not None:  # a phone that only calls itself and has one owner makes no edge
+            owners = cut_lineage(phones.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count("*").alias("owners")))
+            heard = calls.join(owners, ["a1", "a2"]).filter("NOT (a1 = b1 AND a2 = b2) OR owners > 1").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))
+        # phones without a call move nothing
+        phones = cut_lineage(split_lookup(phones, heard.distinct(), ["k1", "k2"], "left_semi").select("app", "k1", "k2"))
+        self.owned = Hop(phones, ["app"])
+        self.near = Hop(calls, ["a1", "a2"], phones.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
+        self.far = Hop(phones, ["k1", "k2"], heard)
+
+    def receivers(self) -> DataFrame:
+        return self.owned.static.select(F.col("app").alias("id")).distinct()
+
+    def votes(self, labels: DataFrame) -> DataFrame:
+        """``(id, label, votes)`` of one round."""
+        out = self.owned.meet(labels.withColumnRenamed("id", "app")).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "label")
+        out = self.near.meet(self.near.summed(out, "label")).select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "label", "n")
+        out = self.far.meet(self.far.summed(out, "label", "n")).select("app", "label", F.col("n").alias("votes"))
+        if self.loops is not None:
+            back = labels.join(self.loops, "id").select(F.col("id").alias("app"), "label", F.negative("own").alias("votes"))
+            out = out.unionByName(back)
+        return self.owned.summed(out, "label", "votes").filter("votes > 0").withColumnRenamed("app", "id")
+
+    def release(self) -> None:
+        for hop in (self.owned, self.near, self.far):
             hop.release()
 
 

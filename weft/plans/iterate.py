@@ -126,6 +126,10 @@ class Adjacency:
              .drop("_hid", "_salts"))
         return self.adj.join(v, ["nbr", "_b"]).drop("_b")
 
+    def votes(self, labels: DataFrame) -> DataFrame:
+        """``(id, label, votes)``: the neighbours' labels, counted as often as they are adjacent."""
+        return self.gather(labels, ["label"]).select(F.col("me").alias("id"), "label", F.col("mult").alias("votes"))
+
     def receivers(self) -> DataFrame:
         return self.adj.select(F.col("me").alias("id")).distinct()
 

@@ -259,3 +259,35 @@ def test_only_nodes_of_several_persons_are_met(spark, threshold):
     finally:
         spark.conf.unset("weft.skew.threshold")
     assert pairs == Counter({(a, b): 1 for a in range(60) for b in range(a)})
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_nodes_of_several_applications_are_found_before_the_id_cards(spark, second):
+    """pagerank_20, lpa_25: every lineitem row met its order, most of them to be left out afterwards."""
+    import datetime as dt
+
+    from weft.operators import match
+    from weft.sources.tables import PropertyGraphSource
+    day = dt.datetime(2024, 1, 1)
+    orders = [(a, a // 2) for a in range(40)] + [(None, 1), (None, 2), (50, None)] + ([(7, 90)] if second else [])
+    items = [(a, a % 9, day + dt.timedelta(days=a % 2), f) for a in range(45) for f in "NRA"] * 2
+    items += [(6, 100, day, "N"), (7, 101, day, "N"), (10, 102, day, "N"), (11, 102, day, "N"), (None, 3, day, "N"), (50, 3, day, "N"), (4, None, day, "N"), (5, None, day, "N"), (8, 3, None, "N")]
+    src = PropertyGraphSource(spark, "")
+    src._memo["orders"] = spark.createDataFrame([(*o, "F", "2-HIGH", day) for o in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz")
+    src._memo["lineitem"] = spark.createDataFrame([(a, p, 1, 1.0, f, d) for a, p, d, f in items], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz")
+    for name, flags in (("link_device", ("NRA", "NRA")), ("link_phone_emergency", ("N", "R"))):
+        got = Counter(map(tuple, match.links(src, name).collect()))
+        node = (lambda p, d: (p, d)) if name == "link_device" else (lambda p, d: (p, d and (d.year, d.month)))
+        held = [{(c, node(p, d)) for a, p, d, f in items if f in some for o, c in orders if None not in (a, c, p, d) and a == o} for some in flags]
+        want = {(a, b) for a, x in held[0] for b, y in held[1] if x == y and (a > b if name == "link_device" else a != b)}
+        assert got == Counter(want)
+        assert any(k[0] == "rows" for k in src._memo) == second
+
+
+def test_votes_are_shuffled_once_a_round(spark, sf_small, monkeypatch):
+    """lpa_25: the votes went out by vertex and label and then, added up, by vertex."""
+    from tests.test_plans import round_plan
+    from weft.catalog import S, link_graph
+    plans = round_plan(monkeypatch, alg, lambda: alg.label_propagation(link_graph(S(spark, sf_small), "link_device"), 3))
+    rounds = [p for p in plans if "votes" in p]
+    assert len(rounds) == 3 and all(p.count("hashpartitioning(id#") == 1 for p in rounds[1:])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from weft.functions.columns import overdue_flag
 from weft.operators.skew import salted_join, split_lookup
 from weft.plans.iterate import cut_lineage, written
-from weft.sources.tables import ADDRESS_TYPES, KEY_COLS, PropertyGraphSource
+from weft.sources.tables import ADDRESS_TYPES, FAMILY_OF, KEY_COLS, PropertyGraphSource
 
 DEV, IP, CO = ("HasDeviceAddress",), ("HasIP",), ("HasCompanyName",)
 PHONE, EMERG, CONTACT = ("HasPhone",), ("HasEmergencyPhone",), ("HasContact",)
@@ -134,12 +134,24 @@ def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
 
 
 def met_rows(src: PropertyGraphSource, rel_types) -> DataFrame:
-    """``person_rows`` as a set, of the nodes that two persons or more hold: no other node links
-    anybody.  The hub nodes' rows are split over tasks when the nodes are looked up."""
-    rows = person_rows(src, rel_types)
-    nodes = rows.groupBy(*KEY_COLS).agg(F.min("person").alias("_low"), F.max("person").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    """``(person, rel_type, fam, k1, k2)`` as a set, of the nodes that two persons or more hold: no
+    other node links anybody.  The hub nodes' rows are split over tasks when the nodes are looked up.
+
+    Of one family, the nodes that two applications hold are found first, and their rows alone meet
+    the id cards; a node of one person may then be left, which links nobody either.  Where an
+    application has several persons, or a lineitem row gives a row per family, the persons come first."""
+    rel_types = tuple(sorted(set(rel_types)))
+    one_family = len({FAMILY_OF[t] for t in rel_types}) == 1
+    if one_family and _superset(src, "rows", rel_types) is None and src.one_person_each():
+        rows, holder = src.owns(rel_types, distinct=False), "app"
+    else:
+        rows, holder = person_rows(src, rel_types), "person"
+    nodes = rows.groupBy(*KEY_COLS).agg(F.min(holder).alias("_low"), F.max(holder).alias("_high"), F.count(F.lit(1)).alias("_n"))
     nodes = cut_lineage(nodes.filter("_low < _high").select(*KEY_COLS, "_n"))
-    return cut_lineage(split_lookup(rows, nodes, KEY_COLS, "left_semi", rows_of="_n").select(*rows.columns).distinct())
+    met = split_lookup(rows, nodes, KEY_COLS, "left_semi", rows_of="_n")
+    if holder == "app":
+        met = met.join(src.has_id_card(), "app")
+    return cut_lineage(met.select("person", "rel_type", *KEY_COLS).distinct())
 
 
 def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], distinct: bool = True) -> DataFrame:

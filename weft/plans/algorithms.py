@@ -76,10 +76,8 @@ def propagate(ids: DataFrame, votes_of, max_steps: int, checkpoint_every: int =
     without votes, which never wins), so the fixpoint test reads them alone.  Without ``hubs``
     the votes are dealt out by their receiver, which is the only time that they are shuffled; a
     hub's votes are added up per label over all tasks first."""
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows if hubs else rows.repartition(parts, "id")
+        return rows if hubs else rows.repartition("id")
 
     labels = ids.select("id", F.col("id").alias("label"))
     for step in range(1, max_steps + 1):

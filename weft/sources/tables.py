@@ -172,14 +172,28 @@ class PropertyGraphSource:
         return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"),
                         F.col("c_mktsegment").alias("segment"))
 
+    def one_person_each(self) -> bool:
+        """Whether no application has two persons."""
+        if "one_person_each" not in self._memo:
+            persons = self.has_id_card().filter("app IS NOT NULL").groupBy("app").agg(F.min("person").alias("_low"), F.max("person").alias("_high"))
+            self._memo["one_person_each"] = persons.filter("_low < _high").count() == 0
+        return self._memo["one_person_each"]
+
     # -- relationships -----------------------------------------------------
+    def _flagged(self, rel_types) -> DataFrame:
+        """The ``lineitem`` rows that can give one of the types."""
+        li = self.table("lineitem")
+        if all(t in FLAG_OF for t in rel_types):
+            li = li.filter(F.col("l_returnflag").isin(*sorted({FLAG_OF[t] for t in rel_types})))
+        return li
+
     def owns(self, rel_types, distinct: bool = True) -> DataFrame:
         """``(rel_type, app, fam, k1, k2)`` rows of the given relationship types, as a set
         (``distinct=False``: as generated, for consumers that deduplicate later)."""
         rel_types = tuple(sorted(set(rel_types)))
         memo_key = ("owns", rel_types, distinct)
         if memo_key not in self._memo:
-            rows = _relationships(self.table("lineitem"), rel_types, F.col("l_orderkey").alias("app")).select("rel_type", "app", *KEY_COLS)
+            rows = _relationships(self._flagged(rel_types), rel_types, F.col("l_orderkey").alias("app")).select("rel_type", "app", *KEY_COLS)
             self._memo[memo_key] = rows.distinct() if distinct else rows
         return self._memo[memo_key]
 
@@ -187,10 +201,7 @@ class PropertyGraphSource:
         """``(person, rel_type, fam, k1, k2)`` as generated, a bag.  A ``lineitem`` row meets its
         application while it is one row, not one per family."""
         rel_types = tuple(sorted(set(rel_types)))
-        li = self.table("lineitem")
-        if all(t in FLAG_OF for t in rel_types):
-            li = li.filter(F.col("l_returnflag").isin(*{FLAG_OF[t] for t in rel_types}))
-        held = li.join(self.has_id_card(), F.col("l_orderkey") == F.col("app"))
+        held = self._flagged(rel_types).join(self.has_id_card(), F.col("l_orderkey") == F.col("app"))
         return _relationships(held, rel_types, F.col("person")).select("person", "rel_type", *KEY_COLS)
 
     def phones_of_apps(self, rel_type: str = "HasPhone") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators whose plans must hold when one key owns most rows: balance of tasks, and results."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -291,3 +292,33 @@ def test_votes_are_shuffled_once_a_round(spark, sf_small, monkeypatch):
     plans = round_plan(monkeypatch, alg, lambda: alg.label_propagation(link_graph(S(spark, sf_small), "link_device"), 3))
     rounds = [p for p in plans if "votes" in p]
     assert len(rounds) == 3 and all(p.count("hashpartitioning(id#") == 1 for p in rounds[1:])
+
+
+def test_rows_go_to_their_node_once(spark, sf_small, monkeypatch):
+    """pagerank_tol, sink_roundtrip, community_members: rows were shuffled to count their nodes, and again to meet them."""
+    from tests.test_plans import round_plan
+    from weft.catalog import S
+    from weft.operators import match
+    for name in ("link_device", "link_phone_emergency"):
+        plans = round_plan(monkeypatch, match, lambda: match.links(S(spark, sf_small), name))
+        assert sum(len(re.findall(r"hashpartitioning\([^)]*k1#", p.split("Initial Plan")[-1])) for p in plans) == 1
+
+
+@pytest.mark.parametrize("threshold", ["1000000", "4"])
+def test_nodes_without_both_sides_of_a_rule_are_left(spark, threshold, monkeypatch):
+    """pagerank_tol: nodes of several persons were kept though none held them the other way."""
+    from weft.operators import match
+    from weft.sources.tables import PropertyGraphSource
+    held = {(1, 1): "NR", (2, 2): "N", (3, 3): "R", (4, 4): "NR"}  # node -> the ways in which its 12 (the last: 2) persons hold it
+    rows = [(p, "HasPhone" if way == "N" else "HasEmergencyPhone", 5, *node) for node, ways in held.items() for p in range(2 if node == (4, 4) else 12) for way in ways]
+    src = PropertyGraphSource(spark, "")
+    src._memo[("rows", ("HasEmergencyPhone", "HasPhone"))] = spark.createDataFrame(rows, "person long, rel_type string, fam int, k1 long, k2 long")
+    kept, plain = [], match.met_rows
+    monkeypatch.setattr(match, "met_rows", lambda *a: kept.append(plain(*a)) or kept[-1])
+    spark.conf.set("weft.skew.threshold", threshold)
+    try:
+        pairs = Counter(map(tuple, match.links(src, "link_phone_emergency").collect()))
+    finally:
+        spark.conf.unset("weft.skew.threshold")
+    assert Counter((r["fam"], r["rel_type"], r["k1"]) for r in kept[0].collect()) == {(5, t, k): n for t in ("HasPhone", "HasEmergencyPhone") for k, n in ((1, 12), (4, 2))}
+    assert pairs == Counter({(a, b): 1 for a in range(12) for b in range(12) if a != b})

@@ -26,13 +26,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.columns import overdue_flag
-from weft.operators.skew import salted_join, split_lookup
+from weft.operators.skew import hot_keys, salted_join, skew_settings
 from weft.plans.iterate import cut_lineage, written
-from weft.sources.tables import ADDRESS_TYPES, FAMILY_OF, KEY_COLS, PropertyGraphSource
+from weft.sources.tables import ADDRESS_TYPES, FAMILY_CODE, FAMILY_OF, KEY_COLS, PropertyGraphSource
 
 DEV, IP, CO = ("HasDeviceAddress",), ("HasIP",), ("HasCompanyName",)
 PHONE, EMERG, CONTACT = ("HasPhone",), ("HasEmergencyPhone",), ("HasContact",)
@@ -133,31 +133,60 @@ def person_rel_attr(src: PropertyGraphSource, rel_types) -> DataFrame:
     return pra
 
 
-def met_rows(src: PropertyGraphSource, rel_types) -> DataFrame:
-    """``(person, rel_type, fam, k1, k2)`` as a set, of the nodes that two persons or more hold: no
-    other node links anybody.  The hub nodes' rows are split over tasks when the nodes are looked up.
+def met_rows(src: PropertyGraphSource, rel_types, rules: list[LinkRule] | None = None) -> DataFrame:
+    """``(person, rel_type, fam, k1, k2)`` as a set, of the nodes that two persons or more hold (with
+    ``rules``: through both sides of one of them): no other node links anybody.
 
     Of one family, the nodes that two applications hold are found first, and their rows alone meet
     the id cards; a node of one person may then be left, which links nobody either.  Where an
-    application has several persons, or a lineitem row gives a row per family, the persons come first."""
+    application has several persons, or a lineitem row gives a row per family, the persons come first.
+
+    Rows are shuffled once, to their node, as fixed-width numbers, and judged there in one sort.
+    The hub nodes' rows are left where they are: a row per hub says whether it links."""
     rel_types = tuple(sorted(set(rel_types)))
-    one_family = len({FAMILY_OF[t] for t in rel_types}) == 1
-    if one_family and _superset(src, "rows", rel_types) is None and src.one_person_each():
+    families = {FAMILY_OF[t] for t in rel_types}
+    if len(families) == 1 and _superset(src, "rows", rel_types) is None and src.one_person_each():
         rows, holder = src.owns(rel_types, distinct=False), "app"
     else:
         rows, holder = person_rows(src, rel_types), "person"
-    nodes = rows.groupBy(*KEY_COLS).agg(F.min(holder).alias("_low"), F.max(holder).alias("_high"), F.count(F.lit(1)).alias("_n"))
-    nodes = cut_lineage(nodes.filter("_low < _high").select(*KEY_COLS, "_n"))
-    met = split_lookup(rows, nodes, KEY_COLS, "left_semi", rows_of="_n")
+    bit = {t: 1 << i for i, t in enumerate(rel_types)}
+    keys = KEY_COLS if len(families) > 1 else [c for c in KEY_COLS if c != "fam"]
+    names = [holder, "_type", *keys]
+    rows = rows.withColumn("_type", _mapped("rel_type", bit)).filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*names)
+    seen = {"_low": F.min(holder), "_high": F.max(holder), "_types": F.bit_or("_type")}
+    links_some = F.col("_low") < F.col("_high")
+    if rules:
+        has = lambda types: F.col("_types").bitwiseAND(F.lit(sum(bit[t] for t in set(types)))) != 0
+        links_some = links_some & reduce(lambda a, b: a | b, [has(r.left) & has(r.right) for r in rules])
+
+    def of_linking_nodes(rows: DataFrame) -> DataFrame:
+        node = Window.partitionBy(*keys)
+        return rows.select(*names, *[c.over(node).alias(n) for n, c in seen.items()]).filter(links_some).select(*names)
+
+    hot = hot_keys(rows, None, keys, *skew_settings(src.spark))
+    if hot is None:
+        met = of_linking_nodes(rows)
+    else:
+        hot = F.broadcast(hot.select(*keys))  # fewer than max_hot rows
+        hubs = rows.join(hot, keys, "left_semi")
+        linking = F.broadcast(hubs.groupBy(*keys).agg(*[c.alias(n) for n, c in seen.items()]).filter(links_some).select(*keys))
+        met = of_linking_nodes(rows.join(hot, keys, "left_anti")).unionByName(hubs.join(linking, keys, "left_semi").select(*names))
     if holder == "app":
         met = met.join(src.has_id_card(), "app")
-    return cut_lineage(met.select("person", "rel_type", *KEY_COLS).distinct())
+    met = cut_lineage(met.select("person", "_type", *keys).distinct())
+    fam = F.col("fam") if len(families) > 1 else F.lit(FAMILY_CODE[min(families)])
+    return met.select("person", _mapped("_type", {b: t for t, b in bit.items()}).alias("rel_type"), fam.alias("fam"), "k1", "k2")
+
+
+def _mapped(col: str, values: dict) -> Column:
+    """The value for each of the given ones of a column, as a CASE."""
+    return reduce(lambda c, kv: c.when(F.col(col) == kv[0], kv[1]), values.items(), F)
 
 
 def shared_attribute_links(src: PropertyGraphSource, rules: list[LinkRule], distinct: bool = True) -> DataFrame:
     """Person pairs ``(src, dst)`` linked by a shared attribute node under any of ``rules``."""
     types = sorted({t for r in rules for t in r.left + r.right})
-    pra = met_rows(src, types)
+    pra = met_rows(src, types, rules)
 
     def side(name: str, of) -> tuple[DataFrame, DataFrame]:
         # one row per rule that the row's type can serve on this side: rows of types that

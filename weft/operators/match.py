@@ -153,9 +153,10 @@ def met_rows(src: PropertyGraphSource, rel_types, rules: list[LinkRule] | None =
     keys = KEY_COLS if len(families) > 1 else [c for c in KEY_COLS if c != "fam"]
     names = [holder, "_type", *keys]
     rows = rows.withColumn("_type", _mapped("rel_type", bit)).filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*names)
-    seen = {"_low": F.min(holder), "_high": F.max(holder), "_types": F.bit_or("_type")}
+    seen = {"_low": F.min(holder), "_high": F.max(holder)}
     links_some = F.col("_low") < F.col("_high")
-    if rules:
+    if rules and any(set(r.left) != set(r.right) for r in rules):
+        seen["_types"] = F.bit_or("_type")
         has = lambda types: F.col("_types").bitwiseAND(F.lit(sum(bit[t] for t in set(types)))) != 0
         links_some = links_some & reduce(lambda a, b: a | b, [has(r.left) & has(r.right) for r in rules])
 

@@ -57,7 +57,9 @@ def hot_keys(left: DataFrame, right: DataFrame | None, keys: list[str], threshol
     if right is not None:
         cells = cells.unionByName(right.filter(some).select(cell, zero.alias("_l"), one.alias("_r")))
     seen = Observation()
-    cells = cells.groupBy("_c").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).observe(seen, F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    # one side alone is counted: all its rows pass here, and a count is cheaper than two sums
+    sums = [F.sum("_l").alias("_l"), F.sum("_r").alias("_r")] if right is not None else [F.count(one).alias("_l"), zero.cast("long").alias("_r")]
+    cells = cells.groupBy("_c").agg(*sums).observe(seen, F.sum("_l").alias("l"), F.sum("_r").alias("r"))
     full = cells.filter((F.col("_l") > threshold) | (F.col("_r") > threshold)).collect()  # CELLS * max_hot rows at most
     if not full:
         return None
